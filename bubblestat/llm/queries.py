@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, packing, quality, simhash, token_files
+from . import chat, decontam, html_tree, lines, packing, quality, simhash, token_files, toxicity, urls
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,6 +35,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed_lines"), "text")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.with_hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -45,6 +53,15 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extracted(table(spark, sf_dir, "pages")).select("*", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = token_files.write(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2)
     back = token_files.read(spark, folder, files)
@@ -57,6 +74,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_quality, op4_lines, op6_decontam, op9_token_files, op10_packing)
+    f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_lines, op5_urls, op6_decontam, op7_toxicity, op8_html, op9_token_files, op10_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op5_urls": urls.sql(urls.RULES)}
