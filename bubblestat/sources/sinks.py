@@ -35,7 +35,7 @@ def as_text(rows: DataFrame, kind: str) -> DataFrame:
 
 def write_table(rows: DataFrame, kind: str, folder: str) -> None:
     """A folder of tab-separated files, one for each task, each with the header."""
-    as_text(rows, kind).write.mode("overwrite").csv(f"{folder}/{FILES.get(kind, kind + '.tsv')}", sep="\t", header=True, quote="")
+    as_text(rows, kind).write.mode("overwrite").option("comment", "~").csv(f"{folder}/{FILES.get(kind, kind + '.tsv')}", sep="\t", header=True)
 
 
 def fasta(sequences: DataFrame) -> DataFrame:
