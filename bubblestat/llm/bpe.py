@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Words whose ids one worker process keeps; beyond it starts anew.
-KEPT = 1_200_000
+KEPT = 1_500_000
 #: Text bytes handled at a time.
-SLICE = 6 << 20
+SLICE = 16 << 20
 #: The patterns by which the two tokenizers' files cut texts before merging.
 PIECES = {
     "spaced": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
@@ -58,28 +59,34 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words that a space precedes, from the tokenizer's own pieces of a word, each of which is encoded once."""
+        """Ids of words that a space precedes. Other words than runs of letters are cut into the tokenizer's own pieces, and each piece is encoded once."""
         if len(self.known) + len(self.pieces) > KEPT:
             self.known.clear()
             self.pieces.clear()
+        known, pieces = self.known, self.pieces
+        letters = [w.isalpha() for w in words]
+        plain = list(compress(words, letters))
+        mixed = [w for w, is_plain in zip(words, letters, strict=True) if not is_plain]
         if self.drops_space:  # its pieces are cut after lower-casing, which is plain for ASCII
-            cut = [self.cut(w.lower()) if w.isascii() else [w] for w in words]
+            keys = plain
+            cuts = [self.cut(w.lower()) if w.isascii() else [w] for w in mixed]
         else:
-            cut = [self.cut(" " + w) for w in words]
-        pieces = self.pieces
-        if new := list(set().union(*cut).difference(pieces)):
-            joined = [] if self.drops_space else [x for x in new if x[0] == " " and x.strip()]
-            for i in range(0, len(joined), 2000):
-                part = joined[i : i + 2000]
-                ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                at = np.flatnonzero(self.starts[ids])
-                if len(at) == len(part) and at[0] == 0:
-                    raw, at = ids.tobytes(), (4 * at).tolist()
-                    pieces.update(zip(part, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
-            rest = [x for x in new if x not in pieces] if joined else new
-            pieces.update(zip(rest, self.whole(rest), strict=True))
+            keys = [" " + w for w in plain]
+            cuts = [self.cut(" " + w) for w in mixed]
+        new = list(set(keys).union(*cuts).difference(pieces))
+        joined = [] if self.drops_space else [x for x in new if x[0] == " " and len(x) > 1 and not x.isspace()]
+        for i in range(0, len(joined), 2000):
+            part = joined[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(part) and at[0] == 0:
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                pieces.update(zip(part, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
+        rest = [x for x in new if x not in pieces] if joined else new
+        pieces.update(zip(rest, self.whole(rest), strict=True))
         get = pieces.__getitem__
-        self.known.update(zip(words, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut], strict=True))
+        known.update(zip(plain, map(get, keys), strict=True))
+        known.update(zip(mixed, [b"".join(map(get, c)) for c in cuts], strict=True))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts (null: empty): the ids of all of them, and where each ends in that array."""
@@ -97,13 +104,12 @@ class Encoder:
         lists = pc.split_pattern(texts if not odd.any() else pc.if_else(pa.array(odd), "", texts), " ")
         counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        known = self.known
-        if new := [w for w in words if w not in known]:
+        index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.known.get, words))
+        if new := [w for w, v in zip(words, values, strict=True) if v is None]:
             self._learn(new)
-        if len(known) == len(new) and (gone := [w for w in words if w not in known]):  # the table started anew
-            self._learn(gone)
-        values = list(map(known.__getitem__, words))
+            fresh = self.known.get
+            values = [fresh(w) if v is None else v for w, v in zip(words, values, strict=True)]
         firsts = np.cumsum(counts) - counts
         if not self.drops_space:  # no space precedes the first word of a text; odd texts are one word
             text = texts.filter(pa.array(odd)).to_pylist() if odd.any() else []
@@ -114,8 +120,6 @@ class Encoder:
             values += self.whole(heads)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         flat = np.frombuffer(b"".join(values), "<u4")
-        begins = np.cumsum(lengths) - lengths
-        n = lengths[index]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begins[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.append(0, ends)[np.cumsum(counts)]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths))), pa.array(flat))
+        ids = lists.take(pa.array(index)).flatten().to_numpy(zero_copy_only=False)
+        return ids, np.append(0, np.cumsum(lengths[index]))[np.cumsum(counts)]
