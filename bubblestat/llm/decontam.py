@@ -173,9 +173,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 7,
     bounded size, is broadcast and meets all documents; a further block adds to what earlier ones found.
 
     Null texts have no words. An item without words has no window; a null item_id is listed as an empty string. Repeated
-    documents and items are each judged. Empty tables: no documents, or no hits. Other columns pass through.
+    documents and items are each judged. Empty tables: no documents, or no hits. Other columns pass through, but for one of the name `_hits`.
     """
-    spark, own = docs.sparkSession, [F.col(f"`{c}`") for c in docs.columns]
+    spark, own = docs.sparkSession, [F.col(f"`{c}`") for c in docs.columns if c != "_hits"]
     text = F.coalesce(F.col("text"), F.lit(""))
     none = "named_struct('n_words', 0, 'starts', cast(array() as array<int>), 'ends', cast(array() as array<int>), 'items', cast(array() as array<string>))"
     out = None
@@ -201,5 +201,5 @@ def contaminated(hits: str = "_hits"):
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    marked = with_hits(docs, benchmark, **how)
-    return marked.where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return with_hits(rows, benchmark, **how).where(~contaminated()).select("_row.*")

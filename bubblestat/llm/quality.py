@@ -26,15 +26,16 @@ FEATURES = {
 }
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and one struct column `_q` of counts over the whole text (null counts as empty).
+def with_counts(docs: DataFrame) -> DataFrame:
+    """Each row of docs as a struct `_row`, and a struct `_q` of counts over its whole text (null counts as empty).
 
     Long arrays are columns of their own, used more than once, so that Spark computes each once a row. A text whose
     windows all differ skips the sort.
     """
-    t, kept = F.coalesce(F.col(text), F.lit("")), [F.col(f"`{c}`") for c in docs.columns]
+    t = F.coalesce(F.col("text"), F.lit(""))
     removed = lambda chars: F.char_length("_t") - F.char_length(F.translate("_t", chars, ""))
-    one = docs.select(*kept, t.alias("_t"), F.regexp_extract_all(t, F.lit(f"[^{SPACE}]+"), F.lit(0)).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_l"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = docs.select(row, t.alias("_t"), F.regexp_extract_all(t, F.lit(f"[^{SPACE}]+"), F.lit(0)).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_l"))
     n = F.size("_w")
     grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     two = one.select("*", grams.alias("_g"))
@@ -55,7 +56,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_digits": removed("0123456789"),
     }
     packed = F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
-    return four.select(*kept, packed.alias("_q"))
+    return four.select("_row", packed.alias("_q"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -163,7 +164,7 @@ def judged(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     The text is scanned once: counts are written, taught from and judged. Repeated and null doc_ids stay rows of their own (a
     null joins no label). Other columns are ignored. Empty table: empty result.
     """
-    counted = cut(with_counts(docs.select("doc_id", "text")).select("doc_id", "_q.*"), "quality")
+    counted = cut(with_counts(docs.select("doc_id", "text")).select("_row.doc_id", "_q.*"), "quality")
     rules = learn(counted, labels, **how)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return counted.select("*", failed.alias("base_failed"), (~failed & rules.kept()).alias("kept"))
@@ -172,6 +173,6 @@ def judged(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def passing(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that the base rules and the learned list keep, with all their columns."""
     counted = cut(with_counts(docs), "quality")
-    rules = learn(counted.select("doc_id", "_q.*"), labels, **how)
-    verdict = counted.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "_q.*")
-    return verdict.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & rules.kept()).select("_row.*")
+    rules = learn(counted.select("_row.doc_id", "_q.*"), labels, **how)
+    verdict = counted.select("_row", "_q.*").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & rules.kept())
+    return verdict.select("_row.*")
