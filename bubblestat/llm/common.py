@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """The same rows, from a table in the shared folder: lineage ends there, so a lost executor costs a reread only."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the table replaces the shuffle files that led to it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
