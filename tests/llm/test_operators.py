@@ -361,6 +361,8 @@ def test_html(spark):
     assert want[2] == "" and sorted(t for p, t in got if p == 3) == ["", "plain & text"]
     assert want[4] == "open" and want[5].startswith("a\n\nb") and want[6].endswith("y y")
     assert html_tree.extracted(df.limit(0)).count() == 0
+    assert html_tree.main_text('<form id=f><div class="layout has-sidebar"><main><p>In</main><div id="comments"><article>No</article></div></div></form>', set()) == "In"
+    assert html_tree.main_text('<div class="content with-sidebar"><p>In</p><div class="sidebarLeft">No</div></div>', set()) == "In"
 
 
 def test_style_trees(spark):
