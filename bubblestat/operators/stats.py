@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..sources.shared import ensure_checkpoints
 
 
 def _sum(a: Column) -> Column:
@@ -135,7 +136,8 @@ def bh_adjusted(tests: DataFrame, p: str = "p", chunks: int | None = None) -> Da
     n = chunks or int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.repartitionByRange(n, "_p").select("*", F.spark_partition_id().alias("_r"))
     inner = W.partitionBy("_r").orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = dealt.withColumn("_k", F.sum("_c").over(inner))
+    ensure_checkpoints(tests.sparkSession)
+    local = dealt.withColumn("_k", F.sum("_c").over(inner)).checkpoint()  # ranges are sampled: they must be dealt once only
     ranges = local.groupBy("_r").agg(F.sum("_c").alias("_n"))
     base = ranges.select("_r", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))
     raw = local.join(F.broadcast(base), "_r").withColumn("_q", F.col("_p") * F.col("_all") / (F.col("_b") + F.col("_k")))

@@ -51,10 +51,9 @@ def cohort_counts(walks: DataFrame, samples: DataFrame) -> DataFrame:
 
 def exact_sets(walks: DataFrame, samples: DataFrame) -> DataFrame:
     """(site, walk, which): walks taken by all cases and nobody else, or by all controls and nobody else."""
-    totals = samples.agg(F.count_if("is_case").alias("cases"), F.count_if(~F.col("is_case")).alias("controls"))
-    counts = cohort_counts(walks, samples).join(F.broadcast(totals))  # one row
-    hit = F.when((F.col("n_control") == 0) & (F.col("n_case") == F.col("cases")) & (F.col("cases") > 0), "case").when((F.col("n_case") == 0) & (F.col("n_control") == F.col("controls")) & (F.col("controls") > 0), "control")
-    return counts.withColumn("which", hit).where("which is not null").select("site", "walk", "which")
+    cases, controls = samples.agg(F.count_if("is_case"), F.count_if(~F.col("is_case"))).first()
+    hit = F.when((F.col("n_control") == 0) & (F.col("n_case") == cases) & F.lit(cases > 0), "case").when((F.col("n_case") == 0) & (F.col("n_control") == controls) & F.lit(controls > 0), "control")
+    return cohort_counts(walks, samples).withColumn("which", hit).where("which is not null").select("site", "walk", "which")
 
 
 def descend(sites: DataFrame, hits, max_depth: int) -> list[DataFrame]:

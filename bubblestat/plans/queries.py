@@ -99,8 +99,8 @@ def group_paths_text(spark, sf_dir):
 @query(M.SQL + "SELECT s.site, p.path, coalesce(n, 0) AS n FROM (SELECT DISTINCT site FROM calls) s CROSS JOIN (SELECT DISTINCT path FROM calls) p LEFT JOIN (SELECT site, path, count(*) AS n FROM calls WHERE hap % 7 = 0 GROUP BY site, path) c ON c.site = s.site AND c.path = p.path")
 def allele_counts(spark, sf_dir):
     c = M.calls(spark, sf_dir)
-    names = c.groupBy().agg(F.collect_set("path").alias("ps"))  # the few values of two flags
-    every = c.select("site").distinct().join(F.broadcast(names)).select("site", F.explode("ps").alias("path"))
+    names = sorted(r[0] for r in c.select("path").distinct().collect())  # the few values of two flags
+    every = c.select("site").distinct().select("site", F.explode(F.array(*map(F.lit, names))).alias("path"))
     return tables.allele_counts(every, c.where("hap % 7 = 0"))
 
 
@@ -616,3 +616,77 @@ def allele_sequences(spark, sf_dir):
     nodes = l.select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("node"), F.concat("l_returnflag", "l_linestatus").alias("seq")).distinct()
     ranges = steps.where("rank >= 2000000000000").groupBy("path").agg(F.lit(0).alias("site"), F.lit(1999999999999).alias("from_rank"), F.lit(10**15).alias("to_rank"))
     return walks.sequences(ranges, steps, nodes).select("path", "sequence")
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id % 3 AS site, user_id AS sample, string_agg(event_type, '>' ORDER BY k) AS walk FROM e WHERE k <= 1 GROUP BY user_id),
+c AS (SELECT site, walk, count(*) FILTER (WHERE c_acctbal > 4500) AS n0, count(*) FILTER (WHERE c_acctbal <= 4500) AS n1 FROM w JOIN customer ON sample = c_custkey GROUP BY site, walk),
+t AS (SELECT *, sum(n0) OVER (PARTITION BY site) AS t0, sum(n1) OVER (PARTITION BY site) AS t1 FROM c)
+SELECT site, string_agg(n0 || ':' || n1, ',' ORDER BY walk) AS group_paths, count(*) - 1 AS df,
+       round(sum(power(n0 - (n0 + n1) * t0 / (t0 + t1), 2) / ((n0 + n1) * t0 / (t0 + t1)) + power(n1 - (n0 + n1) * t1 / (t0 + t1), 2) / ((n0 + n1) * t1 / (t0 + t1))), 6) AS chi2
+FROM t GROUP BY site HAVING count(*) > 1"""
+)
+def graph_assoc(spark, sf_dir):
+    v = M.visits(spark, sf_dir, first=1).withColumns({"child": F.lit(0), "direction": F.lit(0)})
+    out = pipelines.graph(v, M.samples(spark, sf_dir), exact=False)
+    return out.select("site", "group_paths", "df", _r("chi2").alias("chi2"))
+
+
+@query(
+    """WITH RECURSIVE t AS (
+    SELECT 1000000 + r_regionkey AS site, NULL::BIGINT AS parent, true AS eligible FROM region
+    UNION ALL SELECT 2000000 + n_nationkey, 1000000 + n_regionkey, n_nationkey % 4 <> 1 FROM nation
+    UNION ALL SELECT 3000000 + c_custkey, 2000000 + c_nationkey, c_custkey % 2 = 0 FROM customer
+), w AS (SELECT site FROM t WHERE parent IS NULL AND eligible UNION ALL SELECT t.site FROM w JOIN t ON t.parent = w.site WHERE w.site % 5 <> 3 AND t.eligible)
+SELECT site FROM w WHERE site % 5 = 3"""
+)
+def level_descent(spark, sf_dir):
+    """Sites are tested from the top; below a hit, or a site that isn't eligible, nothing is."""
+    r = M.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000000).cast("long").alias("site"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("eligible"))
+    n = M.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000000).cast("long").alias("site"), (F.col("n_regionkey") + 1000000).cast("long").alias("parent"), (F.col("n_nationkey") % 4 != 1).alias("eligible"))
+    c = M.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 3000000).alias("site"), (F.col("c_nationkey") + 2000000).cast("long").alias("parent"), (F.col("c_custkey") % 2 == 0).alias("eligible"))
+    levels = walks.descend(r.union(n).union(c), lambda level: level.where("site % 5 = 3").select("site"), 2)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
+
+
+@query(
+    """WITH p AS (SELECT o_custkey AS site, list(o_orderkey ORDER BY o_orderkey) AS path FROM orders GROUP BY 1),
+i AS (SELECT site, unnest(path[2:-2]) AS element FROM p),
+e AS (SELECT o_custkey AS site, o_orderkey AS element, o_orderkey % 7 AS a, o_orderkey % 7 + o_orderkey % 3 AS b FROM orders)
+SELECT p.site, coalesce(sum(a), 0)::BIGINT AS min_len, coalesce(sum(b), 0)::BIGINT AS max_len, any_value(len(path))::BIGINT AS n_steps
+FROM p LEFT JOIN i ON i.site = p.site LEFT JOIN e ON e.site = i.site AND e.element = i.element GROUP BY p.site"""
+)
+def site_lengths(spark, sf_dir):
+    o = M.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("element"))
+    paths = o.groupBy("site").agg(F.array_sort(F.collect_list("element")).alias("path"))
+    sizes = o.select("site", "element", (F.col("element") % 7).alias("min_len"), (F.col("element") % 7 + F.col("element") % 3).alias("max_len"))
+    return decompose.path_lengths(paths, sizes).select("site", F.col("min_len").cast("long").alias("min_len"), F.col("max_len").cast("long").alias("max_len"), F.col("n_steps").cast("long").alias("n_steps"))
+
+
+@query("SELECT '>snarl:' || l_orderkey || '|ref:' || CASE WHEN l_linenumber % 2 = 0 THEN 'NOREF:?:?' ELSE 'ref:' || l_partkey || '-' || l_suppkey END || '|path:' || l_returnflag || ':' || l_partkey || '-' || l_suppkey || chr(10) || l_linestatus AS value FROM lineitem")
+def fasta_records(spark, sf_dir):
+    from ..sources import sinks
+
+    ends = [F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")]
+    ref = F.when(F.col("l_linenumber") % 2 != 0, F.concat(F.lit("ref:"), *ends))
+    l = M.table(spark, sf_dir, "lineitem")
+    return sinks.fasta(l.select(F.col("l_orderkey").cast("string").alias("site"), ref.alias("reference"), F.col("l_returnflag").alias("path"), F.col("l_partkey").alias("start"), F.col("l_suppkey").alias("end"), F.col("l_linestatus").alias("sequence")))
+
+
+@query(
+    M.SQL
+    + """, c AS (SELECT site, path, n0, n1, 60.0 * n1 / (n0 + n1) AS s FROM counted WHERE n0 + n1 > 0), m AS (SELECT *, s + CASE WHEN s > 30 THEN 1 ELSE -1 END * -ln(0.5) AS a FROM c),
+k AS (SELECT *, greatest(0.0, least(60.0, a)) AS x, greatest(0.0, least(60.0, 60 - a)) AS y FROM m), z AS (SELECT site, path, round(60 * x / (x + y))::INT AS v FROM k)
+SELECT concat_ws(chr(9), site || '_G0', '7', '0', '7', '+', path, '7', '0', '7', '7', '7', v, 'cs:Z::7') AS value FROM z"""
+)
+def gaf_controls(spark, sf_dir):
+    from ..sources import sinks
+
+    t = tables.nonempty(tables.contingency(M.calls(spark, sf_dir), M.samples(spark, sf_dir)))
+    v = tables.site_vectors(t).withColumn("p", F.lit(0.5))
+    sizes = t.select("site", "path", F.lit(7).alias("length"))
+    return sinks.gaf_pair(v.withColumn("site", F.col("site").cast("string")), sizes.withColumn("site", F.col("site").cast("string")), P.display_shares)[0]
