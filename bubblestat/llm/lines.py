@@ -6,16 +6,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import SPACE, cut, width
+from .common import SPACE, cut, forget
 
-#: 2**BITS counters tell how rare a word is: of one size for any vocabulary, so their broadcast is bounded. Sent in PARTS.
-BITS, PARTS = 21, 16
+#: 2**BITS counters tell how rare a word is: of one size for any vocabulary, so their broadcast is bounded. Sent in PARTS, summed in FAN shares.
+BITS, PARTS, FAN = 21, 16, 16
+#: Uses of a word for each share that its list of lines is dealt in; each share has a first line that the others are tried against.
+SHARE = 50_000
 _LAST = (1 << 63) - 1
 
 
@@ -42,33 +45,43 @@ def _slices(texts: list, chars: int = 2 << 20) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
 
 
+def _packed(total: np.ndarray) -> pa.RecordBatch:
+    parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId() % FAN] * PARTS, pa.int32()), pa.array(parts, pa.binary())], ["part", "fan", "counts"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS, np.uint32)
+    total = np.zeros(1 << BITS, np.int64)
     for b in batches:
         texts = b.column(0).to_pylist()
         for i, j in _slices(texts):
-            total += np.bincount(_lines(texts[i:j])[0] >> np.uint64(64 - BITS), minlength=1 << BITS).astype(np.uint32)
+            total += np.bincount(_lines(texts[i:j])[0] >> np.uint64(64 - BITS), minlength=1 << BITS)
     if total.any():
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+        yield _packed(total)
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << BITS) // PARTS, np.int64)
-    for c in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(c), np.uint32)
-    rank = np.where(total < 2, 0, np.minimum(255, 1 + 7 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-    return pd.DataFrame({"part": rows["part"][:1], "counts": [rank.tobytes()]})
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums counters of a part as they stream in: memory is that of the parts, however many tasks sent them."""
+    totals: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            new = np.frombuffer(zlib.decompress(counts), np.int64)
+            totals[part] = totals[part] + new if part in totals else new
+    for part, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "fan", "counts"])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """For each of 2**BITS classes of words a byte that grows with how often they occur in all texts; 0: once at most."""
-    sent = docs.select("text").mapInArrow(_count, "part int, counts binary")
-    merged = sent.groupBy("part")
-    out = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
-    for r in merged.applyInPandas(_add, "part int, counts binary").collect():  # PARTS rows, 2 MB in all
-        out[r["part"]] = np.frombuffer(r["counts"], np.uint8)
-    return out.ravel()
+    """For each of 2**BITS classes of words a byte that grows with how often they occur in all texts; 0: once at most.
+
+    Each task sends its counters in PARTS; they are summed in two rounds, first in FAN shares."""
+    fields = "part int, fan int, counts binary"
+    sent = docs.select("text").mapInArrow(_count, fields).repartition(PARTS, "part", "fan").mapInArrow(_add, fields)
+    out = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
+    for r in sent.repartition(PARTS, "part").mapInArrow(_add, fields).collect():  # PARTS rows of fixed size
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    total = out.ravel()
+    return np.where(total < 2, 0, np.minimum(255, 1 + 7 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
 
 def _describe(shared, similarity: float, least: int):
@@ -105,72 +118,91 @@ def _describe(shared, similarity: float, least: int):
         place = np.arange(len(key)) - np.repeat(begins, n)
         kept = (place < np.repeat(ahead, n)) & (key >> np.uint64(56) > 0)  # a word that occurs once matches nothing
         sizes = np.add.reduceat(kept.astype(np.int64), begins)
-        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[kept].view(np.int64)))
-        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[kept].astype(np.int32)))
+        skip = np.minimum.reduceat(np.where(kept, place, n.max()), begins)  # kept words of a line are next to each other
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        words = pa.ListArray.from_arrays(offsets, pa.array(key[kept].view(np.int64)))
         at = pa.array(owner[use])
         yield pa.RecordBatch.from_arrays(
-            [docs.take(at), hashes.take(at), pa.array(number[use].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(bits.view(np.int64)), words, places],
-            ["doc", "hash", "line", "n", "set", "bits", "words", "places"],
+            [docs.take(at), hashes.take(at), pa.array(number[use].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(skip.astype(np.int32)), words],
+            ["doc", "hash", "line", "n", "set", "bits", "skip", "words"],
         )
 
     return run
 
 
 def _may_match(similarity: float) -> Column:
-    """Whether lines x and y that share a word can be as similar: by their sizes, the word's places, and the bits of their words."""
+    """Whether line y, of those that share a word with x, is earlier and can be as similar: by sizes, the word's places, and the bits of all words."""
     both = F.col("x.n") + F.col("y.n")
     need = F.ceil(similarity / (1 + similarity) * both - 1e-9)
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     longest = F.greatest("x.n", "y.n") * similarity - 1e-9 <= F.least("x.n", "y.n")
-    return longest & (left >= need) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= both - 2 * need)
+    alike = longest & (left >= need) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= both - 2 * need)
+    return alike & (F.col("y.id") < F.col("x.id"))
+
+
+def _share(word: Column, line: Column) -> Column:
+    """A share of the word's list, of which there are as many as its rarity byte tells that its uses fill."""
+    uses = F.pow(F.lit(2.0), (F.shiftrightunsigned(word, 56) - 1) / 7)
+    return F.pmod(F.xxhash64(line), F.ceil(uses / SHARE))
+
 
+def _posts(firsts: DataFrame, *more: str) -> DataFrame:
+    """A row for each word that stands for a line in the join, with its place among the line's words.
 
-def _earlier(y: str, x: str) -> Column:
-    return F.struct(f"{y}.doc", f"{y}.line") < F.struct(f"{x}.doc", f"{x}.line")
+    These are the most rows of all, so they are narrow: 40 bits tell words apart well enough, as what meets is compared in full later."""
+    own = ["id", "n", "bits", *more]
+    word = F.col("word").bitwiseAND(F.lit((1 << 40) - 1))
+    exploded = firsts.select(*own, "skip", F.posexplode("words").alias("i", "word"))
+    return exploded.select(*own, word.alias("word"), (F.col("skip") + F.col("i")).alias("place"), _share(F.col("word"), F.col("id")).alias("share"))
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Sets (`set`) of the pairs (x, y) whose Jaccard similarity, over the lines' words, is high enough."""
+    """Lines (`id`) x of the pairs (x, y) whose Jaccard similarity, over the lines' words, is high enough."""
     pairs = cut(pairs.distinct(), "lines")
-    asked = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
-    places = firsts.join(asked, "set").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "set")).alias("asked"))
+    asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    places = firsts.join(asked, "id").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
     split = F.split(F.col("text"), "\n")
-    found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select(F.explode("asked").alias("a"), split.alias("lines")).select("a.set", F.get("lines", F.col("a.line")).alias("t"))
+    found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select(F.explode("asked").alias("a"), split.alias("lines")).select("a.id", F.get("lines", F.col("a.line")).alias("t"))
     low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda w: F.xxhash64(w)))
-    words = cut(found.dropDuplicates(["set"]).select("set", words.alias("w")), "lines")
-    joined = pairs.join(words.select(F.col("set").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("set").alias("y"), F.col("w").alias("yw")), "y")
+    words = cut(found.dropDuplicates(["id"]).select("id", words.alias("w")), "lines")
+    joined = pairs.join(words.select(F.col("id").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("yw")), "y")
     common = F.size(F.array_intersect("xw", "yw"))
-    return cut(joined.where(common >= similarity * (F.size("xw") + F.size("yw") - common) - 1e-9).select(F.col("x").alias("set")).distinct(), "lines")
+    out = cut(joined.where(common >= similarity * (F.size("xw") + F.size("yw") - common) - 1e-9).select(F.col("x").alias("id")).distinct(), "lines")
+    forget(pairs)
+    forget(words)
+    return out
 
 
 def later_matches(docs: DataFrame, similarity: float = 0.8, least: int = 5) -> DataFrame:
     """(doc, hash, removed): line numbers that go, for each document that has any. doc and hash are the keys of keyed()."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(rarity(docs))
-    described = docs.select("doc", "hash", "text").mapInArrow(_describe(shared, similarity, least), "doc long, hash long, line int, n int, set long, bits long, words array<long>, places array<int>")
-    described = cut(described, "lines")
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+    fields = "doc long, hash long, line int, n int, set long, bits long, skip int, words array<long>"
+    described = cut(docs.select("doc", "hash", "text").mapInArrow(_describe(shared, similarity, least), fields), "lines")
     # Equal sets of words: all but the first line of each go, whatever else happens.
-    first = described.groupBy("set").agg(F.min(F.struct("doc", "hash", "line")).alias("f"))
+    first = described.groupBy("set").agg(F.min(F.struct("doc", "hash", "line", "n", "bits", "skip", "words")).alias("f"))
     first = cut(first.select("set", "f.*"), "lines")
-    one = described.join(first.withColumnRenamed("set", "fset"), (F.col("fset") == F.col("set")) & (first.doc == described.doc) & (first.hash == described.hash) & (first.line == described.line), "left_semi")
-    posts = one.select(described.doc, described.line, "n", "set", "bits", F.explode(F.arrays_zip("words", "places")).alias("p")).select("doc", "line", "n", "set", "bits", F.col("p.words").alias("word"), F.col("p.places").alias("place"))
-    shared_words = posts.groupBy("word").agg(F.count("*").alias("c"), F.min("doc").alias("least_doc")).where("c > 1").select("word", "least_doc")
-    posts = cut(posts.join(shared_words, "word"), "lines")
-    # Against the first line of each word's list: settles most of a large group of near copies, without its pairs.
-    heads = posts.where("doc = least_doc").groupBy("word").agg(F.min(F.struct("line", "doc", "n", "set", "bits", "place")).alias("h")).select("word", "h.*")
-    x, y = posts.alias("x"), cut(heads, "lines").alias("y")
-    tried = x.join(y, "word").where(_earlier("y", "x") & _may_match(similarity)).select(F.col("x.set").alias("x"), F.col("y.set").alias("y"))
-    gone = _verified(tried, first, docs, similarity)
-    # What is left, against all lines before it.
-    x = cut(posts.repartition(width(spark), "set").join(gone, "set", "left_anti"), "lines").alias("x")
-    tried = x.join(posts.alias("y"), "word").where(_earlier("y", "x") & _may_match(similarity)).select(F.col("x.set").alias("x"), F.col("y.set").alias("y"))
-    gone = gone.union(_verified(tried, first, docs, similarity)).distinct().select("set", F.lit(True).alias("gone"))
-    fate = cut(first.join(gone, "set", "left"), "lines")
-    lines = described.select("doc", "hash", "line", "set").join(fate.select("set", "gone", F.struct("doc", "hash", "line").alias("f")), "set")
-    out = lines.where(F.col("gone").isNotNull() | (F.struct("doc", "hash", "line") != F.col("f")))
-    return out.select("doc", "hash", "line").distinct().groupBy("doc", "hash").agg(F.collect_list("line").alias("removed"))
+    every = cut(described.select("doc", "hash", "line", "set"), "lines")
+    forget(described)
+    order, spread = ["doc", "hash", "line"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(first.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "lines")
+    forget(first)
+    # Against the first line of a share of each word's list: settles most of a large group of near copies, without its pairs.
+    share = W.partitionBy("word", "share").orderBy("id")
+    head = F.first(F.struct("id", "n", "bits", "place")).over(share.rowsBetween(W.unboundedPreceding, W.currentRow))
+    tried = _posts(placed).select(F.struct("id", "n", "bits", "place").alias("x"), head.alias("y")).where(_may_match(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    gone = _verified(tried, placed, docs, similarity)
+    # What is left, against all lines before it. Both sides are one exchange; the condition on x must not part them.
+    marked = cut(placed.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "lines")
+    forget(placed)
+    posts = _posts(marked, "open").drop("share")
+    left = F.coalesce(F.when(F.col("x.open"), _may_match(similarity)), F.lit(False))
+    tried = posts.alias("x").join(posts.alias("y"), F.col("x.word") == F.col("y.word")).where(left).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    later = _verified(tried, marked, docs, similarity).withColumn("later", F.lit(True))
+    fate = cut(marked.select("id", "set", *order, "open").join(later, "id", "left").select("set", (~F.col("open") | F.col("later").isNotNull()).alias("gone"), F.struct(*order).alias("f")), "lines")
+    forget(marked)
+    out = every.join(fate, "set").where(F.col("gone") | (F.struct(*order) != F.col("f")))
+    return out.select(*order).distinct().groupBy("doc", "hash").agg(F.collect_list("line").alias("removed"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
