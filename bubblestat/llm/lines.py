@@ -157,7 +157,9 @@ def _posts(firsts: DataFrame, *more: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Lines (`id`) x of the pairs (x, y) whose Jaccard similarity, over the lines' words, is high enough."""
+    """Lines (`id`) x of the pairs (x, y, distance of their bits) whose Jaccard similarity, over the lines' words, is high enough.
+
+    One match settles a line. So each is compared with its nearest candidate first, and with all of them only if that fails."""
     pairs = cut(pairs.distinct(), "lines")
     asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     places = firsts.join(asked, "id").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
@@ -166,12 +168,17 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, similarity:
     low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda w: F.xxhash64(w)))
     words = cut(found.dropDuplicates(["id"]).select("id", words.alias("w")), "lines")
-    joined = pairs.join(words.select(F.col("id").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("yw")), "y")
-    common = F.size(F.array_intersect("xw", "yw"))
-    out = cut(joined.where(common >= similarity * (F.size("xw") + F.size("yw") - common) - 1e-9).select(F.col("x").alias("id")).distinct(), "lines")
+
+    def matched(some: DataFrame) -> DataFrame:
+        joined = some.join(words.select(F.col("id").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("yw")), "y")
+        common = F.size(F.array_intersect("xw", "yw"))
+        return cut(joined.where(common >= similarity * (F.size("xw") + F.size("yw") - common) - 1e-9).select(F.col("x").alias("id")).distinct(), "lines")
+
+    near = matched(pairs.groupBy("x").agg(F.min(F.struct("distance", "y")).alias("b")).select("x", "b.y"))
+    rest = matched(pairs.join(near.withColumnRenamed("id", "x"), "x", "left_anti").select("x", "y"))
     forget(pairs)
     forget(words)
-    return out
+    return near.union(rest)
 
 
 def later_matches(docs: DataFrame, similarity: float = 0.8, least: int = 5) -> DataFrame:
@@ -190,14 +197,14 @@ def later_matches(docs: DataFrame, similarity: float = 0.8, least: int = 5) -> D
     # Against the first line of a share of each word's list: settles most of a large group of near copies, without its pairs.
     share = W.partitionBy("word", "share").orderBy("id")
     head = F.first(F.struct("id", "n", "bits", "place")).over(share.rowsBetween(W.unboundedPreceding, W.currentRow))
-    tried = _posts(placed).select(F.struct("id", "n", "bits", "place").alias("x"), head.alias("y")).where(_may_match(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    tried = _posts(placed).select(F.struct("id", "n", "bits", "place").alias("x"), head.alias("y")).where(_may_match(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))).alias("distance"))
     gone = _verified(tried, placed, docs, similarity)
     # What is left, against all lines before it. Both sides are one exchange; the condition on x must not part them.
     marked = cut(placed.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "lines")
     forget(placed)
     posts = _posts(marked, "open").drop("share")
     left = F.coalesce(F.when(F.col("x.open"), _may_match(similarity)), F.lit(False))
-    tried = posts.alias("x").join(posts.alias("y"), F.col("x.word") == F.col("y.word")).where(left).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    tried = posts.alias("x").join(posts.alias("y"), F.col("x.word") == F.col("y.word")).where(left).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))).alias("distance"))
     later = _verified(tried, marked, docs, similarity).withColumn("later", F.lit(True))
     fate = cut(marked.select("id", "set", *order, "open").join(later, "id", "left").select("set", (~F.col("open") | F.col("later").isNotNull()).alias("gone"), F.struct(*order).alias("f")), "lines")
     forget(marked)
