@@ -376,6 +376,21 @@ def test_style_trees(spark):
     assert html_tree.importance([3, 1]) == pytest.approx(1 - 3 * np.log(3) / (4 * np.log(4)))
 
 
+def test_shared_text_spares_what_is_beside_it(spark):
+    """A stray text under a container, or a heading that each article repeats, costs no page its own paragraphs."""
+    shapes = {
+        "body.org": "<body>| <p>{t}</p><div class='story'><p>{t}</p></div></body>",
+        "div.org": "<body><div class='content'>Share: <p>{t}</p><div class='motto'><p>Same words</p></div></div></body>",
+        "art.org": "<body><article>Credit <h2>Summary</h2><p>{t}</p><ul><li>One rule</ul><div class='motto'><p>Same words</p></div></article></body>",
+    }
+    rows = [(100 * k + i, f"http://{host}/{i}", shape.format(t=f"own{i} " + prose(20).replace("\n", " "))) for k, (host, shape) in enumerate(shapes.items()) for i in range(12)]
+    texts = {r["page_id"]: r["text"] for r in html_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert texts[i].count(f"own{i} ") == 2 and "|" not in texts[i]
+        assert f"own{i} " in texts[100 + i] and "Share" not in texts[100 + i] and "Same" not in texts[100 + i]
+        assert texts[200 + i].startswith(f"Credit\n\nSummary\n\nown{i} ") and texts[200 + i].endswith("One rule")
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
