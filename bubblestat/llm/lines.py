@@ -84,6 +84,11 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.where(total < 2, 0, np.minimum(255, 1 + 7 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
 
+def _fewest(similarity: float) -> int:
+    """The fewest words at which two different sets can be as similar: below, only equal sets match."""
+    return next((n for n in range(1, 1000) if n >= similarity * (n + 1) - 1e-9), 1000)
+
+
 def _describe(shared, similarity: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -114,7 +119,7 @@ def _describe(shared, similarity: float, least: int):
         mixed ^= mixed >> np.uint64(29)
         whole = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begins)
         bits = np.bitwise_or.reduceat(np.uint64(1) << (key & np.uint64(63)), begins)
-        ahead = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+        ahead = np.where(n < _fewest(similarity), 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
         place = np.arange(len(key)) - np.repeat(begins, n)
         kept = (place < np.repeat(ahead, n)) & (key >> np.uint64(56) > 0)  # a word that occurs once matches nothing
         sizes = np.add.reduceat(kept.astype(np.int64), begins)
@@ -222,11 +227,12 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, least: int = 5) -> Da
 
     Lines are parts between \\n; two match if the Jaccard similarity of their sets of words (A-Z lower-cased) is `similarity` or
     more. A line goes if any earlier line matches it, whether that stays or not; earlier is by doc_id (null last), hash of the text, number. Lines of fewer
-    than `least` different words never go. Rows that repeat a document as a whole count as that document and lose the same
+    than `least` different words never go; with 1, only blank ones. Rows that repeat a document as a whole count as that document and lose the same
     lines. Null texts have no lines and stay null; a text may become empty. Other columns pass through; n_chars, if there, is counted anew.
 
     Words are ordered by rarity over all texts. Only a line's rarest n - ceil(s n) + 1 words are joined, and candidates must pass
-    filters on size, place and a bitmap before their words are compared; all filters are exact.
+    filters on size, place and a bitmap before their words are compared; all filters are exact. Lines of so few words that only equal
+    sets are similar enough (below 4 at 0.8) are settled by a hash of the set and not joined.
     """
     removed = later_matches(keyed(docs), similarity, least)
     own, key = docs.columns, [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("hash")]

@@ -158,6 +158,18 @@ def test_similar_lines_all_sizes(spark):
     assert got == {d: gone for (d, _), gone in zip(rows, brute.lines(rows))}
 
 
+def test_short_lines(spark, tmp_path):
+    """Short lines go as others do: equal ones of any size, and five words that hold four of an earlier line."""
+    rows = [(1, "Read more\n\nMIT\na b c d\nx x y y x y x"), (2, "read MORE\n\nread\nMIT\ne a b c d\na b c"), (3, "y x\nd c b a\na b c d e f\n \nc b a\nmore read x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for found in (lines.deduplicated(df, least=1).selectExpr("doc_id", "_removed as gone"), QUERIES["op4_lines"](spark, str(tmp_path)).selectExpr("doc_id", "split(nullif(removed_lines, ''), ',') as gone")):
+        got = {r["doc_id"]: sorted(map(int, r["gone"] or [])) for r in found.collect()}
+        assert got == {1: [], 2: [0, 3, 4], 3: [0, 1, 2, 4]} == {d: gone for (d, _), gone in zip(rows, brute.lines(rows, least=1))}
+    done = {r["doc_id"]: sorted(r["_removed"] or []) for r in lines.deduplicated(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(DOCS)], "doc_id long, text string"), least=1).collect()}
+    assert [done[i] for i in range(len(DOCS))] == brute.lines(list(enumerate(t for _, t in DOCS)), least=1)
+
+
 ITEMS = [(1, " ".join(WORDS[20:50])), (2, "two words"), (3, None), (4, "..."), (5, prose(13)), (5, " ".join(WORDS[100:112])), (None, "changed")]
 
 
