@@ -403,6 +403,17 @@ def test_shared_text_spares_what_is_beside_it(spark):
         assert texts[200 + i].startswith(f"Credit\n\nSummary\n\nown{i} ") and texts[200 + i].endswith("One rule")
 
 
+def test_small_hosts_lose_what_repeats(spark):
+    """Two pages tell what a site repeats; copies of one page tell nothing, on a host of their own or among others."""
+    page = "<body><div class='motto'>Same words</div><div class='story'><p>{t}</p></div></body>"
+    rows = [(i, f"http://two.org/{i}", page.format(t=f"own{i}")) for i in range(2)] + [(10 + i, f"http://copy.org/{i}", page.format(t="copied")) for i in range(9)]
+    rows += [(30 + i, f"http://mixed.org/{i}", page.format(t=f"own{max(i, 20)}")) for i in range(24)]
+    texts = {r["page_id"]: r["text"] for r in html_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts[0] == "own0" and texts[1] == "own1"
+    assert all(texts[10 + i] == "Same words\n\ncopied" for i in range(9))
+    assert all(texts[30 + i] == f"own{max(i, 20)}" for i in range(24))
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
