@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def enumerated(links: DataFrame, bounds: DataFrame, cycle: int = 1, budget: int = 10_000, max_children: int = 50, max_steps: int = 64) -> tuple[DataFrame, DataFrame]:
+def enumerated(links: DataFrame, bounds: DataFrame, cycle: int = 1, budget: int = 10_000, max_children: int = 50) -> tuple[DataFrame, DataFrame]:
     """(site, path array) of all walks from a site's start to its end, and (site, reason) of sites that are given up.
 
     links: site, a, b (elements of a site that follow each other); bounds: site, start, end. An element may recur `cycle` times; only the
@@ -18,8 +18,8 @@ def enumerated(links: DataFrame, bounds: DataFrame, cycle: int = 1, budget: int
     many = inner.where(F.col("n") > max_children).select("site", F.concat_ws(" ", F.lit("too_many_children ="), F.col("n").cast("string"), F.lit("children")).alias("reason"))
     own = links.distinct()
     front = bounds.join(many, "site", "left_anti").select("site", "end", F.array("start").alias("path"))
-    done, met = None, front.select("site")
-    for _ in range(max_steps):
+    done, met = None, front.groupBy("site").agg(F.count("*").alias("c"))
+    while True:  # ends, as recurrence and budget bound each site's walks
         moved = front.withColumn("a", F.element_at("path", -1)).join(own, ["site", "a"])
         again = F.size(F.filter("path", lambda x: x == F.col("b")))
         moved = moved.where((again <= cycle) | (F.col("b") == F.col("end"))).select("site", "end", F.concat("path", F.array("b")).alias("path"), (F.col("b") == F.col("end")).alias("last"))
@@ -27,12 +27,11 @@ def enumerated(links: DataFrame, bounds: DataFrame, cycle: int = 1, budget: int
         ended = moved.where("last").select("site", "path")
         done = ended if done is None else done.unionByName(ended)
         front = moved.where("not last").select("site", "end", "path")
-        met = met.unionByName(moved.select("site"))
-        over = met.groupBy("site").agg(F.count("*").alias("c")).where(F.col("c") > budget).select("site")
+        met = met.unionByName(moved.groupBy("site").agg(F.count("*").alias("c"))).groupBy("site").agg(F.sum("c").alias("c")).checkpoint()
+        over = met.where(F.col("c") > budget).select("site")
         front = front.join(over, "site", "left_anti")
         if front.isEmpty():
             break
-    over = met.groupBy("site").agg(F.count("*").alias("c")).where(F.col("c") > budget).select("site")
     tired = over.join(inner, "site").select("site", F.concat_ws(" ", F.lit("iteration_calculation_out ="), F.col("n").cast("string"), F.lit("children")).alias("reason"))
     few = done.groupBy("site").agg(F.countDistinct("path").alias("c")).where("c < 2").select("site")
     return done.distinct().join(over.unionByName(few), "site", "left_anti"), many.unionByName(tired)

@@ -325,3 +325,11 @@ def test_streaming(spark, study, tmp_path):
     seen = []
     arriving(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda df, n: seen.append(df.count())).awaitTermination()
     assert sum(seen) == 12
+
+
+def test_walks_of_many_steps(spark):
+    """A chain of 40 elements with one link back: its straight walk, and the one that goes round once, of 75 steps."""
+    links = [(1, i, i + 1) for i in range(1, 40)] + [(1, 38, 3)]
+    found, given_up = decompose.enumerated(spark.createDataFrame(links, "site long, a long, b long"), spark.createDataFrame([(1, 1, 40)], "site long, start long, end long"))
+    straight = list(range(1, 41))
+    assert sorted(r["path"] for r in found.collect()) == sorted([straight, straight[:38] + straight[2:]]) and given_up.count() == 0
