@@ -1,4 +1,4 @@
-"""Command line: `vcf` and `graph` analyses and `correct`."""
+"""Command line: `vcf` analysis and `correct`."""
 
 from __future__ import annotations
 
