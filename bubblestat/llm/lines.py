@@ -7,42 +7,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from .common import SPACE, cut, forget
+from .common import cut, forget
 
 #: 2**BITS counters tell how rare a word is: of one size for any vocabulary, so their broadcast is bounded. Sent in PARTS, summed in FAN shares.
 BITS, PARTS, FAN = 21, 16, 16
-#: Uses of a word for each share that its list of lines is dealt in; each share has a first line that the others are tried against.
+#: Uses of a word for each share that its list of lines is dealt in.
 SHARE = 50_000
+#: Bytes of text handled at a time.
+SLICE = 8 << 20
+#: Postings that a task packs at a time, and pairs that it compares at a time.
+PACKED, PAIRS = 1 << 19, 1 << 20
 _LAST = (1 << 63) - 1
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+
+
+# Words
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _B
+    x ^= x >> np.uint64(29)
+    x *= _C
+    return x ^ x >> np.uint64(32)
+
+
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all lines, the number of words of each line, and each line's text and number in it.
+
+    Words are hashed eight bytes at a time, in all texts at once; a word of up to eight bytes has a hash of its own among those of its length."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~_SPACE[raw]
+    edge = np.unique(ends[(ends > 0) & (ends < len(raw))])  # a word ends where its text does
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edge] |= inside[edge]
+    last[edge - 1] |= inside[edge - 1]
+    first, size = np.flatnonzero(first), np.flatnonzero(last)
+    size = size - first + 1
+    low = np.append(_LOWER[raw], np.zeros(8, np.uint8))
+    eight = np.ndarray(len(raw) + 1, "<u8", low.data, strides=(1,))
+    h, live, done = size.astype(np.uint64) * _A, np.arange(len(first)), 0
+    while len(live):
+        rest = size[live] - done
+        h[live] = _mixed(h[live] ^ (eight[first[live] + done] << (8 * np.maximum(0, 8 - rest)).astype(np.uint64)))
+        live, done = live[rest > 8], done + 8
+    breaks = np.flatnonzero(raw == 10)
+    per_text = np.diff(np.searchsorted(breaks, ends)) + 1
+    head = np.cumsum(per_text) - per_text
+    begins = np.empty(int(per_text.sum()), np.int64)
+    is_head = np.zeros(len(begins), bool)
+    is_head[head] = True
+    begins[is_head], begins[~is_head] = ends[:-1], breaks + 1
+    counts = np.diff(np.append(np.searchsorted(first, begins), len(first)))
+    owner = np.repeat(np.arange(len(texts)), per_text)
+    return h, counts, owner, np.arange(len(begins)) - head[owner]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.append(np.searchsorted(size, np.arange(SLICE, size[-1] if len(size) else 0, SLICE)) + 1, len(texts)))
+    yield from ((a, b) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if b > a)
+
+
+def _distinct(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line) in the order of line and key, without repeats; line comes in order. Packed into one number for the sort where that tells all keys of a line apart."""
+    short = line.astype(np.uint64) << np.uint64(44) | key >> np.uint64(20)
+    order = np.argsort(short)
+    same = np.diff(short[order]) == 0
+    if len(line) and line[-1] >= 1 << 20 or (np.diff(key[order])[same] != 0).any():
+        order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    return key[fresh], line[fresh]
 
 
-def _lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, the words of each line, and each line's text and number in it."""
-    words, counts, owner, number = [], [], [], []
-    for d, t in enumerate(texts):
-        for i, line in enumerate((t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            w = line.split()
-            words += w
-            counts.append(len(w))
-            owner.append(d)
-            number.append(i)
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    return h, np.array(counts, np.int64), np.array(owner, np.int64), np.array(number, np.int64)
-
-
-def _slices(texts: list, chars: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars or i + 1 == len(texts):
-            yield start, i + 1
-            start, size = i + 1, 0
+# How rare words are
 
 
 def _packed(total: np.ndarray) -> pa.RecordBatch:
@@ -53,9 +107,8 @@ def _packed(total: np.ndarray) -> pa.RecordBatch:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BITS, np.int64)
     for b in batches:
-        texts = b.column(0).to_pylist()
-        for i, j in _slices(texts):
-            total += np.bincount(_lines(texts[i:j])[0] >> np.uint64(64 - BITS), minlength=1 << BITS)
+        for i, j in _slices(b.column(0)):
+            total += np.bincount(_lines(b.column(0).slice(i, j - i))[0] >> np.uint64(64 - BITS), minlength=1 << BITS)
     if total.any():
         yield _packed(total)
 
@@ -71,16 +124,21 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "fan", "counts"])
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each of 2**BITS classes of words a byte that grows with how often they occur in all texts; 0: once at most.
-
-    Each task sends its counters in PARTS; they are summed in two rounds, first in FAN shares."""
+def _counters(rows: DataFrame, count) -> np.ndarray:
+    """The sum of what all tasks count: 2**BITS numbers."""
     fields = "part int, fan int, counts binary"
-    sent = docs.select("text").mapInArrow(_count, fields).repartition(PARTS, "part", "fan").mapInArrow(_add, fields)
+    sent = rows.mapInArrow(count, fields).repartition(PARTS, "part", "fan").mapInArrow(_add, fields)
     out = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
     for r in sent.repartition(PARTS, "part").mapInArrow(_add, fields).collect():  # PARTS rows of fixed size
         out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    total = out.ravel()
+    return out.ravel()
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """For each of 2**BITS classes of words a byte that grows with how often they occur in all texts; 0: once at most.
+
+    Each task sends its counters in PARTS; they are summed in two rounds, first in FAN shares."""
+    total = _counters(docs.select("text"), _count)
     return np.where(total < 2, 0, np.minimum(255, 1 + 7 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
 
@@ -89,90 +147,242 @@ def _fewest(similarity: float) -> int:
     return next((n for n in range(1, 1000) if n >= similarity * (n + 1) - 1e-9), 1000)
 
 
-def _describe(shared, similarity: float, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            for i, j in _slices(texts):
-                yield from described(rank, texts[i:j], b.column(0).slice(i, j - i), b.column(1).slice(i, j - i))
+# Lines
+
 
-    def described(rank, texts, docs, hashes):
+def _describe(shared, similarity: float):
+    """Rows (id, doc, hash, line, n, a, b, bits, skip, words) from texts in order; id follows that order.
+
+    n: different words; a, b: hash of their set; bits: a bitmap of them; words: the rarest of them, from the one at place `skip` on, by which similar
+    lines meet. A line equal to an earlier one of the slice needs none of these and has n = 0; blank lines have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, at, seen = shared.value, TaskContext.get().partitionId() << 40, None
+        for batch in batches:
+            for i, j in _slices(batch.column(2)):
+                doc, text_hash = (batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (0, 1))
+                new = np.ones(j - i, bool)  # rows that repeat a document as a whole follow it
+                new[1:] = (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])
+                new[0] = (doc[0], text_hash[0]) != seen
+                seen = (doc[-1], text_hash[-1])
+                texts = batch.column(2).slice(i, j - i)
+                yield from described(rank, texts.filter(pa.array(new)), doc[new], text_hash[new], at)
+                at += int(pc.sum(pc.binary_length(texts)).as_py() or 0) + j - i  # as many lines at most
+
+    def described(rank, texts, doc, text_hash, at):
         h, counts, owner, number = _lines(texts)
-        line = np.repeat(np.arange(len(counts)), counts)
         key = (rank[h >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
-        order = np.lexsort((key, line))
-        key, line = key[order], line[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line = key[fresh], line[fresh]
-        n = np.bincount(line, minlength=len(counts))
-        n_key = n[line]
-        key, line = key[n_key >= least], line[n_key >= least]
-        use = np.flatnonzero(n >= least)
+        key, line = _distinct(key, np.repeat(np.arange(len(counts)), counts))
+        use, begins, n = np.unique(line, return_index=True, return_counts=True)
         if not len(use):
             return
-        n = n[use]
-        ends = np.cumsum(n)
-        begins = ends - n
-        mixed = (key & np.uint64((1 << 56) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        whole = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begins)
+        a = np.add.reduceat(_mixed(key + _A), begins)
+        b = np.add.reduceat(_mixed(key ^ _C), begins)
         bits = np.bitwise_or.reduceat(np.uint64(1) << (key & np.uint64(63)), begins)
         ahead = np.where(n < _fewest(similarity), 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
+        order = np.lexsort((b, a))  # stable: of equal sets, the first stays
+        again = np.zeros(len(n), bool)
+        again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
         place = np.arange(len(key)) - np.repeat(begins, n)
-        kept = (place < np.repeat(ahead, n)) & (key >> np.uint64(56) > 0)  # a word that occurs once matches nothing
+        kept = (place < np.repeat(np.where(again, 0, ahead), n)) & (key >> np.uint64(56) > 0)  # a word that occurs once matches nothing
         sizes = np.add.reduceat(kept.astype(np.int64), begins)
         skip = np.minimum.reduceat(np.where(kept, place, n.max()), begins)  # kept words of a line are next to each other
-        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-        words = pa.ListArray.from_arrays(offsets, pa.array(key[kept].view(np.int64)))
-        at = pa.array(owner[use])
+        ids = at + use
+        a, b = np.where(again, ids.view(np.uint64), a), np.where(again, np.uint64(0), b)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(key[kept].view(np.int64)))
+        whole = [pa.array(x.view(np.int64)) for x in (a, b, bits)]
         yield pa.RecordBatch.from_arrays(
-            [docs.take(at), hashes.take(at), pa.array(number[use].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(skip.astype(np.int32)), words],
-            ["doc", "hash", "line", "n", "set", "bits", "skip", "words"],
+            [pa.array(ids), pa.array(doc[owner[use]]), pa.array(text_hash[owner[use]]), pa.array(number[use].astype(np.int32)), pa.array(np.where(again, 0, n).astype(np.int32)), *whole, pa.array(skip.astype(np.int32)), lists],
+            ["id", "doc", "hash", "line", "n", "a", "b", "bits", "skip", "words"],
         )
 
     return run
 
 
-def _may_match(similarity: float) -> Column:
-    """Whether line y, of those that share a word with x, is earlier and can be as similar: by sizes, the word's places, and the bits of all words."""
-    both = F.col("x.n") + F.col("y.n")
-    need = F.ceil(similarity / (1 + similarity) * both - 1e-9)
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    longest = F.greatest("x.n", "y.n") * similarity - 1e-9 <= F.least("x.n", "y.n")
-    alike = longest & (left >= need) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= both - 2 * need)
-    return alike & (F.col("y.id") < F.col("x.id"))
+# Candidates
+
+
+def _shares(word: np.ndarray, share: int) -> np.ndarray:
+    """How many shares a word's list is dealt in: as many as its rarity byte tells that its uses fill."""
+    return np.ceil(np.exp2(((word >> np.uint64(56)).astype(float) - 1) / 7) / share).astype(np.int64)
+
+
+def _wide(words: Column, share: int) -> Column:
+    """Whether the list of any of a line's words has more than one share. The last is the most frequent."""
+    uses = F.pow(F.lit(2.0), (F.shiftrightunsigned(F.element_at(words, -1), 56) - 1) / 7)
+    return F.coalesce(uses > share, F.lit(False))
+
+
+_POST = [("key", "<u4"), ("id", "<i8"), ("n", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("asks", "u1")]
+
+
+def _posts(cells: int, share: int, wanted=None):
+    """Postings of lines (id, n, bits, skip, words, asks), packed by cell of the word and its share: (cell, posts).
+
+    Without `wanted` each line is in its own share of each list, and asks there. With it, lists of words that it flags are made: lines are in
+    their own share, and those that ask do so in all shares."""
+
+    def made(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column(4)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        word = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ids, n, bits, skip, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + skip[of]
+        if wanted is not None:
+            use = wanted.value[_flag(word)]
+            of, word, place = of[use], word[use], place[use]
+        shares = _shares(word, share)
+        own = (_mixed(ids[of].astype(np.uint64) + _A) >> np.uint64(8)).astype(np.int64) % shares
+        kinds = [(of, word, place, own, wanted is None)]
+        if wanted is not None:
+            times = np.where(asks[of], shares, 0)
+            each = np.repeat(np.arange(len(of)), times)
+            kinds.append((of[each], word[each], place[each], np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times), True))
+        out = []
+        for f, w, p, s, ask in kinds:
+            mixed = _mixed((w & np.uint64((1 << 56) - 1)) + s.astype(np.uint64) * _A)
+            x = np.zeros(len(f), [("cell", "<u4"), *_POST])
+            x["cell"], x["key"] = (mixed >> np.uint64(32)) % np.uint64(cells), mixed & np.uint64(0xFFFFFFFF)
+            x["id"], x["n"], x["place"], x["bits"], x["asks"] = ids[f], n[f], p, bits.view(np.uint64)[f], ask
+            out.append(x)
+        return np.concatenate(out)
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        all_ = np.concatenate(held)
+        all_ = all_[np.argsort(all_["cell"], kind="stable")]
+        cell, begins = np.unique(all_["cell"], return_index=True)
+        rows = [pack(b"".join(np.diff(part[c], prepend=0).tobytes() if c == "id" else part[c].tobytes() for c, _ in _POST)) for part in np.split(all_, begins[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(rows, pa.binary())], ["cell", "posts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(made(b))
+            size += len(held[-1])
+            if size >= PACKED:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
+
+def _flag(word: np.ndarray) -> np.ndarray:
+    return (_mixed(word & np.uint64((1 << 56) - 1)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _share(word: Column, line: Column) -> Column:
-    """A share of the word's list, of which there are as many as its rarity byte tells that its uses fill."""
-    uses = F.pow(F.lit(2.0), (F.shiftrightunsigned(word, 56) - 1) / 7)
-    return F.pmod(F.xxhash64(line), F.ceil(uses / SHARE))
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of the words that lines (words) ask for."""
+    total = np.zeros(1 << BITS, np.int64)
+    for b in batches:
+        total[_flag(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))] = 1
+    if total.any():
+        yield _packed(total)
+
+
+def _candidates(similarity: float, every: bool):
+    """(x, y, distance, more): for lines x that ask, earlier lines y of a list that can be as similar, by sizes, places and bitmaps.
+
+    A list is searched in growing steps. Unless `every`, a line's search ends with the step in which it meets a candidate, the nearest of which is
+    given; `more` tells that there may be others."""
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = [np.zeros(0, [("cell", "<u4"), *_POST])]
+        for b in batches:
+            for cell, posts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = zstandard.ZstdDecompressor().decompress(posts)
+                x, at = np.zeros(len(raw) // 29, out[0].dtype), 0
+                x["cell"] = cell
+                for c, kind in _POST:
+                    part = np.frombuffer(raw, kind, len(x), at)
+                    x[c], at = np.cumsum(part) if c == "id" else part, at + part.nbytes
+                out.append(x)
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        posts = unpacked(batches)
+        group = posts["cell"].astype(np.uint64) << np.uint64(32) | posts["key"]
+        order = np.lexsort((posts["n"], group))
+        posts, group = posts[order], group[order]
+        ids, n, place, bits = posts["id"], posts["n"].astype(np.int64), posts["place"].astype(np.int64), posts["bits"]
+        number = np.cumsum(np.append(0, group[1:] != group[:-1])) << 32 if len(posts) else np.zeros(0, np.int64)
+        at = np.searchsorted(number + n, number + np.ceil(similarity * n - 1e-9).astype(np.int64))
+        end = np.searchsorted(number + n, number + np.floor(n / similarity + 1e-9).astype(np.int64), side="right")
+        short = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1  # as few words suffice for the smaller of two
+        live, width = np.flatnonzero((end - at > 1) & (posts["asks"] > 0)), 8
+        while len(live):
+            steps = np.minimum(width, end[live] - at[live])
+            found = np.zeros(len(live), bool)
+            parts = np.unique(np.append(np.searchsorted(np.cumsum(steps), np.arange(PAIRS, steps.sum(), PAIRS)) + 1, len(live)))
+            for i, j in zip([0, *parts[:-1].tolist()], parts.tolist(), strict=True):
+                own, step = live[i:j], steps[i:j]
+                x = np.repeat(own, step)
+                y = np.repeat(at[own] - (np.cumsum(step) - step), step) + np.arange(len(x))
+                ok = ids[y] < ids[x]
+                x, y = x[ok], y[ok]
+                less = np.where(n[x] < n[y], x, y)
+                need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9).astype(np.int64)
+                far = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+                ok = (place[less] < short[less]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (far <= n[x] + n[y] - 2 * need)
+                x, y, far = x[ok], y[ok], far[ok]
+                if not len(x):
+                    continue
+                if every:
+                    yield rows(ids[x], ids[y], far, np.zeros(len(x), bool))
+                    continue
+                order = np.lexsort((far, x))
+                x, y, far = x[order], y[order], far[order]
+                best, times = np.unique(x, return_index=True, return_counts=True)[1:]
+                met = x[best]
+                found[i + np.searchsorted(own, met)] = True
+                yield rows(ids[met], ids[y[best]], far[best], (times > 1) | (at[met] + width < end[met]))
+            at[live] += steps
+            live, width = live[~found & (at[live] < end[live])], min(4 * width, 1 << 14)
+
+    def rows(x, y, far, more):
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far), pa.array(more)], ["x", "y", "distance", "more"])
 
-def _posts(firsts: DataFrame, *more: str) -> DataFrame:
-    """A row for each word that stands for a line in the join, with its place among the line's words.
+    return run
 
-    These are the most rows of all, so they are narrow: 40 bits tell words apart well enough, as what meets is compared in full later."""
-    own = ["id", "n", "bits", *more]
-    word = F.col("word").bitwiseAND(F.lit((1 << 40) - 1))
-    exploded = firsts.select(*own, "skip", F.posexplode("words").alias("i", "word"))
-    return exploded.select(*own, word.alias("word"), (F.col("skip") + F.col("i")).alias("place"), _share(F.col("word"), F.col("id")).alias("share"))
 
+def _met(lines: DataFrame, similarity: float, share: int, wanted=None) -> DataFrame:
+    """Distinct candidates (x, y, distance, more) of lines; more holds for the pair's x."""
+    cells = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posts = lines.mapInArrow(_posts(cells, share, wanted), "cell int, posts binary").repartitionById(cells, F.col("cell"))
+    found = posts.mapInArrow(_candidates(similarity, wanted is not None), "x long, y long, distance long, more boolean")
+    return cut(found.groupBy("x", "y").agg(F.min("distance").alias("distance"), F.max("more").alias("more")), "lines")
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Lines (`id`) x of the pairs (x, y, distance of their bits) whose Jaccard similarity, over the lines' words, is high enough.
+
+# Comparison
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, w) of asked lines (text, asked): the different words of each."""
+    for b in batches:
+        texts = b.column(0)
+        for i, j in _slices(texts):
+            ids, found = [], []
+            for text, asked in zip(texts.slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), strict=True):
+                parts = text.split("\n")
+                ids += [a["id"] for a in asked]
+                found += [parts[a["line"]] for a in asked]
+            h, counts, *_ = _lines(pa.array(found, pa.string()))
+            h, line = _distinct(h, np.repeat(np.arange(len(counts)), counts))
+            ends = np.append(0, np.cumsum(np.bincount(line, minlength=len(ids)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["id", "w"])
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Lines (`id`) x of the pairs (x, y, distance) whose Jaccard similarity, over the lines' words, is high enough.
 
     One match settles a line. So each is compared with its nearest candidate first, and with all of them only if that fails."""
-    pairs = cut(pairs.distinct(), "lines")
     asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    places = firsts.join(asked, "id").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
-    split = F.split(F.col("text"), "\n")
-    found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select(F.explode("asked").alias("a"), split.alias("lines")).select("a.id", F.get("lines", F.col("a.line")).alias("t"))
-    low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda w: F.xxhash64(w)))
-    words = cut(found.dropDuplicates(["id"]).select("id", words.alias("w")), "lines")
+    places = lines.select("id", "doc", "hash", "line").join(asked, "id").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
+    found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select("text", "asked").mapInArrow(_hashed, "id long, w array<long>")
+    words = cut(found.dropDuplicates(["id"]), "lines")
 
     def matched(some: DataFrame) -> DataFrame:
         joined = some.join(words.select(F.col("id").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("yw")), "y")
@@ -181,64 +391,69 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, similarity:
 
     near = matched(pairs.groupBy("x").agg(F.min(F.struct("distance", "y")).alias("b")).select("x", "b.y"))
     rest = matched(pairs.join(near.withColumnRenamed("id", "x"), "x", "left_anti").select("x", "y"))
-    forget(pairs)
     forget(words)
     return near.union(rest)
 
 
-def later_matches(docs: DataFrame, similarity: float = 0.8, least: int = 5) -> DataFrame:
+def later_matches(docs: DataFrame, similarity: float = 0.8, share: int = SHARE) -> DataFrame:
     """(doc, hash, removed): line numbers that go, for each document that has any. doc and hash are the keys of keyed()."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    fields = "doc long, hash long, line int, n int, set long, bits long, skip int, words array<long>"
-    described = cut(docs.select("doc", "hash", "text").mapInArrow(_describe(shared, similarity, least), fields), "lines")
+    spark, order = docs.sparkSession, ["doc", "hash"]
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(rarity(docs))
+    fields = "id long, doc long, hash long, line int, n int, a long, b long, bits long, skip int, words array<long>"
+    texts = docs.select(*order, "text").repartitionByRange(spread, *order).sortWithinPartitions(*order)
     # Equal sets of words: all but the first line of each go, whatever else happens.
-    first = described.groupBy("set").agg(F.min(F.struct("doc", "hash", "line", "n", "bits", "skip", "words")).alias("f"))
-    first = cut(first.select("set", "f.*"), "lines")
-    every = cut(described.select("doc", "hash", "line", "set"), "lines")
-    forget(described)
-    order, spread = ["doc", "hash", "line"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(first.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "lines")
-    forget(first)
-    # Against the first line of a share of each word's list: settles most of a large group of near copies, without its pairs.
-    share = W.partitionBy("word", "share").orderBy("id")
-    head = F.first(F.struct("id", "n", "bits", "place")).over(share.rowsBetween(W.unboundedPreceding, W.currentRow))
-    tried = _posts(placed).select(F.struct("id", "n", "bits", "place").alias("x"), head.alias("y")).where(_may_match(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))).alias("distance"))
-    gone = _verified(tried, placed, docs, similarity)
-    # What is left, against all lines before it. Both sides are one exchange; the condition on x must not part them.
-    marked = cut(placed.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "lines")
-    forget(placed)
-    posts = _posts(marked, "open").drop("share")
-    left = F.coalesce(F.when(F.col("x.open"), _may_match(similarity)), F.lit(False))
-    tried = posts.alias("x").join(posts.alias("y"), F.col("x.word") == F.col("y.word")).where(left).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))).alias("distance"))
-    later = _verified(tried, marked, docs, similarity).withColumn("later", F.lit(True))
-    fate = cut(marked.select("id", "set", *order, "open").join(later, "id", "left").select("set", (~F.col("open") | F.col("later").isNotNull()).alias("gone"), F.struct(*order).alias("f")), "lines")
-    forget(marked)
-    out = every.join(fate, "set").where(F.col("gone") | (F.struct(*order) != F.col("f")))
-    return out.select(*order).distinct().groupBy("doc", "hash").agg(F.collect_list("line").alias("removed"))
+    first = (F.col("n") > 0) & (F.min("id").over(W.partitionBy("a", "b")) == F.col("id"))
+    lines = cut(texts.mapInArrow(_describe(shared, similarity), fields).withColumn("first", first).drop("a", "b"), "lines")
+    firsts = lines.where("first and size(words) > 0")
+    posts = firsts.select("id", "n", "bits", "skip", "words")
+    pairs = _met(posts.withColumn("asks", F.lit(True)), similarity, share)
+    gone = _verified(pairs, lines, docs, similarity)
+    # Lines that may have other candidates, against all lines before them.
+    more = pairs.where("more").select(F.col("x").alias("id")).union(firsts.where(_wide(F.col("words"), share)).select("id"))
+    left = cut(more.distinct().join(gone, "id", "left_anti"), "lines")
+    forget(pairs)
+    marked = posts.join(left.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    flags = _counters(marked.where("asks").select("words"), _asked) > 0
+    pairs = _met(marked, similarity, share, spark.sparkContext.broadcast(flags))
+    gone = gone.union(_verified(pairs, lines, docs, similarity)).distinct().withColumn("gone", F.lit(True))
+    out = lines.select("id", *order, "line", "first").join(gone, "id", "left").where("not first or gone")
+    out = cut(out.groupBy(*order).agg(F.collect_list("line").alias("removed")), "lines")
+    for used in (pairs, left, lines):
+        forget(used)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """text, and what places a line in the order of all lines: doc_id (null: last), then a hash of the text, then the line's number."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("hash"), "text")
+    return docs.select(*_key(), "text")
 
 
-def deduplicated(docs: DataFrame, similarity: float = 0.8, least: int = 5) -> DataFrame:
-    """docs without later lines that match an earlier one, and a column `_removed` of their numbers (from 0; null: none).
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("hash")]
 
-    Lines are parts between \\n; two match if the Jaccard similarity of their sets of words (A-Z lower-cased) is `similarity` or
-    more. A line goes if any earlier line matches it, whether that stays or not; earlier is by doc_id (null last), hash of the text, number. Lines of fewer
-    than `least` different words never go; with 1, only blank ones. Rows that repeat a document as a whole count as that document and lose the same
-    lines. Null texts have no lines and stay null; a text may become empty. Other columns pass through; n_chars, if there, is counted anew.
 
-    Words are ordered by rarity over all texts. Only a line's rarest n - ceil(s n) + 1 words are joined, and candidates must pass
-    filters on size, place and a bitmap before their words are compared; all filters are exact. Lines of so few words that only equal
-    sets are similar enough (below 4 at 0.8) are settled by a hash of the set and not joined.
-    """
-    removed = later_matches(keyed(docs), similarity, least)
-    own, key = docs.columns, [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("hash")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), *key)
+def with_removed(docs: DataFrame, similarity: float = 0.8, share: int = SHARE) -> DataFrame:
+    """(row, text, removed): each row of docs as a struct, its text without later lines that match an earlier one, and their numbers (from 0; null: none)."""
+    removed = later_matches(keyed(docs), similarity, share)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key())
     joined = rows.join(removed.hint("shuffle_hash"), ["doc", "hash"], "left")
-    text = F.array_join(F.filter(F.split("_row.text", "\n"), lambda t, i: ~F.array_contains("removed", i)), "\n")
-    joined = joined.select("_row", "removed", F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(text).alias("_text"))
-    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return joined.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in own], F.col("removed").alias("_removed"))
+    text = F.array_join(F.filter(F.split("row.text", "\n"), lambda t, i: ~F.array_contains("removed", i)), "\n")
+    return joined.select("row", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(text).alias("text"), "removed")
+
+
+def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs without later lines that match an earlier one.
+
+    Lines are parts between \\n; two match if the Jaccard similarity of their sets of words (A-Z lower-cased) is `similarity` or
+    more. A line goes if any earlier line matches it, whether that stays or not; earlier is by doc_id (null last), hash of the text, number.
+    Lines without words stay. Rows that repeat a document as a whole count as that document and lose the same
+    lines. Null texts have no lines and stay null; a text may become empty; texts of any length are taken whole. Other columns pass through,
+    whatever their names; n_chars, if there, is counted anew.
+
+    Words are ordered by rarity over all texts. A line's rarest n - ceil(s n) + 1 words are posted, of which the smaller of two similar lines needs
+    fewer, and candidates must pass filters on size, place and a bitmap before their words are compared. Lines of so few words that only equal
+    sets are similar enough (below 4 at 0.8) are settled by the set's hash. Words are told apart by 64-bit hashes, sets by 128 bits.
+    """
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return with_removed(docs, similarity).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

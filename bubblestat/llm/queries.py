@@ -30,9 +30,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
-    removed = F.array_sort(F.coalesce("_removed", F.array().cast("array<int>")))
-    return done.select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed_lines"), "text")
+    done = lines.with_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.array_sort(F.coalesce("removed", F.array().cast("array<int>")))
+    return done.select("row.doc_id", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed_lines"), "text")
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def counts(text):
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
 
 
-def lines(rows, similarity=0.8, least=5):
+def lines(rows, similarity=0.8):
     """[(doc_id, text)] to the removed line numbers of each row."""
     order = sorted((i for i in range(len(rows))), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hash_of(rows[i][1])))
     found, out, done = [], {}, {}
@@ -66,7 +66,7 @@ def lines(rows, similarity=0.8, least=5):
         gone = []
         for n, line in enumerate((rows[i][1] or "").split("\n") if rows[i][1] is not None else []):
             s = set(WORD.findall(line.translate(LOWER)))
-            if len(s) < least:
+            if not s:
                 continue
             if any(len(s & o) >= similarity * len(s | o) - 1e-9 for o in found):
                 gone.append(n)

@@ -131,30 +131,38 @@ def test_quality_rules_are_learned(spark):
     assert sum(got[i] == (i % 5 != 0) for i in range(400)) >= 395
 
 
+def removed(df, **how):
+    return lines.with_removed(df, **how).select("row.*", F.col("text").alias("left"), "removed").collect()
+
+
 def test_lines(docs, none):
-    done = lines.deduplicated(docs)
-    assert done.columns == [*docs.columns, "_removed"]
+    docs = docs.withColumn("removed", F.lit("x")).withColumn("row", F.lit(1)).withColumn("_removed", F.lit(2))  # names of its own
+    assert lines.deduplicated(docs).columns == docs.columns
     want = brute.lines(DOCS)
-    got = {r["n.x"]: r for r in done.collect()}
+    got = {r["n.x"]: r for r in lines.with_removed(docs).select("row.`n.x`", "text", F.array_sort("removed").alias("gone")).collect()}
     assert len(got) == len(DOCS)
     for i, ((_, t), gone) in enumerate(zip(DOCS, want)):
-        assert sorted(got[i]["_removed"] or []) == gone
+        assert (got[i]["gone"] or []) == gone
         assert got[i]["text"] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
     assert sum(map(len, want)) > 20
     assert lines.deduplicated(none).count() == 0
 
 
-def test_similar_lines_all_sizes(spark):
+@pytest.mark.parametrize("share", [50_000, 3])
+def test_similar_lines_all_sizes(spark, share):
+    """With lists whole, and with lists dealt in shares."""
     rng, rows = random.Random(6), []
     for i in range(60):
-        own = rng.sample(VOCAB, rng.randint(5, 40))
+        own = rng.sample(VOCAB, rng.randint(1, 40))
         rows.append((2 * i, " ".join(own)))
-        for _ in range(rng.randrange(0, 1 + len(own) // 6)):
-            own[rng.randrange(len(own))] = rng.choice(VOCAB)
-        rng.shuffle(own)
-        rows.append((2 * i + 1, " ".join(own)))
+        for k in range(6):
+            some = list(own)
+            for _ in range(rng.randrange(0, 1 + len(own) // 4)):
+                some[rng.randrange(len(own))] = rng.choice(VOCAB)
+            rng.shuffle(some)
+            rows.append((2 * i + 1000 * k + 1, " ".join(some[: rng.randint(len(own) * 3 // 4, len(own))])))
     rng.shuffle(rows)
-    got = {r["doc_id"]: sorted(r["_removed"] or []) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: sorted(r["removed"] or []) for r in removed(spark.createDataFrame(rows, "doc_id long, text string"), share=share)}
     assert got == {d: gone for (d, _), gone in zip(rows, brute.lines(rows))}
 
 
@@ -163,11 +171,23 @@ def test_short_lines(spark, tmp_path):
     rows = [(1, "Read more\n\nMIT\na b c d\nx x y y x y x"), (2, "read MORE\n\nread\nMIT\ne a b c d\na b c"), (3, "y x\nd c b a\na b c d e f\n \nc b a\nmore read x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    for found in (lines.deduplicated(df, least=1).selectExpr("doc_id", "_removed as gone"), QUERIES["op4_lines"](spark, str(tmp_path)).selectExpr("doc_id", "split(nullif(removed_lines, ''), ',') as gone")):
-        got = {r["doc_id"]: sorted(map(int, r["gone"] or [])) for r in found.collect()}
-        assert got == {1: [], 2: [0, 3, 4], 3: [0, 1, 2, 4]} == {d: gone for (d, _), gone in zip(rows, brute.lines(rows, least=1))}
-    done = {r["doc_id"]: sorted(r["_removed"] or []) for r in lines.deduplicated(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(DOCS)], "doc_id long, text string"), least=1).collect()}
-    assert [done[i] for i in range(len(DOCS))] == brute.lines(list(enumerate(t for _, t in DOCS)), least=1)
+    assert {r["doc_id"]: sorted(r["removed"] or []) for r in removed(df)} == {1: [], 2: [0, 3, 4], 3: [0, 1, 2, 4]}
+    got = {r["doc_id"]: sorted(map(int, r["gone"] or [])) for r in QUERIES["op4_lines"](spark, str(tmp_path)).selectExpr("doc_id", "split(nullif(removed_lines, ''), ',') as gone").collect()}
+    assert got == {d: gone for (d, _), gone in zip(rows, brute.lines(rows))}
+    done = {r["doc_id"]: sorted(r["removed"] or []) for r in removed(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(DOCS)], "doc_id long, text string"))}
+    assert [done[i] for i in range(len(DOCS))] == brute.lines(list(enumerate(t for _, t in DOCS)))
+
+
+def test_line_words():
+    """Words of lines, texts of all shapes in one array, by slices of any size."""
+    texts = [t for _, t in DOCS] + ["\n", "\n\na", "b\n", "x" * 70 + " " + "x" * 71, "", None, "a\x0bb\x0cc\rd\te", "é É Z z", "w" * 8 + " " + "w" * 9, "y"]
+    h, counts, owner, number = lines._lines(pa.array(texts, pa.string()))
+    want = [(i, n, brute.WORD.findall(x.translate(brute.LOWER))) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))]
+    assert list(zip(owner.tolist(), number.tolist(), counts.tolist())) == [(i, n, len(w)) for i, n, w in want]
+    words = [x for *_, w in want for x in w]
+    assert len(words) == len(h) and len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+    part = pa.array(texts, pa.string()).slice(3, 5)
+    assert lines._lines(part)[0].tolist() == h[sum(counts[owner < 3]) : sum(counts[owner < 8])].tolist()
 
 
 ITEMS = [(1, " ".join(WORDS[20:50])), (2, "two words"), (3, None), (4, "..."), (5, prose(13)), (5, " ".join(WORDS[100:112])), (None, "changed")]
