@@ -151,9 +151,9 @@ def _fewest(similarity: float) -> int:
 
 
 def _describe(shared, similarity: float):
-    """Rows (id, doc, hash, line, n, a, b, bits, skip, words) from texts in order; id follows that order.
+    """Rows (id, doc, hash, line, n, a, b, bits, more, skip, words) from texts in order; id follows that order.
 
-    n: different words; a, b: hash of their set; bits: a bitmap of them; words: the rarest of them, from the one at place `skip` on, by which similar
+    n: different words; a, b: hash of their set; bits, more: a bitmap of them; words: the rarest of them, from the one at place `skip` on, by which similar
     lines meet. A line equal to an earlier one of the slice needs none of these and has n = 0; blank lines have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,8 @@ def _describe(shared, similarity: float):
             return
         a = np.add.reduceat(_mixed(key + _A), begins)
         b = np.add.reduceat(_mixed(key ^ _C), begins)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (key & np.uint64(63)), begins)
+        bit, low = np.uint64(1) << (key & np.uint64(63)), key & np.uint64(64) == 0
+        bits, more = (np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), begins) for half in (low, ~low))
         ahead = np.where(n < _fewest(similarity), 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
         order = np.lexsort((b, a))  # stable: of equal sets, the first stays
         again = np.zeros(len(n), bool)
@@ -190,10 +191,10 @@ def _describe(shared, similarity: float):
         ids = at + use
         a, b = np.where(again, ids.view(np.uint64), a), np.where(again, np.uint64(0), b)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(key[kept].view(np.int64)))
-        whole = [pa.array(x.view(np.int64)) for x in (a, b, bits)]
+        whole = [pa.array(x.view(np.int64)) for x in (a, b, bits, more)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids), pa.array(doc[owner[use]]), pa.array(text_hash[owner[use]]), pa.array(number[use].astype(np.int32)), pa.array(np.where(again, 0, n).astype(np.int32)), *whole, pa.array(skip.astype(np.int32)), lists],
-            ["id", "doc", "hash", "line", "n", "a", "b", "bits", "skip", "words"],
+            ["id", "doc", "hash", "line", "n", "a", "b", "bits", "more", "skip", "words"],
         )
 
     return run
@@ -213,21 +214,22 @@ def _wide(words: Column, share: int) -> Column:
     return F.coalesce(uses > share, F.lit(False))
 
 
-_POST = [("key", "<u4"), ("id", "<i8"), ("n", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("asks", "u1")]
+_POST = [("key", "<u4"), ("id", "<i8"), ("n", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("more", "<u8"), ("asks", "u1")]
+_POST_BYTES = np.dtype(_POST).itemsize
 
 
 def _posts(cells: int, share: int, wanted=None):
-    """Postings of lines (id, n, bits, skip, words, asks), packed by cell of the word and its share: (cell, posts).
+    """Postings of lines (id, n, bits, more, skip, words, asks), packed by cell of the word and its share: (cell, posts).
 
     Without `wanted` each line is in its own share of each list, and asks there. With it, lists of words that it flags are made: lines are in
     their own share, and those that ask do so in all shares."""
 
     def made(batch: pa.RecordBatch) -> np.ndarray:
-        lists = batch.column(4)
+        lists = batch.column(5)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(sizes)), sizes)
         word = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        ids, n, bits, skip, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
+        ids, n, bits, more, skip, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6))
         place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + skip[of]
         if wanted is not None:
             use = wanted.value[_flag(word)]
@@ -244,7 +246,7 @@ def _posts(cells: int, share: int, wanted=None):
             mixed = _mixed((w & np.uint64((1 << 56) - 1)) + s.astype(np.uint64) * _A)
             x = np.zeros(len(f), [("cell", "<u4"), *_POST])
             x["cell"], x["key"] = (mixed >> np.uint64(32)) % np.uint64(cells), mixed & np.uint64(0xFFFFFFFF)
-            x["id"], x["n"], x["place"], x["bits"], x["asks"] = ids[f], n[f], p, bits.view(np.uint64)[f], ask
+            x["id"], x["n"], x["place"], x["bits"], x["more"], x["asks"] = ids[f], n[f], p, bits.view(np.uint64)[f], more.view(np.uint64)[f], ask
             out.append(x)
         return np.concatenate(out)
 
@@ -294,7 +296,7 @@ def _candidates(similarity: float, every: bool):
         for b in batches:
             for cell, posts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = zstandard.ZstdDecompressor().decompress(posts)
-                x, at = np.zeros(len(raw) // 29, out[0].dtype), 0
+                x, at = np.zeros(len(raw) // _POST_BYTES, out[0].dtype), 0
                 x["cell"] = cell
                 for c, kind in _POST:
                     part = np.frombuffer(raw, kind, len(x), at)
@@ -307,7 +309,7 @@ def _candidates(similarity: float, every: bool):
         group = posts["cell"].astype(np.uint64) << np.uint64(32) | posts["key"]
         order = np.lexsort((posts["n"], group))
         posts, group = posts[order], group[order]
-        ids, n, place, bits = posts["id"], posts["n"].astype(np.int64), posts["place"].astype(np.int64), posts["bits"]
+        ids, n, place, bits, rest = posts["id"].copy(), posts["n"].astype(np.int64), posts["place"].astype(np.int64), posts["bits"].copy(), posts["more"].copy()
         number = np.cumsum(np.append(0, group[1:] != group[:-1])) << 32 if len(posts) else np.zeros(0, np.int64)
         at = np.searchsorted(number + n, number + np.ceil(similarity * n - 1e-9).astype(np.int64))
         end = np.searchsorted(number + n, number + np.floor(n / similarity + 1e-9).astype(np.int64), side="right")
@@ -325,7 +327,7 @@ def _candidates(similarity: float, every: bool):
                 x, y = x[ok], y[ok]
                 less = np.where(n[x] < n[y], x, y)
                 need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9).astype(np.int64)
-                far = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+                far = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(rest[x] ^ rest[y])
                 ok = (place[less] < short[less]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (far <= n[x] + n[y] - 2 * need)
                 x, y, far = x[ok], y[ok], far[ok]
                 if not len(x):
@@ -360,12 +362,16 @@ def _met(lines: DataFrame, similarity: float, share: int, wanted=None) -> DataFr
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, w) of asked lines (text, asked): the different words of each."""
+    """(id, w) of asked lines (doc, hash, text, asked): the different words of each. Rows that repeat a document as a whole are skipped."""
+    seen = set()
     for b in batches:
-        texts = b.column(0)
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        new = [k not in seen and not seen.add(k) for k in keys]
+        b = b.filter(pa.array(new, pa.bool_()))
+        texts = b.column(2)
         for i, j in _slices(texts):
             ids, found = [], []
-            for text, asked in zip(texts.slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), strict=True):
+            for text, asked in zip(texts.slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist(), strict=True):
                 parts = text.split("\n")
                 ids += [a["id"] for a in asked]
                 found += [parts[a["line"]] for a in asked]
@@ -381,8 +387,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: f
     One match settles a line. So each is compared with its nearest candidate first, and with all of them only if that fails."""
     asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     places = lines.select("id", "doc", "hash", "line").join(asked, "id").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
-    found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select("text", "asked").mapInArrow(_hashed, "id long, w array<long>")
-    words = cut(found.dropDuplicates(["id"]), "lines")
+    found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select("doc", "hash", "text", "asked").mapInArrow(_hashed, "id long, w array<long>")
+    words = cut(found, "lines")
 
     def matched(some: DataFrame) -> DataFrame:
         joined = some.join(words.select(F.col("id").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("yw")), "y")
@@ -400,13 +406,13 @@ def later_matches(docs: DataFrame, similarity: float = 0.8, share: int = SHARE)
     spark, order = docs.sparkSession, ["doc", "hash"]
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(rarity(docs))
-    fields = "id long, doc long, hash long, line int, n int, a long, b long, bits long, skip int, words array<long>"
+    fields = "id long, doc long, hash long, line int, n int, a long, b long, bits long, more long, skip int, words array<long>"
     texts = docs.select(*order, "text").repartitionByRange(spread, *order).sortWithinPartitions(*order)
     # Equal sets of words: all but the first line of each go, whatever else happens.
     first = (F.col("n") > 0) & (F.min("id").over(W.partitionBy("a", "b")) == F.col("id"))
     lines = cut(texts.mapInArrow(_describe(shared, similarity), fields).withColumn("first", first).drop("a", "b"), "lines")
     firsts = lines.where("first and size(words) > 0")
-    posts = firsts.select("id", "n", "bits", "skip", "words")
+    posts = firsts.select("id", "n", "bits", "more", "skip", "words")
     pairs = _met(posts.withColumn("asks", F.lit(True)), similarity, share)
     gone = _verified(pairs, lines, docs, similarity)
     # Lines that may have other candidates, against all lines before them.
