@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -16,10 +17,15 @@ import regex
 KEPT = 1_500_000
 #: Text bytes handled at a time.
 SLICE = 16 << 20
-#: The patterns by which the two tokenizers' files cut texts before merging.
-PIECES = {
-    "spaced": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "lower": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+#: Normalizer and pre-tokenizer of the tokenizer files whose texts can be cut at spaces, as the files state them, and the patterns of their pieces.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KINDS = {
+    "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+    "lower": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        _WORDS,
+    ),
 }
 
 
@@ -28,7 +34,8 @@ class Encoder:
 
     A text falls apart before each U+0020. That changes no ids if what precedes it is not white space: a token never
     holds something and then a space. Texts where white space precedes a space are encoded as they are, unless
-    the tokenizer drops white space. Each distinct word is encoded once, many in one call, and kept.
+    the tokenizer drops white space; so are texts that hold the string of an added token, and all texts of a tokenizer that is
+    none of KINDS. Each distinct word is encoded once, many in one call, and kept.
     """
 
     _made: dict[str, Encoder] = {}
@@ -38,13 +45,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space = self.tokenizer.normalizer is not None
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        added = told.get("added_tokens") or []
+        kind = next((k for k, (n, p, _) in KINDS.items() if told.get("normalizer") == n and told.get("pre_tokenizer") == p), None)
+        self.kind = kind if told["model"].get("type") == "BPE" and not told["model"].get("dropout") and not any(t["normalized"] for t in added) else None
+        self.drops_space = self.kind == "lower"
+        self.added = "|".join(_escaped(t["content"]) for t in added)
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)  # ids that start with a space
         for w, i in vocab.items():
             self.starts[i] = w.startswith("Ġ")
-        self.cut = regex.compile(PIECES["lower" if self.drops_space else "spaced"]).findall
+        self.cut = regex.compile(KINDS[self.kind][2]).findall if self.kind else None
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -98,10 +110,15 @@ class Encoder:
                 yield self._slice(texts.slice(a, b - a))
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.drops_space:
-            texts = pc.replace_substring(texts, "\n", " ")
-        odd = np.zeros(len(texts), bool) if self.drops_space else pc.match_substring_regex(texts, r"[\s\v\x1c-\x1f\x{85}\pZ] ").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(texts if not odd.any() else pc.if_else(pa.array(odd), "", texts), " ")
+        if self.kind is None:
+            each = self.whole(texts.to_pylist())
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each])
+        odd = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        if not self.drops_space:
+            odd = odd | pc.match_substring_regex(texts, r"[\s\v\x1c-\x1f\x{85}\pZ] ").to_numpy(zero_copy_only=False)
+        whole = self.whole(texts.filter(pa.array(odd)).to_pylist())
+        plain = pc.if_else(pa.array(odd), "", texts) if len(whole) else texts
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " ") if self.drops_space else plain, " ")
         counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
         index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -111,15 +128,18 @@ class Encoder:
             fresh = self.known.get
             values = [fresh(w) if v is None else v for w, v in zip(words, values, strict=True)]
         firsts = np.cumsum(counts) - counts
-        if not self.drops_space:  # no space precedes the first word of a text; odd texts are one word
-            text = texts.filter(pa.array(odd)).to_pylist() if odd.any() else []
-            heads = [words[i] for i in index[firsts].tolist()]
-            for place, t in zip(np.flatnonzero(odd).tolist(), text, strict=True):
-                heads[place] = t
+        if not self.drops_space:  # no space precedes the first word of a text
+            heads = self.whole([words[i] for i in index[firsts].tolist()])
             index[firsts] = np.arange(len(values), len(values) + len(heads))
-            values += self.whole(heads)
+            values += heads
+        index[firsts[odd]] = np.arange(len(values), len(values) + len(whole))  # the one, empty, word of an odd text
+        values += whole
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         flat = np.frombuffer(b"".join(values), "<u4")
         lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths))), pa.array(flat))
         ids = lists.take(pa.array(index)).flatten().to_numpy(zero_copy_only=False)
         return ids, np.append(0, np.cumsum(lengths[index]))[np.cumsum(counts)]
+
+
+def _escaped(text: str) -> str:
+    return "".join(c if c.isalnum() else rf"\x{{{ord(c):x}}}" for c in text)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import Encoder
 
@@ -139,11 +140,10 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, h
 
     Each task packs what it reads, `hold` tokens at a time, so nothing is shuffled and memory is bounded; whole windows are the rule, and what ends a hold
     is cut at powers of two, so no sequence needs padding. sequence_id tells tasks apart by their partition number; a task that is repeated makes the same
-    rows. Null texts hold the end id alone. Null and repeated doc_ids are documents of their own. Other columns are ignored. Empty table: no
+    rows. Null texts hold the end id alone. Null and repeated doc_ids are documents of their own; doc_id keeps its type. Other columns are ignored. Empty table: no
     pieces.
     """
     rows = docs.select("doc_id", F.col("text").cast("string"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    fields = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return rows.mapInArrow(_pack(tokenizer, end_id, capacity, hold, arrow), fields)
+    kind = rows.schema["doc_id"].dataType
+    fields = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return rows.mapInArrow(_pack(tokenizer, end_id, capacity, hold, to_arrow_type(kind)), fields)

@@ -127,18 +127,19 @@ def _write(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, parts: int | None = None) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, file_bytes: int = 16 << 20) -> tuple[str, DataFrame]:
     """Writes all texts in ascending doc_id order; returns the folder, and (part, name, n_docs, n_ids) of its files.
 
     The folder (a URI that pyarrow.fs opens: file, s3, gs, hdfs) must be shared by all executors. Texts are dealt by range
-    of doc_id and a hash of the text, so a repeated doc_id is split too. Null doc_ids come first, null texts hold the
-    end id alone. Repeated rows are documents of their own. An empty table makes no file.
+    of doc_id and a hash of the text, so a repeated doc_id is split too, to as many files as hold about file_bytes of text each. Null doc_ids
+    come first, null texts hold the end id alone; texts of any length are taken whole. Repeated rows are documents of their own. Other columns
+    are ignored. An empty table makes no file.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    dealt = rows.repartitionByRange(max(1, -(-int(size) // file_bytes)), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return folder, cut(dealt.mapInArrow(_write(folder, tokenizer, end_id), "part long, name string, n_docs long, n_ids long"), "tokens")
 
 

@@ -1,6 +1,7 @@
 """The operators on small rows: plain versions' results, nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import io
+import json
 import random
 import re
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import brute
 from bubblestat.llm import chat, decontam, html_tree, lines, packing, quality, simhash, token_files, toxicity, urls
@@ -217,16 +219,21 @@ def test_every_shared_span_is_found():
         assert not block.hits([decontam.words_of(" ".join(["zz", *item[a : a + 12], "qq"]))])
 
 
-HARD = ["", None, " ", "  a  b", "x\n y", "don't  stop", "a\x1cb \x1c c", "tab\t tab", "end ", "end\n", "<|endoftext|> hi", "e\u0301 é x", "ΑΣ Σ", "hello world foo", "1 22 333's it's", "a.b !! c\n\nd", "\u3000 x", prose(500)]
+HARD = ["", None, " ", "  a  b", "x\n y", "don't  stop", "a\x1cb \x1c c", "tab\t tab", "end ", "end\n", "<|endoftext|> hi", "hi <|endoftext|> there", "a<|endoftext|>b  c", "<|STARTOFTEXT|> <|startoftext|>x", "<|endoftext", "|>", "e\u0301 é x", "ΑΣ Σ", "hello world foo", "1 22 333's it's", "a.b !! c\n\nd", "\u3000 x", prose(500)]
 
 
 @pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
-def test_encoder(path):
-    e = Encoder(path)
-    for _ in range(2):
-        got = [x.tolist() for ids, ends in e.encode(pa.array(HARD)) for x in np.split(ids, ends[:-1])]
-        assert got == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in HARD]
-    assert list(e.encode(pa.array([], pa.string()))) == []
+def test_encoder(path, tmp_path):
+    """Ids are the library's own, also with a tokenizer file that cuts texts in another way."""
+    other = json.loads(open(path).read()) | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    for file, plain in ((path, True), (str(tmp_path / "other.json"), False)):
+        e, library = Encoder(file), Tokenizer.from_file(file)
+        assert (e.kind is not None) == plain
+        for _ in range(2):
+            got = [x.tolist() for ids, ends in e.encode(pa.array(HARD)) for x in np.split(ids, ends[:-1])]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in HARD]
+        assert list(e.encode(pa.array([], pa.string()))) == []
 
 
 def test_packing(docs, none):
@@ -245,10 +252,13 @@ def test_packing(docs, none):
             n = gapless(x)
             assert n == 2048 or 0 < n < 2048 and n & (n - 1) == 0
     assert packing.packed(none, BYTE_TOKENIZER, 1).count() == 0
+    for kind in ("smallint", "decimal(10,0)", "string", "int"):
+        rows = packing.packed(docs.select(F.col("`n.x`").cast(kind).alias("doc_id"), "text"), BYTE_TOKENIZER, 1)
+        assert rows.schema["doc_id"].dataType.simpleString() == kind and rows.select("doc_id").distinct().count() == len(DOCS)
 
 
 def encoded(path, texts, end):
-    tk = Encoder(path).tokenizer
+    tk = Tokenizer.from_file(path)
     return [tk.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
 
@@ -268,7 +278,9 @@ def test_best_fill():
 def test_token_files(docs, none, spark):
     order = sorted(range(len(DOCS)), key=lambda i: (DOCS[i][0] is not None, DOCS[i][0] or 0))
     ids = encoded(WORD_TOKENIZER, [t for _, t in DOCS], 2)
-    folder, files = token_files.write(docs, WORD_TOKENIZER, 2, parts=3)
+    docs = docs.withColumn("h", F.lit("x")).withColumn("part", F.lit(1)).withColumn("start", F.lit(1))  # names of its own
+    folder, files = token_files.write(docs, WORD_TOKENIZER, 2, file_bytes=6000)
+    assert files.count() > 2
     rows = sorted(token_files.read(spark, folder, files).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [DOCS[i][0] for i in order]
     at = 0
