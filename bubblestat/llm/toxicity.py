@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -39,11 +39,11 @@ def features(text: str | None) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
-def swapped(text: str | None) -> str | None:
-    """The text with each identity term replaced by the next of its line, or None if there is none."""
+def swapped(text: str | None, swap: dict[str, str] = _SWAP) -> str | None:
+    """The text with each term of swap replaced by the one that stands for it there, or None if there is none."""
     out, found = [], False
     for s in _SENTENCE.findall(text or ""):
-        new = _WORD.sub(lambda m: _SWAP.get(m[0].lower(), m[0]), s)
+        new = _WORD.sub(lambda m: swap.get(m[0].lower(), m[0]), s)
         found |= new != s
         out.append(new)
     return "".join(out) if found else None
@@ -51,8 +51,12 @@ def swapped(text: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class Model:
+    """pairs: counterfactual pairs that taught it; swap: the terms swapped in them."""
+
     bias: float
     weights: dict[str, float]
+    pairs: int = 0
+    swap: dict[str, str] = field(default_factory=dict)
 
     def score(self, texts: pd.Series) -> np.ndarray:
         weights, starts = self.weights, {w[:3] for w in self.weights}
@@ -70,19 +74,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_features: int = 800, min_gain: float = 30.0, fairness: float = 10.0, ridge: float = 2e-4) -> Model:
+def _rings(texts: DataFrame, neutral: list[str]) -> dict[str, str]:
+    """Which neutral word replaces which: words that stand between the same two neighbours, in texts of both classes, replace each other in a ring.
+
+    Each word joins the slot that most of them share; only a word and its slot reach the driver."""
+    known = frozenset(neutral)
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 64):
+                rows = set()
+                for t, y in zip(b["text"][i : i + 64], b["toxic"][i : i + 64], strict=True):
+                    for sentence in _SENTENCE.findall((t or "").lower()):
+                        w = _WORD.findall(sentence)
+                        rows |= {(f"{w[k - 1]} {w[k + 1]}", w[k], int(y)) for k in range(1, len(w) - 1) if w[k] in known}
+                yield pd.DataFrame(sorted(rows), columns=["slot", "word", "y"])
+
+    held = texts.mapInPandas(slots, "slot string, word string, y int").groupBy("slot", "word").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    held = cut(held, "toxic")
+    shared = held.groupBy("slot").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high")
+    best = held.select("slot", "word").join(shared, "slot").groupBy("word").agg(F.max(F.struct("n", "slot")).alias("b")).select("word", "b.slot")
+    rings: dict[str, list[str]] = {}
+    for r in sorted(best.collect()):  # a row for each neutral word at most
+        rings.setdefault(r["slot"], []).append(r["word"])
+    return {a: b for ring in rings.values() if len(ring) > 1 for a, b in zip(ring, ring[1:] + ring[:1], strict=True)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_features: int = 800, min_gain: float = 30.0, max_terms: int = 400, fairness: float = 10.0, ridge: float = 2e-4) -> Model:
     """A model from at most max_rows labelled texts that are not held out, the first by a hash of doc_id.
 
-    Only that bounded sample is broadcast, joined and fitted. Features are words and beginnings of words that toxic texts hold
-    more often, by likelihood ratio (min_gain and up, at most max_features); a text has each or not, and its length doesn't count. The fit minimises log loss, a ridge, and
-    `fairness` times the mean squared change of the logit when identity terms of the labelled sentences are swapped; all identity terms seen
-    are features, so a group's mention alone can't carry weight that another's doesn't. Labels other than 0 and 1 are left out. With
-    one class or none the score is a constant.
+    Only that bounded sample is broadcast, joined and fitted; of rows that share a doc_id, the text of the least hash teaches. Features are words and
+    beginnings of words that toxic texts hold more often, by likelihood ratio (min_gain and up, at most max_features, ties by name); a text has each or
+    not, and its length doesn't count. The fit minimises log loss, a ridge, and `fairness` times the mean squared change of the logit when terms of
+    the labelled sentences are swapped: identity terms of the fixed list, and the neutral words (at most max_terms) that texts of both
+    classes use alike and in the same slots, which name groups where the list knows none of the corpus' terms. So a neutral mention can't carry weight
+    that its replacement doesn't, be it by a beginning that it shares with a toxic word. Labels other than 0 and 1 are left out. With
+    one class or none the score is a constant. Null texts teach as empty ones.
     """
     taught = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = taught.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = cut(sample, "toxic")
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text"), "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = cut(texts.select("toxic", "text"), "toxic")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,29 +131,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_featu
     part = lambda x, row, column: F.when(x > 0, x * F.log(x * (p_all + n_all) / (row * column))).otherwise(0.0)
     p, n = F.col("p"), F.col("n")
     gain = 2 * (part(p, p + n, F.lit(p_all)) + part(n, p + n, F.lit(n_all)) + part(p_all - p, p_all + n_all - p - n, F.lit(p_all)) + part(n_all - n, p_all + n_all - p - n, F.lit(n_all)))
-    ranked = counts.where((p >= 3) & (p * n_all > n * p_all)).select("f", gain.alias("gain")).where(F.col("gain") >= min_gain)
-    names = [r["f"] for r in ranked.orderBy(F.desc("gain"), "f").limit(max_features).collect()]
-    names += sorted({*_SWAP} - {*names})
+    rated = cut(counts.where("p >= 3").select("f", "p", "n", gain.alias("gain")), "toxic")
+    leaning = rated.where((p * n_all > n * p_all) & (F.col("gain") >= min_gain))
+    names = [r["f"] for r in leaning.orderBy(F.desc("gain"), "f").limit(max_features).collect()]
+    even = rated.where((n >= 3) & (F.col("gain") < min_gain / 8) & ~F.col("f").contains("*"))
+    swap = _rings(texts, [r["f"] for r in even.orderBy(F.desc("p"), "f").limit(max_terms).collect()]) | _SWAP
+    names += sorted({*swap} - {*names})
     at = {f: i for i, f in enumerate(names)}
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = lambda t: sorted(at[f] for f in features(t) if f in at)
         for b in batches:
-            pairs = [(y, of(t), None if s is None else of(s)) for t, y in zip(b["text"], b["toxic"], strict=True) for s in [swapped(t)]]
+            pairs = [(y, of(t), None if s is None else of(s)) for t, y in zip(b["text"], b["toxic"], strict=True) for s in [swapped(t, swap)]]
             yield pd.DataFrame(pairs, columns=["y", "own", "other"])
 
     rows = texts.mapInPandas(indexed, "y int, own array<int>, other array<int>").collect()  # max_rows short lists at most
     rows.sort(key=lambda r: (r["y"], r["own"], r["other"] or []))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.array([r["y"] for r in rows], np.float32)
-    moved = []
+    moved, pairs = [], 0
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
         if r["other"] is not None:
-            d = x[i].copy()
-            d[r["other"]] -= 1
-            moved.append(d)
-    weights, bias = _minimise(x, y, np.array(moved, np.float32).reshape(-1, len(names)), fairness, ridge)
-    return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6})
+            pairs += 1
+            if r["own"] != r["other"]:
+                d = x[i].copy()
+                d[r["other"]] -= 1
+                moved.append(d)
+    weights, bias = _minimise(x, y, np.array(moved, np.float32).reshape(-1, len(names)), fairness / max(pairs, 1), ridge)
+    return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, pairs, swap)
 
 
 def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, fairness: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -133,7 +171,7 @@ def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, fairness: float,
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         g = np.append(x.T @ e / n + 2 * ridge * w[:k], e.mean())
         if len(moved):
-            g[:k] += 2 * fairness * (moved.T @ (moved @ w[:k].astype(np.float32))) / len(moved)
+            g[:k] += 2 * fairness * (moved.T @ (moved @ w[:k].astype(np.float32)))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (0.01 ** (step / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:k], float(w[k])
@@ -142,7 +180,7 @@ def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, fairness: float,
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs' rows as (doc_id, held_out, score, predicted); the text, whole, is all that a score depends on.
 
-    Null and empty texts have the score of a text without features. A null doc_id is not held out. Repeated rows stay; empty table: empty result."""
+    Null and empty texts have the score of a text without features. A null doc_id is not held out. Repeated rows stay; other columns are ignored; texts of any length are taken whole. Empty table: empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())

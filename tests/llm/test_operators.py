@@ -389,6 +389,36 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_counterfactuals_of_the_corpus(spark):
+    """On the given tables, whose texts hold no term of the fixed list: swaps are found, and held-out scores move less under them, at no cost."""
+    import pandas as pd
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model, free = (toxicity.fit(docs, labels, fairness=f) for f in (10.0, 0.0))
+    assert model.pairs > 100 and model.swap == free.swap and len(model.swap) > len(toxicity._SWAP)
+    held = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).where("toxic in (0, 1)").select("text", "toxic").toPandas()
+    swapped = pd.Series([toxicity.swapped(t, model.swap) or t for t in held["text"]])
+    gap, f1 = [], []
+    for m in (model, free):
+        s, toxic = m.score(held["text"]), held["toxic"].to_numpy() == 1
+        gap.append(np.abs(s - m.score(swapped)).mean())
+        f1.append(2 * ((s >= 0.3) & toxic).sum() / ((s >= 0.3).sum() + toxic.sum()))
+    assert gap[0] < 0.2 * gap[1] and f1[0] >= f1[1] and f1[0] > 0.7
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Repeated doc_ids teach once, ties don't matter, a very long text is scored whole, columns of other names don't matter."""
+    rows = [(i, "you zumpkin" if i % 2 else "a fine day", 0, "s") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 1.0) for i in range(80)] + [(1, 0, 0.0), (None, 1, 0.0), (3, None, 0.0), (5, 7, 0.0)], "doc_id long, toxic int, score double")
+    fields = "doc_id long, text string, toxic int, held_out string"
+    model = toxicity.fit(spark.createDataFrame(rows, fields), labels, min_gain=3.0)
+    again = toxicity.fit(spark.createDataFrame(rows[::-1] * 3, fields).repartition(5), labels, min_gain=3.0)
+    assert model == again and model.weights["zumpkin"] > 0
+    odd = [(1, "x " * 200_000 + "zumpkin", 1, ""), (1, "x " * 200_000 + "zumpkin", 1, ""), (2, None, 1, ""), (2, "", 1, ""), (None, "zumpkin", 0, "")]
+    got = sorted((r["score"], r["predicted"]) for r in toxicity.scored(spark.createDataFrame(odd, fields), model).collect())
+    assert len(got) == 5 and got[0] == got[1] and got[0][1] == 0 and got[2] == got[3] == got[4] and got[4][1] == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="page">
 <header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div id="cookie-notice">We use cookies</div><div class='ad'>Buy</div>
 <main><article><h1>Head &amp; &lt;line&gt;</h1><p>First  para<br>goes
