@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -99,3 +100,8 @@ def hits(text, items):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def importance(counts, pages):
+    """Of a style path whose texts are on so many pages each, of so many that hold it."""
+    return 1 - sum(c * math.log(c) for c in counts) / (sum(counts) * math.log(pages)) if pages > 1 else 1.0

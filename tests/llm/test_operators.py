@@ -445,9 +445,35 @@ def test_style_trees(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     texts = {r["page_id"]: r["text"] for r in html_tree.extracted(df).collect()}
     assert all("Always" not in texts[i] and texts[i] for i in range(12)) and texts[99] == "Always the same words\n\nAlone"
-    tree = {(r["path"], r["kind"]): r["importance"] for r in html_tree.site_trees(df).where("host = 'a.org'").collect()}
-    assert tree["html > body > div.motto", "content"] == 0 and tree["html > body > div.story > p", "content"] == pytest.approx(1)
-    assert html_tree.importance([3, 1]) == pytest.approx(1 - 3 * np.log(3) / (4 * np.log(4)))
+    tree = {r["path"]: r["importance"] for r in html_tree.site_trees(df).where("host = 'a.org'").collect()}
+    assert tree["html > body > div.motto"] == 0 and tree["html > body > div.story > p"] == pytest.approx(1)
+    joined = html_tree.extracted(df, list_bytes=0)  # beyond what may be sent to all tasks
+    assert {r["page_id"]: r["text"] for r in joined.collect()} == texts
+
+
+def test_trees_find_what_sites_repeat(spark):
+    """Importances equal a plain count, and with no word of the mark list in use the trees take adverts, menus and footers that rotate."""
+    pages = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    at, parsed = {}, [(html_tree._host(r["url"]), html_tree.blocks(r["html"])) for r in pages]
+    for host, found in parsed:
+        own = "\n".join(b.text for b in found)
+        for b in found:
+            at.setdefault((host, " > ".join(b.path)), {}).setdefault(b.text, set()).add(own)
+    want = {k: brute.importance([len(p) for p in texts.values()], len(set().union(*texts.values()))) for k, texts in at.items()}
+    got = {(r["host"], r["path"]): r["importance"] for r in html_tree.site_trees(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    low, gone, stay, hosts = {}, 0, 0, {}
+    for host, path in (k for k, v in got.items() if v < 0.9):
+        low.setdefault(host, set()).add(path)
+    for (host, found), r in zip(parsed, pages):
+        hosts[host] = hosts.get(host, 0) + 1
+    for (host, found), r in zip(parsed, pages):
+        if hosts[host] >= 40:
+            left = html_tree.main_text(r["html"], low.get(host, set()), marks=False).split("\n\n")
+            assert left == html_tree.main_text(r["html"], set()).split("\n\n") or hosts[host] < 60
+            stay += sum(b.marked and b.text in left for b in found)
+            gone += sum(b.marked and b.text not in left for b in found)
+    assert gone > 9 * stay and gone > 5000
 
 
 def test_shared_text_spares_what_is_beside_it(spark):
