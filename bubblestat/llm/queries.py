@@ -42,10 +42,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.with_hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    items = F.col("_hits.items")
+    items = F.col("hits.items")
     return marked.select(
-        "doc_id",
-        F.col("_hits.n_words").cast("long").alias("n_words"),
+        "row.doc_id",
+        F.col("hits.n_words").cast("long").alias("n_words"),
         decontam.n_hit().alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),

@@ -195,24 +195,32 @@ def test_line_words():
 ITEMS = [(1, " ".join(WORDS[20:50])), (2, "two words"), (3, None), (4, "..."), (5, prose(13)), (5, " ".join(WORDS[100:112])), (None, "changed")]
 
 
-def test_decontamination(docs, none, spark):
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for size in (16 << 20, 100):  # one block, and several
-        marked = decontam.with_hits(docs, bench, block_bytes=size)
-        rows = marked.select("`n.x`", "_hits.n_words", decontam.n_hit().alias("n_hit"), "_hits.items", decontam.contaminated().alias("c")).collect()
-        items = [("" if i is None else i, t) for i, t in ITEMS]
-        for r in rows:
-            n, hit, names, _ = brute.hits(DOCS[r["n.x"]][1], items)
-            assert (r["n_words"], r["n_hit"], sorted(r["items"]), r["c"]) == (n, hit, names, hit > 0 and 20 * hit >= n)
-    assert decontam.with_hits(none, bench).count() == 0
-    clean = decontam.clean(docs, bench.limit(0))
-    assert clean.columns == docs.columns and clean.count() == len(DOCS)
+@pytest.mark.parametrize("size", [16 << 20, 100])
+def test_decontamination(docs, none, spark, size):
+    """With the benchmark sent to all tasks, and joined."""
+    docs = docs.withColumns({"hits": F.lit(1), "row": F.lit(2), "a": F.lit(3), "items": F.lit("x")})  # names of its own
+    long = " ".join(["filler", "words"] * 60_000 + WORDS[60:75] + ["end"] * 9)
+    more = [(900, long), (901, long), (902, " ".join(WORDS[30:42])), (903, " ".join(WORDS[30:43]))]
+    docs = docs.unionByName(spark.createDataFrame([(d, t, 1000 + i) for i, (d, t) in enumerate(more)], "doc_id long, text string, `n.x` int"), allowMissingColumns=True)
+    items = [*ITEMS, (6, prose(5000) + " " + " ".join(WORDS[55:80])), (7, "a b c"), (7, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    marked = decontam.with_hits(docs, bench, block_bytes=size)
+    rows = marked.select("row.`n.x`", "hits.n_words", decontam.n_hit().alias("n_hit"), "hits.items", decontam.contaminated().alias("c")).collect()
+    assert len(rows) == len(DOCS) + len(more)
+    named = [("" if i is None else i, t) for i, t in items]
+    texts = {i: t for i, (_, t) in enumerate(DOCS)} | {1000 + i: t for i, (_, t) in enumerate(more)}
+    for r in rows:
+        n, hit, names, _ = brute.hits(texts[r["n.x"]], named)
+        assert (r["n_words"], r["n_hit"], sorted(r["items"]), r["c"]) == (n, hit, names, hit > 0 and 20 * hit >= n)
+    assert decontam.with_hits(none, bench, block_bytes=size).count() == 0
+    clean = decontam.clean(docs, bench.limit(0), block_bytes=size)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
 
 
 def test_every_shared_span_is_found():
     rng = random.Random(8)
     item = [rng.choice(VOCAB).replace(".", "") for _ in range(60)]
-    block = decontam.Block([("i", " ".join(item))], 13, 7)
+    block = decontam.Block([("i", b" ".join(decontam.words_of(" ".join(item))))], 13, 7)
     for a in range(0, 48):
         doc = decontam.words_of(" ".join(["zz", *item[a : a + 13], "qq"]))
         assert block.hits([doc])[0][0] == [(1, 14)]
