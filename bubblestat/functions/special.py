@@ -117,7 +117,35 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([None if any(pd.isna(v) for v in t) else fisher(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype=object)
+    known = np.flatnonzero(a.notna() & b.notna() & c.notna() & d.notna())
+    out = np.full(len(a), np.nan)
+    out[known] = fishers(*(x.to_numpy(float)[known].astype(np.int64) for x in (a, b, c, d)))
+    return pd.Series(out).where(~np.isnan(out), None)
+
+
+def fishers(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """fisher() of many tables: log factorials from one array where it is small enough, all tables of the same margins side by side. NaN where a margin is zero."""
+    row1, row2, col1, n = a + b, c + d, a + c, a + b + c + d
+    out = np.full(len(a), np.nan)
+    sane = np.flatnonzero((row1 > 0) & (row2 > 0) & (col1 > 0) & (b + d > 0))
+    top = int(n[sane].max()) if len(sane) else 0
+    if top >= cells:
+        out[sane] = [fisher(*map(int, t)) for t in zip(a[sane], b[sane], c[sane], d[sane], strict=True)]
+        return out
+    logs = np.append(0, np.cumsum(np.log(np.arange(1, top + 1))))
+    low, high = np.maximum(0, col1 - row2), np.minimum(row1, col1)
+    ends = np.cumsum((high - low + 1)[sane])
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(cells, ends[-1] if len(ends) else 0, cells)) + 1, len(sane)))
+    for part in np.split(sane, cuts[:-1]) if len(sane) else []:
+        size = (high - low + 1)[part]
+        begins = np.cumsum(size) - size
+        of = np.repeat(part, size)
+        x = np.arange(len(of)) - np.repeat(begins, size) + low[of]
+        weight = -logs[x] - logs[row1[of] - x] - logs[col1[of] - x] - logs[row2[of] - col1[of] + x]
+        own = np.repeat(weight[begins + a[part] - low[part]], size)
+        share = np.exp(weight - np.repeat(np.maximum.reduceat(weight, begins), size))
+        out[part] = np.minimum(1.0, np.add.reduceat(np.where(weight <= own + 1e-9, share, 0), begins) / np.add.reduceat(share, begins))
+    return out
 
 
 @F.pandas_udf(DoubleType())

@@ -44,9 +44,9 @@ def path_lengths(paths: DataFrame, elements: DataFrame) -> DataFrame:
     return paths.join(sums, ["site", "path"], "left").select("site", "path", F.coalesce("min_len", F.lit(0)).alias("min_len"), F.coalesce("max_len", F.lit(0)).alias("max_len"), F.size("path").alias("n_steps"))
 
 
-def inherited(tree: DataFrame, max_depth: int) -> DataFrame:
+def inherited(tree: DataFrame) -> DataFrame:
     """(id, chr, position, is_ref): each node's own position, or that of the nearest ancestor with one. tree: id, parent, chr, position."""
     from .walks import nearest_placed
 
-    climbed = nearest_placed(tree.select("id", "parent", F.col("chr").isNotNull().alias("placed")), max_depth)
+    climbed = nearest_placed(tree.select("id", "parent", F.col("chr").isNotNull().alias("placed")))
     return climbed.join(tree.select(F.col("id").alias("placed_id"), "chr", "position"), "placed_id", "left").select("id", "chr", "position", F.col("is_own").alias("is_ref"))

@@ -37,9 +37,10 @@ def presence(sites: DataFrame, carried: DataFrame, haps: DataFrame) -> DataFrame
 
 
 def _with_all(vacuous: DataFrame, haps: DataFrame) -> DataFrame:
-    """Each vacuous path with each haplotype: rows of the answer itself, dealt by haplotype."""
-    one = F.lit(1)
-    return vacuous.withColumn("_k", one).join(haps.select("hap").distinct().withColumn("_k", one), "_k").drop("_k")
+    """Each vacuous path with each haplotype: rows of the answer itself. Paths are dealt in shares, and each share meets all haplotypes in a task of its own."""
+    n = int(vacuous.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vacuous.withColumn("_k", F.pmod(F.xxhash64(*vacuous.columns), F.lit(n)))
+    return dealt.join(haps.select("hap").distinct().withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), "_k").drop("_k")
 
 
 def edge_bitmaps(carried: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..sources.shared import ensure_checkpoints
+from .tables import path_columns
 
 
 def _sum(a: Column) -> Column:
@@ -27,7 +28,7 @@ def chi2_statistic(g0: Column, g1: Column) -> Column:
 
 
 def tested(vectors: DataFrame) -> DataFrame:
-    """vectors (… paths, g0, g1) with statistic, df, p_chi2 and, for two paths, p_fisher (else null). Equal tables are tested once."""
+    """vectors (… paths, g0, g1) with statistic, df, p_chi2 and, for two paths, p_fisher (else null)."""
     stat = vectors.withColumn("chi2", chi2_statistic(F.col("g0"), F.col("g1"))).withColumn("df", (F.size("g0") - 1).cast("long"))
     two, at = F.size("g0") == 2, lambda c, i: F.get(c, F.lit(i))
     cells = [F.when(two, at(c, i)) for c in ("g0", "g1") for i in (0, 1)]
@@ -95,26 +96,32 @@ def _design(group: pd.DataFrame, n_paths: int) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([np.ones(len(group)), d, c.reshape(len(group), -1)]), group["pheno"].to_numpy(float)
 
 
-def design_rows(dosage: DataFrame, traits: DataFrame) -> DataFrame:
-    """(site, sample, dosage array, n_paths, pheno, cov): a sample's dosages in the order of the site's paths, joined to traits (sample, pheno, cov) by sample."""
-    paths = dosage.groupBy("site").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    held = dosage.groupBy("site", "sample").agg(F.map_from_entries(F.collect_list(F.struct("path", "dosage"))).alias("m"))
-    wide = held.join(paths, "site").select("site", "sample", F.transform("paths", lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("dosage"), F.size("paths").alias("n_paths"))
+def design_rows(reduced: DataFrame, traits: DataFrame, full: DataFrame) -> DataFrame:
+    """(site, sample, dosage array, n_paths, pheno, cov): a sample's dosages in the order of the site's reduced columns, joined to traits (sample, pheno, cov) by sample.
+
+    full: the dosages before columns were merged and dropped. It says which samples a site has: one whose whole dosage is in a dropped column has zeros."""
+    order = path_columns(reduced)[0]
+    paths = reduced.groupBy("site").agg(F.array_sort(F.collect_set(order)).alias("paths"))
+    some = reduced.select("site", "sample", F.struct(F.col(order).alias("p"), "dosage").alias("d")).unionByName(full.select("site", "sample"), allowMissingColumns=True)
+    held = some.groupBy("site", "sample").agg(F.map_from_entries(F.collect_list("d")).alias("m")).join(paths, "site", "left")
+    own = F.coalesce("paths", F.array().cast(paths.schema["paths"].dataType))
+    wide = held.select("site", "sample", F.transform(own, lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("dosage"), F.size(own).alias("n_paths"))
     return wide.join(traits, "sample")
 
 
-def regress(rows: DataFrame, key: str = "site", logistic: bool = False, textbook: bool = False) -> DataFrame:
+def regress(rows: DataFrame, key: str | tuple[str, ...] = "site", logistic: bool = False, textbook: bool = False) -> DataFrame:
     """(key, n, p, r2, beta, se) by a fit for each key. A group is one cohort, whose size doesn't follow the number of sites. Null where nothing can be fitted."""
-    kind = rows.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         n_paths = int(group["n_paths"].iloc[0])
         x, y = _design(group, n_paths)
         got = fit_logistic(x, y, n_paths) if logistic and n_paths else fit_ols(x, y, textbook) if n_paths else None
         p, r2, beta, se = (got[0], None, got[1], got[2]) if logistic and got else got or (None,) * 4
-        return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(group)], "p": [p], "r2": [r2], "beta": [beta], "se": [se]}).astype({"p": float, "r2": float, "beta": float, "se": float})
+        return pd.DataFrame({k: [group[k].iloc[0]] for k in keys} | {"n": [len(group)], "p": [p], "r2": [r2], "beta": [beta], "se": [se]}).astype({"p": float, "r2": float, "beta": float, "se": float})
 
-    return rows.select(key, "sample", "dosage", "n_paths", "pheno", "cov").groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, p double, r2 double, beta double, se double")
+    return rows.select(*keys, "sample", "dosage", "n_paths", "pheno", "cov").groupBy(*keys).applyInPandas(fit, f"{kinds}, n long, p double, r2 double, beta double, se double")
 
 
 def holm_adjusted(tests: DataFrame, key: str, p: str = "p", tie: str = "id") -> DataFrame:

@@ -7,8 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def contingency(present: DataFrame, samples: DataFrame, keys: tuple[str, ...] = ("site", "path")) -> DataFrame:
-    """(keys, n0, n1): carriers among controls and cases. present: keys, hap, sample; samples: sample, is_case. A haplotype counts for each path it has."""
+def path_columns(rows: DataFrame) -> list[str]:
+    """What tells and orders the paths of a site: path_idx, its place in the site's list, where there is one, and path."""
+    return [c for c in ("path_idx", "path") if c in rows.columns]
+
+
+def contingency(present: DataFrame, samples: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """(keys, n0, n1): carriers among controls and cases. present: keys (site and path_columns()), hap, sample; samples: sample, is_case. A haplotype counts for each path it has."""
+    keys = keys or ("site", *path_columns(present))
     both = present.join(samples.select("sample", "is_case"), "sample")
     return both.groupBy(*keys).agg(F.count_if(~F.col("is_case")).alias("n0"), F.count_if("is_case").alias("n1"))
 
@@ -19,7 +25,7 @@ def nonempty(table: DataFrame) -> DataFrame:
 
 def site_vectors(table: DataFrame, site: str = "site", path: str = "path") -> DataFrame:
     """(site, paths, g0, g1): a site's counts as arrays in path order; a site has few paths."""
-    v = F.array_sort(F.collect_list(F.struct(path, "n0", "n1")))
+    v = F.array_sort(F.collect_list(F.struct(*[c for c in table.columns if c == "path_idx"], path, "n0", "n1")))
     return table.groupBy(site).agg(v.alias("v")).select(site, F.col(f"v.{path}").alias("paths"), F.col("v.n0").alias("g0"), F.col("v.n1").alias("g1"))
 
 
@@ -35,8 +41,8 @@ def passes_binary(g0: Column, g1: Column, min_individuals: int, min_haplotypes:
 
 
 def dosages(present: DataFrame) -> DataFrame:
-    """(site, sample, path, n, dosage): haplotypes of a sample on a path, and that over all of the sample's at the site. Samples without any have no row."""
-    n = present.groupBy("site", "sample", "path").agg(F.count("*").alias("n"))
+    """(site, sample, path_columns(), n, dosage): haplotypes of a sample on a path, and that over all of the sample's at the site. Samples without any have no row."""
+    n = present.groupBy("site", "sample", *path_columns(present)).agg(F.count("*").alias("n"))
     return n.withColumn("dosage", F.col("n") / F.sum("n").over(W.partitionBy("site", "sample")))
 
 
@@ -57,21 +63,23 @@ def passes_dosage(dosage: DataFrame, min_individuals: int, min_haplotypes: int,
 
 
 def merged_columns(dosage: DataFrame) -> DataFrame:
-    """(site, path, sample, dosage) with equal columns of a site (of three or more) summed into the first of them.
+    """(site, path_columns(), sample, dosage) with equal columns of a site (of three or more) summed into the first of them.
 
-    A column's signature is two hashes over its (sample, dosage) pairs, pre-aggregated, so no column meets in one task."""
+    A column's signature is two hashes over its (sample, dosage) pairs, pre-aggregated, so no column meets in one task; columns whose 128 bits agree count as equal."""
+    own = path_columns(dosage)
     pair = [F.xxhash64(F.lit(i), "sample", F.round("dosage", 9)) for i in (1, 2)]
-    signs = dosage.where("dosage > 0").groupBy("site", "path").agg(*[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(pair)], F.count("*").alias("c"))
+    signs = dosage.where("dosage > 0").groupBy("site", *own).agg(*[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(pair)], F.count("*").alias("c"))
     many = W.partitionBy("site")
-    first = F.min("path").over(W.partitionBy("site", "h0", "h1", "c"))
-    lead = signs.select("site", "path", F.when(F.count("*").over(many) >= 3, first).otherwise(F.col("path")).alias("lead"))
-    return dosage.where("dosage > 0").join(lead, ["site", "path"]).groupBy("site", F.col("lead").alias("path"), "sample").agg(F.sum("dosage").alias("dosage"))
+    first = F.min(F.struct(*own)).over(W.partitionBy("site", "h0", "h1", "c"))
+    lead = signs.select("site", *own, F.when(F.count("*").over(many) >= 3, first).otherwise(F.struct(*own)).alias("lead"))
+    return dosage.where("dosage > 0").join(lead, ["site", *own]).groupBy("site", "lead", "sample").agg(F.sum("dosage").alias("dosage")).select("site", "lead.*", "sample", "dosage")
 
 
 def without_last(dosage: DataFrame) -> DataFrame:
     """Without the last column of each site, which the others determine."""
-    last = dosage.groupBy("site").agg(F.max("path").alias("last"))
-    return dosage.join(last, "site").where("path < last").drop("last")
+    order = path_columns(dosage)[0]
+    last = dosage.groupBy("site").agg(F.max(order).alias("last"))
+    return dosage.join(last, "site").where(F.col(order) < F.col("last")).drop("last")
 
 
 def site_stats(sites: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoints
+
 
 def step_offsets(steps: DataFrame) -> DataFrame:
     """steps (path, rank, len …) with offset: the length of all steps of the path before it."""
@@ -56,19 +58,20 @@ def exact_sets(walks: DataFrame, samples: DataFrame) -> DataFrame:
     return cohort_counts(walks, samples).withColumn("which", hit).where("which is not null").select("site", "walk", "which")
 
 
-def descend(sites: DataFrame, hits, max_depth: int) -> list[DataFrame]:
+def descend(sites: DataFrame, hits) -> list[DataFrame]:
     """Site testing level by level: hits(sites of a level) are its exact hits; children of a hit, and of sites too small, are not tested.
 
-    sites: site, parent (null at the top), depth, eligible. Returns the hits of each level."""
+    sites: site, parent (null at the top), depth, eligible. Returns the hits of each level, down to the last that has a site to test."""
+    ensure_checkpoints(sites.sparkSession)
     out, open_sites = [], sites.where("parent is null")
-    for depth in range(max_depth + 1):
-        level = open_sites.where(F.col("eligible"))
+    while True:
+        level = open_sites.where(F.col("eligible")).checkpoint()
+        if out and level.isEmpty():
+            return out
         found = hits(level)
         out.append(found)
-        if depth < max_depth:
-            going = level.join(found.select("site").distinct(), "site", "left_anti").select(F.col("site").alias("parent"))
-            open_sites = sites.join(going, "parent", "left_semi")
-    return out
+        going = level.join(found.select("site").distinct(), "site", "left_anti").select(F.col("site").alias("parent"))
+        open_sites = sites.join(going, "parent", "left_semi")
 
 
 def on_reference(nodes: DataFrame, steps: DataFrame, references: DataFrame) -> DataFrame:
@@ -78,17 +81,20 @@ def on_reference(nodes: DataFrame, steps: DataFrame, references: DataFrame) -> D
     return best.select("node", "b.path", "b.offset")
 
 
-def nearest_placed(tree: DataFrame, max_depth: int) -> DataFrame:
+def nearest_placed(tree: DataFrame) -> DataFrame:
     """(id, placed_id, is_own): for each node of a tree (id, parent, placed) itself or its nearest ancestor that is placed; null if none.
 
-    A join for each level, of those that still climb only."""
-    out, climbing = None, tree.select("id", F.col("id").alias("at"), "placed", "parent")
-    for _ in range(max_depth + 1):
-        done = climbing.where("placed or parent is null").select("id", F.when(F.col("placed"), F.col("at")).alias("placed_id"))
-        out = done if out is None else out.unionByName(done)
-        up = tree.select(F.col("id").alias("at"), "placed", F.col("parent").alias("parent"))
-        climbing = climbing.where("not placed and parent is not null").select("id", F.col("parent").alias("at")).join(up, "at")
-    return out.withColumn("is_own", F.coalesce(F.col("placed_id") == F.col("id"), F.lit(False)))
+    Each round a node that still climbs takes over where its ancestor has got to, so rounds follow the logarithm of the depth. A parent that isn't in the
+    tree counts as none; nodes that climb in a circle have none."""
+    ensure_checkpoints(tree.sparkSession)
+    up = tree.select(F.col("id").alias("up"), F.lit(True).alias("known")).distinct()
+    own = tree.join(up, F.col("parent") == F.col("up"), "left").select("id", F.when(F.col("placed"), F.col("id")).when(F.col("known"), F.col("parent")).alias("at"), (F.col("placed") | F.col("known").isNull()).alias("done"))
+    now, before = own.checkpoint(), None
+    while (left := now.where("not done").count()) and left != before:  # each round ends some climbs, unless all that are left go round
+        before = left
+        there = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("ends"))
+        now = now.where("done").unionByName(now.where("not done").join(there, "at").select("id", F.col("next").alias("at"), F.col("ends").alias("done"))).checkpoint()
+    return now.select("id", F.when(F.col("done"), F.col("at")).alias("placed_id")).withColumn("is_own", F.coalesce(F.col("placed_id") == F.col("id"), F.lit(False)))
 
 
 def shared_paths(start_steps: DataFrame, end_steps: DataFrame) -> DataFrame:

@@ -34,13 +34,21 @@ def walk(part: str, supplier: str, line: str):
     return F.concat(F.lit(">"), (F.col(part) % 40).cast("string"), F.lit("<"), (F.col(supplier) % 10).cast("string"), F.lit(">"), F.col(line).cast("string"))
 
 
-def visits(spark: SparkSession, sf_dir: str, first: int = 2) -> DataFrame:
-    """(site, sample, hap, walk): a user's first events in order, as one walk of the site that the user falls in."""
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, sample, hap, walk): a user's events in order, as one walk of the site that the user falls in."""
     from pyspark.sql import Window as W
 
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("k", k).where(F.col("k") <= first).select((F.col("user_id") % 3).alias("site"), F.col("user_id").alias("sample"), F.col("user_id").alias("hap"), F.col("event_type").alias("next"), F.col("k").alias("offset"))
+    return e.withColumn("k", k).select((F.col("user_id") % 3).alias("site"), F.col("user_id").alias("sample"), F.col("user_id").alias("hap"), F.col("event_type").alias("next"), F.col("k").alias("offset"))
+
+
+def two_paths(spark: SparkSession, sf_dir: str, by_sample: bool = False) -> DataFrame:
+    """Calls (site, path, hap, sample) of sites with two paths: an order line's status, or, by_sample, one path for each sample."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_linestatus").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    path = F.when(F.col("o_custkey") % 3 == 0, "a").otherwise("b") if by_sample else F.col("l_linestatus")
+    return rows.select((F.col("l_partkey") % 50).alias("site"), path.alias("path"), (F.col("o_custkey") * 2 + F.col("l_linenumber") % 2).alias("hap"), F.col("o_custkey").alias("sample")).distinct()
 
 
 SQL = """

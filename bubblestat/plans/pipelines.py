@@ -51,34 +51,31 @@ def binary(present: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
     return stats.tested(kept).withColumn("group_paths", P.group_text(F.col("g0"), F.col("g1")))
 
 
-def _dosage(present: DataFrame, s: Settings) -> DataFrame:
+def _design(present: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
+    """Rows of the regressions: dosages of the sites that pass, less merged and determined columns, with traits."""
     d = tables.dosages(present)
-    good = tables.passes_dosage(d, s.min_individuals, s.min_haplotypes, s.maf)
-    return d.join(good.select("site"), "site", "left_semi")
+    d = d.join(tables.passes_dosage(d, s.min_individuals, s.min_haplotypes, s.maf).select("site"), "site", "left_semi")
+    return stats.design_rows(tables.without_last(tables.merged_columns(d)), traits, d)
 
 
 def quantitative(present: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
     """(site, n, p, r2, beta, se) by least squares; traits: sample, pheno, cov array (empty: none)."""
-    reduced = tables.without_last(tables.merged_columns(_dosage(present, s)))
-    return stats.regress(stats.design_rows(reduced, traits), textbook=s.textbook_df)
+    return stats.regress(_design(present, traits, s), textbook=s.textbook_df)
 
 
 def binary_covariates(present: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
     """(site, n, p, r2 null, beta, se) by logistic regression; traits: sample, pheno (0 or 1), cov array."""
-    reduced = tables.without_last(tables.merged_columns(_dosage(present, s)))
-    return stats.regress(stats.design_rows(reduced, traits), logistic=True)
+    return stats.regress(_design(present, traits, s), logistic=True)
 
 
 def eqtl(present: DataFrame, sites: DataFrame, genes: DataFrame, expression: DataFrame, cov: DataFrame, s: Settings) -> DataFrame:
     """(site, gene, n, p, r2, beta, se) for each gene near a site; sites: chr, site, start, end; expression: gene, sample, expr; cov: sample, cov.
 
     A chromosome without genes gives no rows."""
-    pairs = intervals.near(sites, genes, s.window).select("site", "gene")
-    reduced = tables.without_last(tables.merged_columns(_dosage(present, s)))
-    wide = stats.design_rows(reduced, cov.withColumn("pheno", F.lit(0.0)))
-    rows = wide.drop("pheno").join(pairs, "site").join(expression.select("gene", "sample", F.col("expr").alias("pheno")), ["gene", "sample"])
-    rows = rows.withColumn("pair", F.concat_ws("\t", F.col("site").cast("string"), "gene"))
-    return stats.regress(rows, key="pair", textbook=s.textbook_df).select(F.split_part("pair", F.lit("\t"), F.lit(1)).alias("site"), F.split_part("pair", F.lit("\t"), F.lit(2)).alias("gene"), "n", "p", "r2", "beta", "se")
+    pairs = intervals.near(sites, genes, s.window).select("site", "gene").distinct()
+    wide = _design(present, cov, s)
+    rows = wide.join(pairs, "site").join(expression.select("gene", "sample", F.col("expr").alias("pheno")), ["gene", "sample"])
+    return stats.regress(rows, key=("site", "gene"), textbook=s.textbook_df)
 
 
 def graph(visits: DataFrame, samples: DataFrame, exact: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import special
 from ..operators import decompose, evaluate, genotype, intervals, stats, tables, walks
+from ..sources import readers
 from . import mapping as M
 from . import pipelines
 
@@ -58,13 +59,13 @@ def binary_assoc(spark, sf_dir):
 
 @query(
     M.SQL
-    + """, s AS (SELECT site, df, chi2 / 2 AS x, df / 2.0 AS a FROM tested WHERE chi2 < 60)
+    + """, s AS (SELECT site, df, chi2 / 2 AS x, df / 2.0 AS a FROM tested)
 SELECT site, round(1 - sum(CASE WHEN x = 0 THEN 0 ELSE exp(-x + (a + n) * ln(x) - lgamma(a + n + 1)) END), 6) AS p_chi2
-FROM s, generate_series(0, 200) AS g(n) GROUP BY site"""
+FROM s, generate_series(0, 5000) AS g(n) GROUP BY site"""
 )
 def chi2_pvalue(spark, sf_dir):
     out = pipelines.binary(M.calls(spark, sf_dir), M.samples(spark, sf_dir), SETTINGS)
-    return out.where("chi2 < 60").select("site", _r("p_chi2").alias("p_chi2"))
+    return out.select("site", _r("p_chi2").alias("p_chi2"))
 
 
 @query(
@@ -96,12 +97,12 @@ def group_paths_text(spark, sf_dir):
     return kept.select("site", P.group_text(F.col("g0"), F.col("g1")).alias("group_paths"))
 
 
-@query(M.SQL + "SELECT s.site, p.path, coalesce(n, 0) AS n FROM (SELECT DISTINCT site FROM calls) s CROSS JOIN (SELECT DISTINCT path FROM calls) p LEFT JOIN (SELECT site, path, count(*) AS n FROM calls WHERE hap % 7 = 0 GROUP BY site, path) c ON c.site = s.site AND c.path = p.path")
+@query(M.SQL + "SELECT s.site, p.path, coalesce(n, 0) AS n FROM (SELECT DISTINCT site FROM calls) s CROSS JOIN (SELECT DISTINCT path FROM calls) p LEFT JOIN (SELECT site, path, count(*) AS n FROM calls GROUP BY site, path) c ON c.site = s.site AND c.path = p.path")
 def allele_counts(spark, sf_dir):
     c = M.calls(spark, sf_dir)
     names = sorted(r[0] for r in c.select("path").distinct().collect())  # the few values of two flags
     every = c.select("site").distinct().select("site", F.explode(F.array(*map(F.lit, names))).alias("path"))
-    return tables.allele_counts(every, c.where("hap % 7 = 0"))
+    return tables.allele_counts(every, c)
 
 
 @query(M.SQL + "SELECT site, count(*) AS n_sites_paths, sum(n0) AS controls, sum(n1) AS cases FROM counted WHERE n0 + n1 > 0 GROUP BY site")
@@ -278,6 +279,37 @@ def logistic(spark, sf_dir):
     return pipelines.binary_covariates(M.calls(spark, sf_dir), traits, SETTINGS).drop("r2")
 
 
+_TWO = """, two AS (
+    SELECT DISTINCT l_partkey % 50 AS site, l_linestatus AS path, o_custkey * 2 + l_linenumber % 2 AS hap, o_custkey AS sample FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), two_x AS (SELECT site, sample, count(*) FILTER (WHERE path = 'F') / count(*) AS x FROM two GROUP BY site, sample)"""
+
+
+@query(
+    M.SQL
+    + _TWO
+    + """ SELECT site, count(*) AS n, round(regr_slope(pheno, x), 4) AS beta, round(regr_r2(pheno, x), 6) AS r2,
+round(sqrt(greatest(regr_syy(pheno, x) - regr_sxy(pheno, x) * regr_sxy(pheno, x) / regr_sxx(pheno, x), 0) / (count(*) - 1) / regr_sxx(pheno, x)), 4) AS se
+FROM two_x JOIN samples USING (sample) GROUP BY site"""
+)
+def quantitative_two_paths(spark, sf_dir):
+    traits = M.samples(spark, sf_dir).select("sample", "pheno", F.array().cast("array<double>").alias("cov"))
+    out = pipelines.quantitative(M.two_paths(spark, sf_dir), traits, SETTINGS)
+    return out.select("site", "n", _r("beta", 4).alias("beta"), _r("r2").alias("r2"), _r("se", 4).alias("se"))
+
+
+@query(
+    M.SQL
+    + """, s AS (SELECT DISTINCT l_partkey % 50 AS site, o_custkey AS sample, o_custkey % 3 = 0 AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+c AS (SELECT site, count(*) FILTER (WHERE x AND is_case)::DOUBLE AS a, count(*) FILTER (WHERE x AND NOT is_case)::DOUBLE AS b,
+             count(*) FILTER (WHERE NOT x AND is_case)::DOUBLE AS c, count(*) FILTER (WHERE NOT x AND NOT is_case)::DOUBLE AS d FROM s JOIN samples USING (sample) GROUP BY site)
+SELECT site, (a + b + c + d)::BIGINT AS n, round(ln(a * d / (b * c)), 3) AS beta, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 3) AS se FROM c"""
+)
+def logistic_two_paths(spark, sf_dir):
+    traits = M.samples(spark, sf_dir).select("sample", F.col("is_case").cast("double").alias("pheno"), F.array().cast("array<double>").alias("cov"))
+    out = pipelines.binary_covariates(M.two_paths(spark, sf_dir, by_sample=True), traits, SETTINGS)
+    return out.select("site", "n", _r("beta", 3).alias("beta"), _r("se", 3).alias("se"))
+
+
 # Genes near sites
 
 
@@ -312,6 +344,25 @@ def eqtl_assoc(spark, sf_dir):
     return g.where("sxx > 1e-9 and syy > 1e-9").select("site", "gene", "n", _r("beta", 4).alias("beta"), _r("r2").alias("r2"))
 
 
+@query(
+    M.SQL
+    + _TWO
+    + """, expr AS (SELECT l_suppkey AS gene, o_custkey AS sample, sum(l_quantity) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+pairs AS (SELECT site, s_suppkey AS gene FROM (SELECT DISTINCT site FROM two) JOIN supplier ON site % 5 = s_suppkey % 5 AND s_suppkey * 20000 + 5000 >= greatest(site * 20000 - 50000, 0) AND s_suppkey * 20000 <= site * 20000 + 1000 + 50000)
+SELECT site, gene, count(*) AS n, round(regr_slope(y, x), 4) AS beta, round(regr_r2(y, x), 6) AS r2 FROM pairs JOIN two_x USING (site) JOIN samples USING (sample) JOIN expr USING (gene, sample)
+GROUP BY site, gene HAVING regr_sxx(y, x) > 1e-9 AND regr_syy(y, x) > 1e-9"""
+)
+def eqtl_pipeline(spark, sf_dir):
+    _, genes = _placed(spark, sf_dir)
+    found = M.two_paths(spark, sf_dir)
+    sites = found.select("site").distinct().select("site", (F.col("site") % 5).alias("chr"), (F.col("site") * 20000).alias("start"), (F.col("site") * 20000 + 1000).alias("end"))
+    o = M.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample"))
+    expr = M.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("gene"), "sample").agg(F.sum("l_quantity").cast("double").alias("expr"))
+    cov = M.samples(spark, sf_dir).select("sample", F.array().cast("array<double>").alias("cov"))
+    out = pipelines.eqtl(found, sites, genes, expr, cov, pipelines.Settings(window=50_000))
+    return out.where("se > 0").select("site", "gene", "n", _r("beta", 4).alias("beta"), _r("r2").alias("r2"))
+
+
 # Many tests
 
 
@@ -354,7 +405,7 @@ def bonferroni(spark, sf_dir):
 @query("SELECT o_orderkey, c_acctbal > 4500 AS is_case, round(c_acctbal, 2) AS pheno FROM orders JOIN customer ON o_custkey = c_custkey")
 def pheno_join(spark, sf_dir):
     o = M.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample"))
-    return o.join(M.samples(spark, sf_dir), "sample").select("o_orderkey", "is_case", _r("pheno", 2).alias("pheno"))
+    return readers.matched(o, M.samples(spark, sf_dir), "phenotype").select("o_orderkey", "is_case", _r("pheno", 2).alias("pheno"))
 
 
 @query("SELECT c_custkey AS sample FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -364,8 +415,8 @@ def sample_anti_check(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def chr_semi(spark, sf_dir):
-    s = M.table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
-    return M.table(spark, sf_dir, "lineitem").join(s, "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber")
+    sites = M.table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("chr"))
+    return readers.known_chromosomes(M.table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "chr"), sites).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT o_custkey // 2 AS pair, o_orderdate::DATE AS day, string_agg(o_orderpriority, '|' ORDER BY o_custkey, o_orderpriority) AS genotype FROM orders GROUP BY ALL")
@@ -378,7 +429,7 @@ def diploid_merge(spark, sf_dir):
 
 
 _FIRST = """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-walks AS (SELECT user_id % 3 AS site, user_id AS sample, string_agg(event_type, '>' ORDER BY k) AS walk FROM e WHERE k <= 2 GROUP BY user_id),
+walks AS (SELECT user_id % 3 AS site, user_id AS sample, string_agg(event_type, '>' ORDER BY k) AS walk FROM e GROUP BY user_id),
 cohort AS (SELECT c_custkey AS sample, c_acctbal > 4500 AS is_case FROM customer)
 """
 
@@ -405,18 +456,19 @@ def walk_partition_counts(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT o_custkey % 40 AS site, o_orderstatus AS walk, o_custkey AS sample FROM orders),
-cohort AS (SELECT o_custkey AS sample, bool_or(o_orderpriority LIKE '1%') AS is_case FROM orders GROUP BY 1),
+    """WITH cohort AS (SELECT o_custkey AS sample, bool_or(o_orderpriority LIKE '1%') AS is_case FROM orders GROUP BY 1),
+w AS (SELECT DISTINCT o_custkey % 40 + 1 AS site, o_orderstatus AS walk, o_custkey AS sample FROM orders UNION SELECT 0, is_case::VARCHAR, sample FROM cohort),
 t AS (SELECT count(*) FILTER (WHERE is_case) AS cases, count(*) FILTER (WHERE NOT is_case) AS controls FROM cohort),
-c AS (SELECT 0 AS site, is_case::VARCHAR AS walk, is_case, sample FROM cohort)
-SELECT site, walk, CASE WHEN walk = 'true' THEN 'case' ELSE 'control' END AS which FROM c GROUP BY site, walk"""
+c AS (SELECT site, walk, count(DISTINCT sample) FILTER (WHERE is_case) AS n_case, count(DISTINCT sample) FILTER (WHERE NOT is_case) AS n_control FROM w JOIN cohort USING (sample) GROUP BY site, walk)
+SELECT site, walk, CASE WHEN n_control = 0 THEN 'case' ELSE 'control' END AS which FROM c, t
+WHERE n_control = 0 AND n_case = cases AND cases > 0 OR n_case = 0 AND n_control = controls AND controls > 0"""
 )
 def exact_set_assoc(spark, sf_dir):
     o = M.table(spark, sf_dir, "orders")
     cohort = o.groupBy(F.col("o_custkey").alias("sample")).agg(F.bool_or(F.col("o_orderpriority").startswith("1")).alias("is_case"))
     both = cohort.select(F.lit(0).alias("site"), F.col("is_case").cast("string").alias("walk"), "sample")
     status = o.select((F.col("o_custkey") % 40 + 1).alias("site"), F.col("o_orderstatus").alias("walk"), F.col("o_custkey").alias("sample")).distinct()
-    return walks.exact_sets(both.unionByName(status, allowMissingColumns=True), cohort).where("site = 0")
+    return walks.exact_sets(both.unionByName(status), cohort)
 
 
 @query("SELECT l_orderkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::BIGINT AS rank, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::BIGINT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem")
@@ -467,7 +519,7 @@ def tree_inherit(spark, sf_dir):
     r = M.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), (F.col("r_regionkey") % 2 == 0).alias("placed"))
     n = M.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000000).cast("long").alias("id"), (F.col("n_regionkey") + 1000000).cast("long").alias("parent"), (F.col("n_nationkey") % 3 == 0).alias("placed"))
     c = M.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 3000000).alias("id"), (F.col("c_nationkey") + 2000000).cast("long").alias("parent"), (F.col("c_custkey") % 5 == 0).alias("placed"))
-    return walks.nearest_placed(r.union(n).union(c), 2)
+    return walks.nearest_placed(r.union(n).union(c))
 
 
 _LINKS = """WITH RECURSIVE l AS (
@@ -620,7 +672,7 @@ def allele_sequences(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-w AS (SELECT user_id % 3 AS site, user_id AS sample, string_agg(event_type, '>' ORDER BY k) AS walk FROM e WHERE k <= 1 GROUP BY user_id),
+w AS (SELECT user_id % 3 AS site, user_id AS sample, string_agg(event_type, '>' ORDER BY k) AS walk FROM e GROUP BY user_id),
 c AS (SELECT site, walk, count(*) FILTER (WHERE c_acctbal > 4500) AS n0, count(*) FILTER (WHERE c_acctbal <= 4500) AS n1 FROM w JOIN customer ON sample = c_custkey GROUP BY site, walk),
 t AS (SELECT *, sum(n0) OVER (PARTITION BY site) AS t0, sum(n1) OVER (PARTITION BY site) AS t1 FROM c)
 SELECT site, string_agg(n0 || ':' || n1, ',' ORDER BY walk) AS group_paths, count(*) - 1 AS df,
@@ -628,7 +680,7 @@ SELECT site, string_agg(n0 || ':' || n1, ',' ORDER BY walk) AS group_paths, coun
 FROM t GROUP BY site HAVING count(*) > 1"""
 )
 def graph_assoc(spark, sf_dir):
-    v = M.visits(spark, sf_dir, first=1).withColumns({"child": F.lit(0), "direction": F.lit(0)})
+    v = M.visits(spark, sf_dir).withColumns({"child": F.lit(0), "direction": F.lit(0)})
     out = pipelines.graph(v, M.samples(spark, sf_dir), exact=False)
     return out.select("site", "group_paths", "df", _r("chi2").alias("chi2"))
 
@@ -646,7 +698,7 @@ def level_descent(spark, sf_dir):
     r = M.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000000).cast("long").alias("site"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("eligible"))
     n = M.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000000).cast("long").alias("site"), (F.col("n_regionkey") + 1000000).cast("long").alias("parent"), (F.col("n_nationkey") % 4 != 1).alias("eligible"))
     c = M.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 3000000).alias("site"), (F.col("c_nationkey") + 2000000).cast("long").alias("parent"), (F.col("c_custkey") % 2 == 0).alias("eligible"))
-    levels = walks.descend(r.union(n).union(c), lambda level: level.where("site % 5 = 3").select("site"), 2)
+    levels = walks.descend(r.union(n).union(c), lambda level: level.where("site % 5 = 3").select("site"))
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)

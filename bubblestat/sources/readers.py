@@ -52,7 +52,7 @@ def vcf_calls(spark: SparkSession, path: str) -> DataFrame:
     lv = F.regexp_extract(f[7], r"(?:^|;)LV=([0-9]+)", 1)
     rows = vcf_lines(spark, path).where((lv == "") | (lv == "0"))
     at = F.regexp_extract(f[7], r"(?:^|;)AT=([^;\t]*)", 1)
-    rows = rows.select(f[0].alias("chr"), f[1].cast("long").alias("pos"), F.split(_must(at, at != "", "string", "record without AT"), ",").alias("at"), F.slice(f, 10, 1_000_000).alias("gts"))
+    rows = rows.select(f[0].alias("chr"), f[1].cast("long").alias("pos"), F.split(_must(at, at != "", "string", "record without AT"), ",").alias("at"), F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))).alias("gts"))
     one = rows.select("chr", "pos", "at", F.posexplode("gts").alias("sample_idx", "gt"))
     alleles = F.split(F.split_part(F.col("gt"), F.lit(":"), F.lit(1)), r"[/|]")
     two = one.select("chr", "pos", "at", F.col("sample_idx").cast("long").alias("sample_idx"), F.when(F.size(alleles) == 2, alleles).otherwise(F.raise_error(F.concat(F.lit("not diploid: "), "gt")).cast("array<string>")).alias("alleles"))

@@ -333,3 +333,37 @@ def test_walks_of_many_steps(spark):
     found, given_up = decompose.enumerated(spark.createDataFrame(links, "site long, a long, b long"), spark.createDataFrame([(1, 1, 40)], "site long, start long, end long"))
     straight = list(range(1, 41))
     assert sorted(r["path"] for r in found.collect()) == sorted([straight, straight[:38] + straight[2:]]) and given_up.count() == 0
+
+
+def test_names_of_nodes_change_no_regression(spark):
+    """A sample whose whole dosage is on the dropped path stays in the fit, and paths keep the order of the site's list whatever their text."""
+    rng, out = __import__("random").Random(5), []
+    takes = [[rng.randrange(2) for _ in range(2)] for _ in range(12)]
+    pheno = [float(i % 5) + sum(t) for i, t in enumerate(takes)]
+    traits = spark.createDataFrame([(f"s{i}", pheno[i], []) for i in range(12)], "sample string, pheno double, cov array<double>")
+    cases = spark.createDataFrame([(f"s{i}", i % 2 == 0) for i in range(12)], "sample string, is_case boolean")
+    for names in ((">1>2>4", ">1>3>4"), (">1>9>40", ">1>10>40")):
+        present = spark.createDataFrame([("c", "x", k, names[k], f"s{i}", 2 * i + j) for i, t in enumerate(takes) for j, k in enumerate(t)], "chr string, site string, path_idx long, path string, sample string, hap long")
+        q = pipelines.quantitative(present, traits, pipelines.Settings(min_individuals=2, min_haplotypes=2)).first()
+        b = pipelines.binary(present, cases, pipelines.Settings(min_individuals=2, min_haplotypes=2, maf=0.0)).first()
+        assert q["n"] == 12 and list(b["paths"]) == list(names)
+        out.append((round(q["p"], 12), round(q["beta"], 12), b["group_paths"], b["chi2"]))
+    assert out[0] == out[1]
+    x = np.array([t.count(0) / 2 for t in takes])
+    slope = np.cov(x, pheno, bias=True)[0, 1] / x.var()
+    assert out[0][1] == pytest.approx(slope)
+
+
+def test_trees_of_any_depth(spark):
+    tree = [(i, i - 1 if i else None, i in (0, 150)) for i in range(400)] + [(1000, 2000, False), (1001, 1000, False), (3000, 3001, False), (3001, 3000, False)]
+    got = {r["id"]: (r["placed_id"], r["is_own"]) for r in walks.nearest_placed(spark.createDataFrame(tree, "id long, parent long, placed boolean")).collect()}
+    assert got == {i: (150 if i >= 150 else 0, i in (0, 150)) for i in range(400)} | {i: (None, False) for i in (1000, 1001, 3000, 3001)}
+
+
+def test_fisher_of_many_tables(monkeypatch):
+    rng = np.random.default_rng(3)
+    t = rng.integers(0, 30, (4, 500))
+    want = [special.fisher(*map(int, x)) for x in t.T]
+    for cells in (1 << 22, 200, 10):
+        got = special.fishers(*t, cells=cells)
+        assert all(np.isnan(g) if w is None else g == pytest.approx(w, rel=1e-9) for g, w in zip(got, want))
