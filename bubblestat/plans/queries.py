@@ -523,24 +523,28 @@ def tree_inherit(spark, sf_dir):
 
 
 _LINKS = """WITH RECURSIVE l AS (
-    SELECT DISTINCT o_custkey % 20 AS site, 10 + l_linenumber AS a, 11 + l_linenumber + l_suppkey % 2 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 4
-), links AS (SELECT site, a, CASE WHEN b > 14 THEN 99 ELSE b END AS b FROM l),
-d AS (SELECT DISTINCT * FROM links),
-w AS (SELECT DISTINCT site, 11 AS tip, [11] AS path FROM d UNION ALL SELECT w.site, d.b, list_append(w.path, d.b) FROM w JOIN d ON d.site = w.site AND d.a = w.tip WHERE w.tip <> 99)
+    SELECT o_custkey AS site, 10 + l_linenumber AS a, l_linenumber + l_suppkey % 2 AS step, l_suppkey % 25 = 0 AND l_linenumber = 3 AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), d AS (SELECT DISTINCT site, a, CASE WHEN back THEN 11 WHEN step > 6 THEN 99 ELSE 11 + step END AS b FROM l),
+s AS (SELECT site FROM d GROUP BY site HAVING bool_or(a = 11) AND bool_or(b = 99)),
+w AS (SELECT site, 11 AS tip, [11] AS path FROM s UNION ALL
+    SELECT w.site, d.b, list_append(w.path, d.b) FROM w JOIN d ON d.site = w.site AND d.a = w.tip WHERE w.tip <> 99 AND (d.b = 99 OR len([x for x in w.path if x = d.b]) <= 1))
 SELECT site, array_to_string(path, '>') AS path FROM w WHERE tip = 99 AND site IN (SELECT site FROM w WHERE tip = 99 GROUP BY site HAVING count(*) > 1)"""
 
 
 @query(_LINKS)
 def path_enumeration(spark, sf_dir):
+    """A site for each customer with orders; lines follow each other, and some lead back to the start."""
     from ..sources.shared import ensure_checkpoints
 
     ensure_checkpoints(spark)
-    o = M.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    l = M.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    links = l.select((F.col("o_custkey") % 20).alias("site"), (F.col("l_linenumber") + 10).cast("long").alias("a"), (F.col("l_linenumber") + 11 + F.col("l_suppkey") % 2).alias("b")).distinct()
-    links = links.select("site", "a", F.when(F.col("b") > 14, F.lit(99)).otherwise(F.col("b")).cast("long").alias("b"))
-    bounds = links.select("site", F.lit(11).cast("long").alias("start"), F.lit(99).cast("long").alias("end")).distinct()
-    found, _ = decompose.enumerated(links, bounds, cycle=0)
+    o = M.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("site"))
+    step = F.col("l_linenumber") + F.col("l_suppkey") % 2
+    b = F.when((F.col("l_suppkey") % 25 == 0) & (F.col("l_linenumber") == 3), 11).when(step > 6, 99).otherwise(step + 11)
+    l = M.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    links = l.select("site", (F.col("l_linenumber") + 10).cast("long").alias("a"), b.cast("long").alias("b")).distinct()
+    ends = links.groupBy("site").agg(F.bool_or(F.col("a") == 11).alias("opens"), F.bool_or(F.col("b") == 99).alias("closes")).where("opens and closes")
+    bounds = ends.select("site", F.lit(11).cast("long").alias("start"), F.lit(99).cast("long").alias("end"))
+    found, _ = decompose.enumerated(links, bounds)
     return found.select("site", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
