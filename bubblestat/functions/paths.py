@@ -103,6 +103,16 @@ def length_text(n_steps: Column, least: Column, most: Column) -> Column:
     return F.when(n_steps >= 3, both).when(n_steps == 2, "0")
 
 
+def site_length_text(least: Column, most: Column) -> Column:
+    """`min,max` of a whole site; NA,NA without distances."""
+    return F.concat_ws(",", F.coalesce(least.cast("string"), F.lit("NA")), F.coalesce(most.cast("string"), F.lit("NA")))
+
+
+def kept(values: Column, places: Column) -> Column:
+    """The values at some places, counted from 0, in their order; places beyond the end hold nothing."""
+    return F.filter(values, lambda x, i: F.array_contains(places, i))
+
+
 def group_text(first: Column, second: Column) -> Column:
     """`a:b,c:d` of two count arrays."""
     return F.array_join(F.zip_with(first, second, lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",")

@@ -22,6 +22,24 @@ def forks_in_sites(forks: DataFrame, sites: DataFrame) -> DataFrame:
     return forks.join(edges, (F.least("start", "next") == F.col("a")) & (F.greatest("start", "next") == F.col("b"))).select("start", "next", "site").distinct()
 
 
+def fork_pairs_in_sites(forks: DataFrame, sites: DataFrame) -> DataFrame:
+    """(start, next_a, next_b, site) of truth forks whose both branches lie in a site: one path holds start and next_a, one start and next_b.
+
+    forks: start, next_a, next_b. sites: site, first, last, paths (comma list); the bounds must reach around start and next_a, either way. Forks meet
+    paths by an equality on the node they start from, not by ranges."""
+    p = sites.select("site", "first", "last", F.posexplode(F.split("paths", ",")).alias("path_idx", "path"))
+    p = p.withColumn("ids", F.array_distinct(F.transform(F.regexp_extract_all("path", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))))
+    met = p.select("site", "first", "last", "ids", F.explode("ids").alias("start")).join(forks.distinct(), "start")
+    around = ((F.col("first") <= F.col("start")) & (F.col("last") >= F.col("next_a"))) | ((F.col("last") <= F.col("start")) & (F.col("first") >= F.col("next_a")))
+    held = met.where(around).groupBy("start", "next_a", "next_b", "site").agg(F.bool_or(F.array_contains("ids", F.col("next_a"))).alias("a"), F.bool_or(F.array_contains("ids", F.col("next_b"))).alias("b"))
+    return held.where("a and b").select("start", "next_a", "next_b", "site")
+
+
+def with_paths(results: DataFrame, sites: DataFrame) -> DataFrame:
+    """All results, with the paths of their sites where the site table has them."""
+    return results.join(sites.select("site", "paths"), "site", "left")
+
+
 def structural(sites: DataFrame, least: int = 50) -> DataFrame:
     """Sites (…, type: comma list of lengths or ranges) of which two lengths differ by `least` or more."""
     n = F.transform(F.split(F.replace("type", F.lit("/"), F.lit(",")), ","), lambda x: x.try_cast("long"))
@@ -70,6 +88,12 @@ def genotype_classes(dosage: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return rows.groupBy("site", kind.alias("genotype")).agg(F.count("*").alias("n"))
 
 
+def volcano(results: DataFrame, threshold: float, keep: list[str] | None = None) -> DataFrame:
+    """(keep …, effect, y, significant) of results with a p and an effect: -log10 of p, which is 1e-300 at least."""
+    y = -F.log10(F.greatest("p", F.lit(1e-300)))
+    return results.where("p is not null and effect is not null").select(*keep or [], "effect", y.alias("y"), (F.col("p") < threshold).alias("significant"))
+
+
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin from 0, n); the last bin holds its upper end."""
     b = F.least(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(bins - 1))

@@ -28,6 +28,60 @@ def boundary_pairs(bound_steps: DataFrame) -> DataFrame:
     return placed.where("_k % 2 = 1 and to_rank is not null").select("site", "path", F.col("rank").alias("from_rank"), "to_rank")
 
 
+def site_visits(steps: DataFrame, site_nodes: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(site, path, child, direction, offset, next): each visit of a site's nodes between its bounds, and where the path goes from there.
+
+    steps: path, rank, node, rev. site_nodes: site, node, bounds included; what isn't listed (the inside of nested sites) is skipped. bounds: site, start,
+    end. Steps on bounds pair up as in boundary_pairs; a last one without a partner has no visits. A pair that starts at the end bound is walked
+    backwards: its order and orientations are turned, so that both ways through a site are one walk. Steps meet nodes by one equality join."""
+    ends = (F.col("node") == F.col("start")) | (F.col("node") == F.col("end"))
+    met = steps.select("path", "rank", "node", "rev").join(site_nodes.select("site", "node").distinct(), "node").join(bounds.select("site", "start", "end"), "site").withColumn("bound", ends)
+    order = W.partitionBy("site", "path").orderBy("rank")
+    before = F.coalesce(F.count_if(F.col("bound")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = met.withColumn("before", before).where("bound or before % 2 = 1").withColumn("pair", F.floor(F.col("before") / 2))
+    pair = W.partitionBy("site", "path", "pair")
+    first = F.first("node").over(pair.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    whole = inside.withColumn("n", F.count_if(F.col("bound")).over(pair)).withColumn("back", (first == F.col("end")) & (F.col("start") != F.col("end"))).where("n = 2")
+    turned = whole.withColumns({"way": F.when(F.col("back"), -F.col("rank")).otherwise(F.col("rank")), "direction": (F.col("rev") != F.col("back")).cast("int")})
+    after = F.lead(F.struct("node", "direction")).over(pair.orderBy("way"))
+    rows = turned.withColumn("after", after).where("after is not null")
+    next_node = F.concat(F.when(F.col("after.direction") == 1, "<").otherwise(">"), F.col("after.node").cast("string"))
+    return rows.select("site", "path", F.col("node").alias("child"), "direction", F.struct("pair", "way").alias("offset"), next_node.alias("next"))
+
+
+def opening(visits: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Visits of the start bound alone. In a site without branches inside its branches they tell walks apart as all visits do."""
+    return visits.join(bounds.select("site", F.col("start").alias("child")), ["site", "child"], "left_semi")
+
+
+def path_ranges(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    """(site, path, from_rank, to_rank, start, end) of pairs of steps (site, path, from_rank, to_rank): offsets of the letters between them, bounds left out.
+
+    steps: path, rank, offset, len."""
+    left = steps.select("path", F.col("rank").alias("from_rank"), (F.col("offset") + F.col("len")).alias("start"))
+    right = steps.select("path", F.col("rank").alias("to_rank"), F.col("offset").alias("end"))
+    return pairs.join(left, ["path", "from_rank"]).join(right, ["path", "to_rank"]).select("site", "path", "from_rank", "to_rank", "start", "end")
+
+
+def widest(ranges: DataFrame) -> DataFrame:
+    """(site, path, start, end): of each site its first path, by name, from the least start to the greatest end."""
+    each = ranges.groupBy("site", "path").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return each.groupBy("site").agg(F.min(F.struct("path", "start", "end")).alias("r")).select("site", "r.*")
+
+
+def coordinates(ranges: DataFrame, tree: DataFrame, references: DataFrame) -> DataFrame:
+    """(site, path, start, end, is_own): where each site of a tree (site, parent) lies.
+
+    On a reference path, if the site has a range there; else where its nearest ancestor has one; else on its first path of any name. A site without any has
+    no row. is_own: the range is the site's, not an ancestor's."""
+    known = widest(ranges.join(references.select("path").distinct(), "path", "left_semi"))
+    placed = known.select("site", F.lit(True).alias("hit"))
+    climbed = nearest_placed(tree.join(placed, "site", "left").select(F.col("site").alias("id"), "parent", F.coalesce("hit", F.lit(False)).alias("placed")))
+    on_reference = climbed.join(known.withColumnRenamed("site", "placed_id"), "placed_id").select(F.col("id").alias("site"), "path", "start", "end", "is_own")
+    rest = climbed.where("placed_id is null").select(F.col("id").alias("site"))
+    return on_reference.unionByName(widest(ranges.join(rest, "site", "left_semi")).withColumn("is_own", F.lit(True)))
+
+
 def signatures(visits: DataFrame) -> DataFrame:
     """(site, hap, sample, walk): how a haplotype walks a site.
 

@@ -1,4 +1,4 @@
-"""Command line: `vcf` analysis and `correct`."""
+"""Command line: `vcf` and `graph` analyses and `correct`."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..functions import paths as P
+from ..operators import stats, walks
 from ..sources import readers, sinks
+from ..sources.shared import ensure_checkpoints
 from . import pipelines
 
 
@@ -31,6 +33,17 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-w", "--window", type=int, default=1_000_000)
     v.add_argument("-T", "--table-threshold", type=float)
     v.add_argument("-o", "--output", default="output")
+    g = sub.add_parser("graph", help="association from the paths of a graph and a site table")
+    g.add_argument("-g", "--graph", required=True, help="GFA")
+    g.add_argument("-s", "--sites", required=True)
+    g.add_argument("-d", "--tree", help="nested sites with lengths; without it all sites are at the top and none has lengths")
+    g.add_argument("-b", "--binary", required=True)
+    g.add_argument("-T", "--test", choices=["exact", "chi2"], default="exact")
+    g.add_argument("-O", "--output-format", choices=["tsv", "fasta"], default="tsv")
+    g.add_argument("-l", "--allele-size-limit", type=int, default=0)
+    g.add_argument("-r", "--reference-sample", help="whose paths give positions; without it paths with plain names do")
+    g.add_argument("--references", help="names of the paths that give positions, one a line")
+    g.add_argument("-o", "--output", default="output")
     c = sub.add_parser("correct", help="adjusted p-values of a result table, in a column of their own")
     c.add_argument("-t", "--table", required=True)
     c.add_argument("-p", "--p-column", required=True)
@@ -69,7 +82,9 @@ def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
         kind, out = "quantitative", pipelines.quantitative(found, traits.join(cov, "sample"), s)
     else:
         kind = "eqtl"
-        out = pipelines.eqtl(found, place.select("chr", "site", "start", "end"), readers.genes(spark, args.genes), readers.expression(spark, args.expression), cov, s)
+        genes = readers.genes(spark, args.genes)
+        expression = readers.positioned(readers.expression(spark, args.expression), genes).select("gene", "sample", "expr")
+        out = pipelines.eqtl(found, place.select("chr", "site", "start", "end"), genes, expression, cov, s)
     if kind != "binary":
         counts = found.groupBy("site", "path_idx").agg(F.count("*").alias("n")).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("path_idx", "n"))).alias("a"))
         out = out.join(counts.select("site", F.col("a.n").alias("allele_paths")), "site")
@@ -82,6 +97,40 @@ def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.write_regression_tables(tables.dosages(found).join(near, "site", "left_semi").select("site", "sample", "path", "dosage"), args.output)
 
 
+def run_graph(spark: SparkSession, args: argparse.Namespace) -> None:
+    ensure_checkpoints(spark)
+    nodes, _, steps = readers.gfa(spark, args.graph)
+    table = readers.sites(spark, args.sites)
+    alone = table.select("site", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("min_len"), F.lit(None).cast("long").alias("max_len"), F.lit(False).alias("is_regular"))
+    tree = readers.site_tree(spark, args.tree) if args.tree else alone
+    tree = tree.withColumn("eligible", F.coalesce("max_len", F.lit(args.allele_size_limit)) >= args.allele_size_limit).checkpoint()
+    samples = readers.binary_phenotypes(spark, args.binary)
+    visits = pipelines.graph_visits(steps, table, tree).checkpoint()
+    wanted = F.col("sample") == args.reference_sample if args.reference_sample else ~F.col("path").contains("#")
+    references = readers.found_references(readers.reference_names(spark, args.references), steps) if args.references else steps.where(wanted).select("path").distinct()
+    ranges, places = pipelines.graph_places(steps, nodes, table, tree, references)
+    if args.test == "exact":
+        levels = walks.descend(tree, lambda level: pipelines.graph(visits.join(level.select("site"), "site", "left_semi"), samples, exact=True))
+        hits = levels[0]
+        for level in levels[1:]:
+            hits = hits.unionByName(level)
+        out = hits.select("site").distinct().select("site", F.lit(None).cast("double").alias("p_fisher"), F.lit(None).cast("double").alias("p_chi2"), F.lit(None).cast("string").alias("group_paths"))
+    else:
+        out = pipelines.graph(visits.join(tree.where("eligible").select("site"), "site", "left_semi"), samples, exact=False).select("site", "p_fisher", "p_chi2", "group_paths")
+    if args.output_format == "tsv":
+        lengths = tree.select("site", P.site_length_text(F.col("min_len"), F.col("max_len")).alias("types"))
+        place = places.select("site", F.col("path").alias("chr"), "start", "end")
+        rows = out.join(lengths, "site").join(place, "site", "left").join(table.select("site", "depth"), "site")
+        sinks.write_table(rows.orderBy("chr", "start", "site"), "graph", args.output)
+        return
+    chosen = walks.partitions(walks.signatures(visits.join(out.select("site"), "site", "left_semi").join(samples.select("sample"), "sample", "left_semi")))
+    chosen = chosen.select("site", F.get("samples", F.lit(0)).alias("sample")).distinct()
+    shown = ranges.withColumn("sample", P.sample_of_path(F.col("path"))["sample"]).join(chosen, ["site", "sample"], "left_semi").drop("sample")
+    letters = walks.sequences(shown.select("site", "path", "from_rank", "to_rank"), steps, nodes)
+    spans = places.select("site", F.concat("path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("reference"))
+    sinks.fasta(shown.join(letters, ["site", "path", "from_rank", "to_rank"]).join(spans, "site", "left")).write.mode("overwrite").text(f"{args.output}/{sinks.FILES['fasta']}")
+
+
 def run_correct(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = spark.read.csv(args.table, sep="\t", header=True)
     p = F.col(f"`{args.p_column}`").try_cast("double")
@@ -96,7 +145,7 @@ def main(argv: list[str] | None = None) -> None:
         print("0.1.0")
         return
     spark = SparkSession.builder.appName("bubblestat").getOrCreate()
-    run_vcf(spark, args) if args.command == "vcf" else run_correct(spark, args)
+    {"vcf": run_vcf, "graph": run_graph, "correct": run_correct}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -90,6 +90,31 @@ def graph(visits: DataFrame, samples: DataFrame, exact: bool) -> DataFrame:
     return stats.tested(vectors).withColumn("group_paths", P.group_text(F.col("g0"), F.col("g1")))
 
 
+def site_nodes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, node) that a site table names in a site's paths or as its bounds, and (site, start, end); the 0 of nested structure is no node."""
+    ends = table.select("site", P.site_ends(F.col("site")).alias("e"), F.transform(P.digits(F.array_join("paths", ",")), lambda x: x.cast("long")).alias("ids"))
+    nodes = ends.select("site", F.explode(F.array_distinct(F.concat("ids", F.array("e.start", "e.end")))).alias("node")).where(F.col("node") != P.WILDCARD)
+    return nodes, ends.select("site", "e.start", "e.end")
+
+
+def graph_visits(steps: DataFrame, table: DataFrame, tree: DataFrame) -> DataFrame:
+    """Visits, as graph() takes them, of the sites of a table by the paths of a graph. Regular sites of the tree are told by their start bound alone."""
+    nodes, bounds = site_nodes(table)
+    all_visits = walks.site_visits(steps, nodes, bounds)
+    regular = tree.where("is_regular").select("site")
+    visits = all_visits.join(regular, "site", "left_anti").unionByName(walks.opening(all_visits, bounds.join(regular, "site", "left_semi")).select(all_visits.columns))
+    return visits.withColumn("sample", P.sample_of_path(F.col("path"))["sample"]).withColumnRenamed("path", "hap")
+
+
+def graph_places(steps: DataFrame, nodes: DataFrame, table: DataFrame, tree: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of all paths through the sites of a table, (site, path, from_rank, to_rank, start, end), and where each site lies, as walks.coordinates() says."""
+    placed = walks.step_offsets(steps.join(nodes.select("node", "len"), "node"))
+    ends = site_nodes(table)[1].select("site", F.explode(F.array_distinct(F.array("start", "end"))).alias("node"))
+    pairs = walks.boundary_pairs(steps.select("path", "rank", "node").join(ends, "node").select("site", "path", "rank"))
+    ranges = walks.path_ranges(pairs, placed)
+    return ranges, walks.coordinates(ranges, tree.select("site", "parent"), references)
+
+
 def corrected(results: DataFrame, p: str, top: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """results with p_adjusted, and those below top."""
     out = stats.bh_adjusted(results, p)

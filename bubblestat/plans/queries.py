@@ -746,3 +746,147 @@ def gaf_controls(spark, sf_dir):
     v = tables.site_vectors(t).withColumn("p", F.lit(0.5))
     sizes = t.select("site", "path", F.lit(7).alias("length"))
     return sinks.gaf_pair(v.withColumn("site", F.col("site").cast("string")), sizes.withColumn("site", F.col("site").cast("string")), P.display_shares)[0]
+
+
+# Walks of the graph command, and checks
+
+
+_RANK = "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::BIGINT"
+_VISITS = f"""WITH steps AS (SELECT l_orderkey AS path, {_RANK} AS rank, l_partkey % 12 AS node, l_returnflag = 'R' AS rev FROM lineitem),
+m AS (SELECT r_regionkey AS site, s.*, node = r_regionkey OR node = r_regionkey + 5 AS bound, r_regionkey + 5 AS last FROM steps s, region WHERE node BETWEEN r_regionkey AND r_regionkey + 5),
+b AS (SELECT *, coalesce(count(*) FILTER (WHERE bound) OVER (PARTITION BY site, path ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+i AS (SELECT *, before // 2 AS pair FROM b WHERE bound OR before % 2 = 1),
+n AS (SELECT *, count(*) FILTER (WHERE bound) OVER w AS n, first_value(node) OVER (w ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) = last AS back FROM i WINDOW w AS (PARTITION BY site, path, pair)),
+t AS (SELECT *, CASE WHEN back THEN -rank ELSE rank END AS way, (rev <> back)::INT AS direction FROM n WHERE n = 2),
+visits AS (SELECT site, path, node AS child, direction, pair, way, lead(CASE direction WHEN 1 THEN '<' ELSE '>' END || node) OVER (PARTITION BY site, path, pair ORDER BY way) AS next FROM t)
+"""
+
+
+def _graph_visits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as paths over twelve nodes, and a site of six nodes for each region."""
+    steps = M.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), _rank(), (F.col("l_partkey") % 12).alias("node"), (F.col("l_returnflag") == "R").alias("rev"))
+    r = M.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("site"))
+    bounds = r.select("site", F.col("site").alias("start"), (F.col("site") + 5).alias("end"))
+    nodes = r.select("site", F.explode(F.sequence("site", F.col("site") + 5)).alias("node"))
+    return walks.site_visits(steps, nodes, bounds), bounds
+
+
+@query(_VISITS + "SELECT site, path, child, direction, pair, way, next FROM visits WHERE next IS NOT NULL")
+def site_visits(spark, sf_dir):
+    v, _ = _graph_visits(spark, sf_dir)
+    return v.select("site", "path", "child", "direction", "offset.pair", "offset.way", "next")
+
+
+@query(_VISITS + "SELECT site, path, string_agg(next, '>' ORDER BY pair, way) AS walk FROM visits WHERE next IS NOT NULL AND child = site AND direction = 0 GROUP BY site, path")
+def regular_shortcut(spark, sf_dir):
+    v, bounds = _graph_visits(spark, sf_dir)
+    own = walks.opening(v, bounds).where("direction = 0").withColumns({"hap": F.col("path"), "sample": F.col("path")})
+    return walks.signatures(own).select("site", F.col("hap").alias("path"), F.regexp_replace("walk", "^[0-9]+/0/", "").alias("walk"))
+
+
+_RANGES = f"""WITH s AS (SELECT l_orderkey AS path, l_suppkey % 3 AS site, {_RANK} AS rank, l_quantity::BIGINT AS len FROM lineitem),
+o AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY path ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM s),
+p AS (SELECT *, row_number() OVER w AS k, lead(place) OVER w AS last FROM o WINDOW w AS (PARTITION BY site, path ORDER BY rank)),
+ranges AS (SELECT site, path, place + len AS first, last FROM p WHERE k % 2 = 1 AND last IS NOT NULL)
+"""
+
+
+def _path_ranges(spark, sf_dir) -> DataFrame:
+    s = M.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 3).alias("site"), F.col("l_orderkey").alias("path"), _rank(), F.col("l_quantity").cast("long").alias("len"))
+    return walks.path_ranges(walks.boundary_pairs(s.select("site", "path", "rank")), walks.step_offsets(s.drop("site")))
+
+
+@query(_RANGES + "SELECT site, path, first, last FROM ranges")
+def path_ranges(spark, sf_dir):
+    return _path_ranges(spark, sf_dir).select("site", "path", F.col("start").alias("first"), F.col("end").cast("long").alias("last"))
+
+
+@query(_RANGES + ", w AS (SELECT site, path, min(first) AS first, max(last) AS last FROM ranges GROUP BY site, path) SELECT site, min(path) AS path, arg_min(first, path) AS first, arg_min(last, path) AS last FROM w GROUP BY site")
+def reference_range(spark, sf_dir):
+    return walks.widest(_path_ranges(spark, sf_dir)).select("site", "path", F.col("start").alias("first"), F.col("end").alias("last"))
+
+
+@query(
+    """WITH RECURSIVE t AS (
+    SELECT 1000000 + r_regionkey AS site, NULL::BIGINT AS parent FROM region UNION ALL SELECT 2000000 + n_nationkey, 1000000 + n_regionkey FROM nation UNION ALL SELECT 3000000 + c_custkey, 2000000 + c_nationkey FROM customer
+), r AS (
+    SELECT 3000000 + o_custkey AS site, o_orderpriority AS path, o_orderkey % 1000 AS first, o_orderkey % 1000 + 5 AS last FROM orders
+    UNION ALL SELECT 2000000 + s_nationkey, CASE WHEN s_nationkey % 2 = 0 THEN '1-URGENT' ELSE 'other' END, s_suppkey, s_suppkey + 3 FROM supplier
+), x AS (SELECT site, path, min(first) AS first, max(last) AS last FROM r GROUP BY site, path),
+own AS (SELECT site, path, first, last FROM x WHERE path = '1-URGENT'),
+w AS (SELECT site, site AS up FROM t UNION ALL SELECT w.site, t.parent FROM w JOIN t ON t.site = w.up WHERE t.parent IS NOT NULL AND w.up NOT IN (SELECT site FROM own)),
+placed AS (SELECT w.site, own.path, own.first, own.last, w.up = w.site AS is_own FROM w JOIN own ON own.site = w.up),
+rest AS (SELECT site, min(path) AS path, arg_min(first, path) AS first, arg_min(last, path) AS last, true AS is_own FROM x WHERE site IN (SELECT site FROM t) AND site NOT IN (SELECT site FROM placed) GROUP BY site)
+SELECT * FROM placed UNION ALL SELECT * FROM rest"""
+)
+def site_coordinates(spark, sf_dir):
+    """Regions, nations and customers as nested sites; orders and suppliers as ranges of paths through them."""
+    key = lambda c, base: (F.col(c) + base).cast("long")
+    t = M.table(spark, sf_dir, "region").select(key("r_regionkey", 1000000).alias("site"), F.lit(None).cast("long").alias("parent"))
+    t = t.union(M.table(spark, sf_dir, "nation").select(key("n_nationkey", 2000000), key("n_regionkey", 1000000)))
+    t = t.union(M.table(spark, sf_dir, "customer").select(key("c_custkey", 3000000), key("c_nationkey", 2000000)))
+    o = M.table(spark, sf_dir, "orders").select(key("o_custkey", 3000000).alias("site"), F.col("o_orderpriority").alias("path"), (F.col("o_orderkey") % 1000).alias("start"), (F.col("o_orderkey") % 1000 + 5).cast("long").alias("end"))
+    s = M.table(spark, sf_dir, "supplier").select(key("s_nationkey", 2000000), F.when(F.col("s_nationkey") % 2 == 0, "1-URGENT").otherwise("other"), key("s_suppkey", 0), key("s_suppkey", 3))
+    ref = M.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderpriority").alias("path"))
+    return walks.coordinates(o.union(s), t, ref).select("site", "path", F.col("start").alias("first"), F.col("end").alias("last"), "is_own")
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS site, min(o_orderkey) AS first, max(o_orderkey) AS last, list(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS p, list(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus <> 'O') AS q FROM orders GROUP BY 1),
+k AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS a, lead(o_orderkey, 2) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT DISTINCT k.o_orderkey AS start, a AS next_a, b AS next_b, site FROM k JOIN s ON site = o_custkey
+WHERE b IS NOT NULL AND first <= k.o_orderkey AND last >= a AND ((list_contains(p, k.o_orderkey) AND list_contains(p, a)) OR (list_contains(q, k.o_orderkey) AND list_contains(q, a)))
+AND ((list_contains(p, k.o_orderkey) AND list_contains(p, b)) OR (list_contains(q, k.o_orderkey) AND list_contains(q, b)))"""
+)
+def fork_pairs(spark, sf_dir):
+    o = M.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), "o_orderkey", "o_orderstatus").distinct()
+    text = lambda status: F.concat_ws("", F.transform(F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") != status, F.col("o_orderkey")))), lambda x: F.concat(F.lit(">"), x.cast("string"))))
+    s = o.groupBy("site").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.concat_ws(",", text("F"), text("O")).alias("paths"))
+    w = W.partitionBy("site").orderBy("o_orderkey")
+    forks = o.select(F.col("o_orderkey").alias("start"), F.lead("o_orderkey").over(w).alias("next_a"), F.lead("o_orderkey", 2).over(w).alias("next_b")).where("next_b is not null")
+    return evaluate.fork_pairs_in_sites(forks, s)
+
+
+@query(M.SQL + "SELECT t.id, t.site, p.p_name AS paths FROM tests t LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_size > 10) p ON p.p_partkey = t.site")
+def results_with_paths(spark, sf_dir):
+    part = M.table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("site"), F.col("p_name").alias("paths"))
+    return evaluate.with_paths(_tests(spark, sf_dir).select("id", "site"), part).select("id", "site", "paths")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_discount, 6) AS effect, round(-log10(greatest(l_tax, 1e-300)), 6) AS y, l_tax < 0.05 AS significant FROM lineitem")
+def volcano_points(spark, sf_dir):
+    l = M.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("p"), F.col("l_discount").alias("effect"))
+    return evaluate.volcano(l, 0.05, keep=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", _r("effect").alias("effect"), _r("y").alias("y"), "significant")
+
+
+@query("SELECT l_orderkey, sum(l_quantity)::BIGINT AS expr, p_size::BIGINT AS g_start, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_size")
+def gene_positions(spark, sf_dir):
+    """Parts as genes: every order line's part must have its row."""
+    genes = M.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.col("p_size").cast("long").alias("g_start"))
+    l = M.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gene"), "l_orderkey", "l_quantity")
+    return readers.positioned(l, genes).groupBy("l_orderkey", "g_start").agg(F.sum("l_quantity").cast("long").alias("expr"), F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey AS path FROM lineitem")
+def reference_check(spark, sf_dir):
+    """Each order of a line must be a path of the orders."""
+    refs = M.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"))
+    return readers.found_references(refs, M.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path")))
+
+
+@query("SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_partkey)[1:1] || list(l_partkey ORDER BY l_partkey)[3:3], ',') AS parts, count(*) || ',' || coalesce((CASE WHEN count(*) > 2 THEN sum(l_quantity)::BIGINT END)::VARCHAR, 'NA') AS lengths FROM lineitem GROUP BY l_orderkey")
+def kept_positions(spark, sf_dir):
+    g = M.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("v"), F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+    kept = F.array_join(F.transform(P.kept(F.col("v"), F.array(F.lit(0), F.lit(2))), lambda x: x.cast("string")), ",")
+    return g.select("l_orderkey", kept.alias("parts"), P.site_length_text(F.col("n"), F.when(F.col("n") > 2, F.col("q"))).alias("lengths"))
+
+
+@query("SELECT '>snarl:' || l_orderkey || '|ref:NOREF:?:?|path:' || o_custkey || '#0#' || l_partkey || ':0-' || l_suppkey || chr(10) || l_linestatus AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def fasta_of_samples(spark, sf_dir):
+    from ..sources import sinks
+
+    o = M.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    l = M.table(spark, sf_dir, "lineitem").join(o, "l_orderkey")
+    name = F.concat_ws("#", F.col("o_custkey").cast("string"), F.lit("0"), F.col("l_partkey").cast("string"))
+    rows = l.select(F.col("l_orderkey").cast("string").alias("site"), F.lit(None).cast("string").alias("reference"), name.alias("path"), F.lit(0).alias("start"), F.col("l_suppkey").alias("end"), F.col("l_linestatus").alias("sequence"))
+    return sinks.fasta(rows, M.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("sample")))

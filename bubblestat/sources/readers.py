@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SITE_HEADER = ["CHR", "START_POS", "END_POS", "SNARL_HANDLEGRAPH", "SNARL", "PATHS", "TYPE", "REF", "DEPTH"]
 PHENOTYPE_HEADER = ["FID", "IID", "PHENO"]
 GENE_HEADER = ["gene_name", "chr", "start", "end"]
+#: Header of the table of nested sites.
+TREE_HEADER = ["SNARL", "PARENT", "MIN_LEN", "MAX_LEN", "REGULAR"]
 
 
 def _header(spark: SparkSession, path: str) -> str:
@@ -73,6 +75,13 @@ def sites(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("CHR").alias("chr"), F.col("START_POS").alias("start"), F.col("END_POS").alias("end"), F.col("SNARL_HANDLEGRAPH").alias("handle"), F.col("SNARL").alias("site"), F.split("PATHS", ",").alias("paths"), F.split("TYPE", ",").alias("types"), (F.col("REF") == 1).alias("is_ref"), F.col("DEPTH").alias("depth"))
 
 
+def site_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(site, parent, min_len, max_len, is_regular) of a table of nested sites; no parent at the top, no lengths where none are known."""
+    _check(_header(spark, path).split("\t"), TREE_HEADER, path)
+    rows = spark.read.csv(path, sep="\t", header=True, schema="SNARL string, PARENT string, MIN_LEN long, MAX_LEN long, REGULAR int", nullValue="NA", mode="FAILFAST")
+    return rows.select(F.col("SNARL").alias("site"), F.col("PARENT").alias("parent"), F.col("MIN_LEN").alias("min_len"), F.col("MAX_LEN").alias("max_len"), F.coalesce(F.col("REGULAR") == 1, F.lit(False)).alias("is_regular"))
+
+
 def site_paths(table: DataFrame) -> DataFrame:
     """(chr, site, path_idx, path) of sites()."""
     return table.select("chr", "site", F.posexplode("paths").alias("path_idx", "path"))
@@ -142,6 +151,22 @@ def matched(samples: DataFrame, table: DataFrame, what: str) -> DataFrame:
     return samples.join(table, "sample")
 
 
+def positioned(expression: DataFrame, genes: DataFrame) -> DataFrame:
+    """expression joined to genes by name; a gene without a position raises with its name."""
+    lost = [r[0] for r in expression.select("gene").distinct().join(genes, "gene", "left_anti").limit(5).collect()]
+    if lost:
+        raise ValueError(f"no position for {', '.join(map(str, lost))}")
+    return expression.join(genes, "gene")
+
+
+def found_references(references: DataFrame, steps: DataFrame) -> DataFrame:
+    """references, once each; a reference that no path of the graph is named by raises."""
+    lost = [r[0] for r in references.select("path").distinct().join(steps, "path", "left_anti").limit(5).collect()]
+    if lost:
+        raise ValueError(f"not in the graph: {', '.join(map(str, lost))}")
+    return references.select("path").distinct()
+
+
 def gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (node, seq, len), edges (a, a_rev, b, b_rev) and steps (path, sample, hap, rank, node, rev) of S, L, P and W lines."""
     f = F.split("value", "\t")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions.special import fmt4
 
 #: Columns of the four association tables, and their names here.
@@ -15,6 +16,7 @@ HEADERS = {
     "eqtl": "#CHR START_POS END_POS SNARL PATH_LENGTHS GENE P RSQUARE BETA SE ALLELE_PATHS DEPTH",
     "sites": "CHR START_POS END_POS SNARL_HANDLEGRAPH SNARL PATHS TYPE REF DEPTH",
     "rejected": "SNARL REASON",
+    "graph": "#CHR START_POS END_POS SNARL PATH_LENGTHS P_FISHER P_CHI2 GROUP_PATHS DEPTH",
 }
 COLUMNS = {"#CHR": "chr", "CHR": "chr", "START_POS": "start", "END_POS": "end", "SNARL": "site", "SNARL_HANDLEGRAPH": "handle", "PATH_LENGTHS": "types", "TYPE": "types", "PATHS": "paths", "REF": "is_ref", "P_FISHER": "p_fisher", "P_CHI2": "p_chi2", "RSQUARE": "r2"}
 #: Names of result files by analysis.
@@ -38,8 +40,10 @@ def write_table(rows: DataFrame, kind: str, folder: str) -> None:
     as_text(rows, kind).write.mode("overwrite").option("comment", "~").csv(f"{folder}/{FILES.get(kind, kind + '.tsv')}", sep="\t", header=True)
 
 
-def fasta(sequences: DataFrame) -> DataFrame:
-    """Records of (site, reference, path, start, end, sequence); without a reference range its field says so."""
+def fasta(sequences: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Records of (site, reference, path, start, end, sequence); without a reference range its field says so. With samples (sample) only their paths."""
+    if samples is not None:
+        sequences = sequences.withColumn("sample", P.sample_of_path(F.col("path"))["sample"]).join(samples.select("sample").distinct(), "sample", "left_semi")
     ref = F.coalesce("reference", F.lit("NOREF:?:?"))
     return sequences.select(F.concat(F.lit(">snarl:"), "site", F.lit("|ref:"), ref, F.lit("|path:"), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("\n"), "sequence").alias("value"))
 

@@ -367,3 +367,66 @@ def test_fisher_of_many_tables(monkeypatch):
     for cells in (1 << 22, 200, 10):
         got = special.fishers(*t, cells=cells)
         assert all(np.isnan(g) if w is None else g == pytest.approx(w, rel=1e-9) for g, w in zip(got, want))
+
+
+@pytest.fixture(scope="module")
+def graph_study(tmp_path_factory):
+    """Sites 1_4 and 4_8 in a row, 5_7 inside 4_8; s3 walks backwards, s4 stops inside 4_8, and x is outside the cohort."""
+    d = tmp_path_factory.mktemp("graph")
+    walks_of = {"s0": ">1>2>4>5>6>7>8", "s1": ">1>2>4>5>7>8", "s2": ">1>3>4>8", "s3": "<8<4<3<1", "s4": ">1>2>4>5>7", "x": ">1>3>4>8"}
+    lines = [f"S\t{n}\t{'ACGT'[n % 4] * n}" for n in range(1, 9)] + ["P\tref\t1+,2+,4+,8+\t*"]
+    write(d / "g.gfa", "\n".join(lines + [f"W\t{s}\t0\tc\t0\t9\t{w}" for s, w in walks_of.items()]) + "\n")
+    rows = [("1_4", ">1>2>4,>1>3>4", 1), ("4_8", ">4>5>0>7>8,>4>8", 1), ("5_7", ">5>6>7,>5>7", 2)]
+    write(d / "sites.tsv", "\n".join(["\t".join(readers.SITE_HEADER), *(f"ref\t1\t2\t0\t{s}\t{p}\t1,1\t1\t{n}" for s, p, n in rows)]) + "\n")
+    write(d / "tree.tsv", "\n".join(["\t".join(readers.TREE_HEADER), "1_4\tNA\t2\t3\t1", "4_8\tNA\t0\t18\t0", "5_7\t4_8\tNA\tNA\t0"]) + "\n")
+    write(d / "pheno.tsv", "FID IID PHENO\n" + "".join(f"{s} {s} {1 + (s in ('s0', 's1', 's4'))}\n" for s in list(walks_of)[:5]))
+    return d
+
+
+@pytest.mark.parametrize("more, want", [(["-T", "chi2"], {"1_4": "3:0,0:2", "4_8": "2:0,0:2", "5_7": "1:0,2:0"}), ([], {"1_4": "NA", "4_8": "NA"}), (["-T", "chi2", "-l", "5"], {"4_8": "2:0,0:2", "5_7": "1:0,2:0"})])
+def test_graph_command(spark, graph_study, tmp_path, more, want):
+    d = graph_study
+    args = ["graph", "-g", str(d / "g.gfa"), "-s", str(d / "sites.tsv"), "-d", str(d / "tree.tsv"), "-b", str(d / "pheno.tsv"), "-o", str(tmp_path), *more]
+    cli.run_graph(spark, cli.checked(cli.parser().parse_args(args)))
+    rows = {r["SNARL"]: r for r in spark.read.csv(f"{tmp_path}/{sinks.FILES['graph']}", sep="\t", header=True).collect()}
+    for site, counts in want.items():
+        assert sorted(rows[site]["GROUP_PATHS"].split(",")) == sorted(counts.split(","))
+    assert set(rows) == set(want)
+    place = {s: (r["#CHR"], r["START_POS"], r["END_POS"]) for s, r in rows.items()}
+    at = {"1_4": ("ref", "1", "3"), "4_8": ("ref", "7", "7"), "5_7": ("ref", "7", "7")}  # 5_7 lies where its parent does
+    assert place == {s: at[s] for s in rows}
+    assert {s: r["PATH_LENGTHS"] for s, r in rows.items()} == {s: t for s, t in {"1_4": "2,3", "4_8": "0,18", "5_7": "NA,NA"}.items() if s in rows}
+
+
+def test_graph_fasta(spark, graph_study, tmp_path):
+    d = graph_study
+    cli.run_graph(spark, cli.parser().parse_args(["graph", "-g", str(d / "g.gfa"), "-s", str(d / "sites.tsv"), "-b", str(d / "pheno.tsv"), "-O", "fasta", "-T", "chi2", "-o", str(tmp_path)]))
+    records = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/{sinks.FILES['fasta']}").collect())
+    assert ">snarl:1_4|ref:ref:1-3|path:s0#0#c:1-3\nGG" in records and "|path:s2#0#c:1-4\nTTT" in records
+    assert "x#0#c" not in records and ">snarl:5_7|ref:NOREF" not in records
+
+
+def test_visits_backwards(spark):
+    """A path that walks a site from its end is the same walk; a last bound without a partner gives nothing."""
+    steps = [("f", i, n, False) for i, n in enumerate([9, 1, 2, 3, 4, 9, 1, 2])] + [("b", i, n, True) for i, n in enumerate([4, 3, 2, 1])]
+    s = spark.createDataFrame(steps, "path string, rank long, node long, rev boolean")
+    v = walks.site_visits(s, spark.createDataFrame([("s", n) for n in (1, 2, 3, 4)], "site string, node long"), spark.createDataFrame([("s", 1, 4)], "site string, start long, end long"))
+    found = walks.signatures(v.withColumns({"hap": F.col("path"), "sample": F.col("path")})).collect()
+    assert len(found) == 2 and len({r["walk"] for r in found}) == 1 and found[0]["walk"] == "1/0/>2 2/0/>3 3/0/>4"
+    empty = walks.site_visits(s.limit(0), spark.createDataFrame([("s", 1)], "site string, node long"), spark.createDataFrame([("s", 1, 4)], "site string, start long, end long"))
+    assert not empty.collect()
+
+
+def test_checks_of_names(spark):
+    e = spark.createDataFrame([("g1", "s", 1.0), ("g2", "s", 2.0)], "gene string, sample string, expr double")
+    with pytest.raises(ValueError, match="g2"):
+        readers.positioned(e, spark.createDataFrame([("g1", "c", 1, 2)], "gene string, chr string, g_start long, g_end long"))
+    refs = spark.createDataFrame([("p",), ("q",)], "path string")
+    with pytest.raises(ValueError, match="q"):
+        readers.found_references(refs, spark.createDataFrame([("p", 1)], "path string, rank int"))
+
+
+def test_fork_pairs(spark):
+    sites = spark.createDataFrame([("1_9", 1, 9, ">1>2>9,>1>3>9"), ("5_9", 5, 9, ">5>2>9,>5>3>9"), ("9_1", 9, 1, ">9>3>1,>9>2>1")], "site string, first long, last long, paths string")
+    forks = spark.createDataFrame([(1, 2, 3), (1, 2, 4)], "start long, next_a long, next_b long")
+    assert {tuple(r) for r in evaluate.fork_pairs_in_sites(forks, sites).collect()} == {(1, 2, 3, "1_9"), (1, 2, 3, "9_1")}
