@@ -37,8 +37,8 @@ def step_text(step_list: Column) -> Column:
 
 def edges(path: Column) -> Column:
     """Pairs of steps in a row, as text; none for a path of fewer than two."""
-    s = steps(path)
-    return F.when(F.size(s) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+    pairs = lambda s: F.when(F.size(s) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+    return F.get(F.transform(F.array(steps(path)), pairs), F.lit(0))  # the steps are cut out once, not at each use
 
 
 def edges_of_list(paths: Column, separator: str = ",") -> Column:

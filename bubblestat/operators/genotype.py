@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 
 
+#: Haplotypes that one list of an edge's carriers spans.
+BLOCK = 4096
+
+
+def called_edges(calls: DataFrame) -> DataFrame:
+    """(chr, edge, hap) of called alleles (chr, hap, path), as often as they are called."""
+    return calls.where("path is not null").select("chr", "hap", F.explode(P.edges(F.col("path"))).alias("edge"))
+
+
 def carried_edges(calls: DataFrame) -> DataFrame:
     """Distinct (chr, edge, hap) of called alleles (chr, hap, path): an edge is carried once, however often it is called."""
-    return calls.where("path is not null").select("chr", "hap", F.explode(P.edges(F.col("path"))).alias("edge")).distinct()
+    return called_edges(calls).distinct()
 
 
 def path_edges(sites: DataFrame) -> DataFrame:
@@ -23,10 +32,13 @@ def path_edges(sites: DataFrame) -> DataFrame:
 def division(needed: DataFrame, carried: DataFrame, keys: tuple[str, ...] = ("chr", "site", "path_idx")) -> DataFrame:
     """(keys, hap): haplotypes that carry all of the needed edges of a path. An edge nobody carries leaves the path without haplotypes.
 
-    needed: keys, edge, needed; carried: chr, edge, hap, distinct. The join's rows are pre-aggregated by path and haplotype.
+    needed: keys, edge, needed; carried: chr, edge, hap (a number), repeats allowed. An edge's carriers are lists of one block of haplotypes each, so
+    that the join makes a row for each block, not for each carrier, and no list grows with the cohort.
     """
-    met = needed.join(carried, ["chr", "edge"]).groupBy(*keys, "hap").agg(F.count("*").alias("m"), F.first("needed").alias("needed"))
-    return met.where("m = needed").select(*keys, "hap")
+    lists = carried.groupBy("chr", "edge", F.floor(F.col("hap") / BLOCK).alias("_block")).agg(F.collect_set("hap").alias("_haps"))
+    met = needed.join(lists, ["chr", "edge"]).groupBy(*keys, "_block").agg(F.collect_list("_haps").alias("_haps"), F.first("needed").alias("needed"))
+    shared = F.aggregate(F.slice("_haps", 2, F.size("_haps")), F.get("_haps", F.lit(0)), F.array_intersect)
+    return met.where(F.size("_haps") == F.col("needed")).select(*keys, F.explode(shared).alias("hap"))
 
 
 def presence(sites: DataFrame, carried: DataFrame, haps: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ class Settings:
 def present(site_paths: DataFrame, calls: DataFrame, samples: DataFrame) -> DataFrame:
     """(chr, site, path, sample, hap) of haplotypes on site paths. samples: sample_idx, sample."""
     haps = samples.select(F.explode(F.array(2 * F.col("sample_idx"), 2 * F.col("sample_idx") + 1)).alias("hap"), "sample")
-    found = genotype.presence(site_paths, genotype.carried_edges(calls), haps)
+    found = genotype.presence(site_paths, genotype.called_edges(calls), haps)
     named = found.join(haps, "hap").join(site_paths.select("chr", "site", "path_idx", "path"), ["chr", "site", "path_idx"])
     return named.select("chr", "site", "path_idx", "path", "sample", "hap")
 

@@ -171,13 +171,13 @@ _ASKED = """, asked AS (
 
 @query(M.SQL + _ASKED + " SELECT chr, site, path_idx, count(*) AS n_haps, sum(hap) AS hap_sum FROM met GROUP BY chr, site, path_idx")
 def path_presence(spark, sf_dir):
-    got = genotype.division(genotype.path_edges(_asked(spark, sf_dir)), genotype.carried_edges(M.edge_calls(spark, sf_dir)))
+    got = genotype.division(genotype.path_edges(_asked(spark, sf_dir)), genotype.called_edges(M.edge_calls(spark, sf_dir)))
     return got.groupBy("chr", "site", "path_idx").agg(F.count("*").alias("n_haps"), F.sum("hap").alias("hap_sum"))
 
 
 @query(M.SQL + _ASKED + " SELECT chr, site, path_idx, count(*) AS n_haps FROM met GROUP BY chr, site, path_idx")
 def path_presence_bitmap(spark, sf_dir):
-    bits = genotype.edge_bitmaps(genotype.carried_edges(M.edge_calls(spark, sf_dir)))
+    bits = genotype.edge_bitmaps(genotype.called_edges(M.edge_calls(spark, sf_dir)))
     got = genotype.bitmap_division(genotype.path_edges(_asked(spark, sf_dir)), bits)
     return got.groupBy("chr", "site", "path_idx").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_haps"))
 
