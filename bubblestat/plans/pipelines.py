@@ -74,7 +74,8 @@ def eqtl(present: DataFrame, sites: DataFrame, genes: DataFrame, expression: Dat
     A chromosome without genes gives no rows."""
     pairs = intervals.near(sites, genes, s.window).select("site", "gene").distinct()
     wide = _design(present, cov, s)
-    rows = wide.join(pairs, "site").join(expression.select("gene", "sample", F.col("expr").alias("pheno")), ["gene", "sample"])
+    near = pairs.join(expression.select("gene", "sample", F.col("expr").alias("pheno")), "gene")  # narrow rows first: the designs are copied for samples that have a value
+    rows = near.join(wide, ["site", "sample"])
     return stats.regress(rows, key=("site", "gene"), textbook=s.textbook_df)
 
 

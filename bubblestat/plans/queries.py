@@ -339,7 +339,7 @@ def eqtl_assoc(spark, sf_dir):
     pairs = intervals.near(*_placed(spark, sf_dir), window=50_000).select((F.col("site") % 50).alias("site"), "gene").distinct()
     o = M.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample"))
     expr = M.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("gene"), "sample").agg(F.sum("l_quantity").alias("expr"))
-    z = _one_path(spark, sf_dir).select("site", "sample", "dosage").join(pairs, "site").join(expr, ["gene", "sample"])
+    z = pairs.join(expr, "gene").join(_one_path(spark, sf_dir).select("site", "sample", "dosage"), ["site", "sample"])
     g = z.groupBy("site", "gene").agg(F.count("*").alias("n"), F.regr_slope("expr", "dosage").alias("beta"), F.regr_r2("expr", "dosage").alias("r2"), F.regr_sxx("expr", "dosage").alias("sxx"), F.regr_syy("expr", "dosage").alias("syy"))
     return g.where("sxx > 1e-9 and syy > 1e-9").select("site", "gene", "n", _r("beta", 4).alias("beta"), _r("r2").alias("r2"))
 
