@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_tree, lines, packing, quality, sentencepieces, simhash, token_files, toxicity, urls
+from . import chat, decontam, html_tree, lines, packing, quality, sentencepieces, simhash, token_files, toxicity, urls, whitening
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    each = whitening.whitened(vectors, model).select("row.vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.values]).cast("array<double>")
+    return each.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("k")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = sentencepieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
     both = sentencepieces.decoded(ids, PIECE_MODEL)
@@ -82,7 +98,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_lines, op5_urls, op6_decontam, op7_toxicity, op8_html, op9_token_files, op10_packing, op13_sentencepiece)
+    f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_lines, op5_urls, op6_decontam, op7_toxicity, op8_html, op9_token_files, op10_packing, op12_whitening, op13_sentencepiece)
 }
 #: Every window of every document against the benchmark's, without fingerprints.
 HITS_SQL = r"""WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
