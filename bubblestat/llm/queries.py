@@ -91,8 +91,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sentencepieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
-    both = sentencepieces.decoded(ids, PIECE_MODEL)
+    both = sentencepieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, back=True)
     digest = lambda text: F.sha2(text, 256)
     return both.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("text_back")).alias("decoded_sha256"))
 

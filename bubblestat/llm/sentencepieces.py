@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Segments whose ids one worker process keeps, and the longest that it keeps; beyond, it starts anew or doesn't keep.
-KEPT, LONGEST = 600_000, 64
+KEPT, LONGEST = 300_000, 64
 SPACE = "▁"
 
 
@@ -146,7 +146,7 @@ class PrefixTable:
 
     def _judged(self, a: str, b: str) -> bool:
         self.pairs += 1
-        if self.pairs > 10 * KEPT:  # letters that are no piece are without bound
+        if self.pairs > 20 * KEPT:  # letters that are no piece are without bound
             self.pairs = 0
             for _, _, apart in self.matches.values():
                 apart.clear()
@@ -174,22 +174,31 @@ class PrefixTable:
         return ids + np.array([self.end], "<i4").tobytes() if end else ids
 
 
-def encoded(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
-    """(row, ids): each row of docs, whole, with the ids of its text as array of int; with `end` the end id follows.
+def _ids(table: PrefixTable, texts: pa.Array, end: bool) -> pa.Array:
+    each = [table.encode(t.as_py() or "", end) for t in texts]
+    ends = np.cumsum([0, *map(len, each)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), "<i4")))
+
+
+def _texts(table: PrefixTable, lists: pa.Array) -> pa.Array:
+    return pa.array((table.library.decode(x.values.to_pylist()) if x.is_valid and len(x) else "" for x in lists), pa.string())
+
+
+def encoded(docs: DataFrame, model: str, end: bool = True, back: bool = False) -> DataFrame:
+    """(row, ids): each row of docs, whole, with the ids of its text as array of int; with `end` the end id follows; with `back` text_back holds what decoded() makes of the ids, in the same pass.
 
     Ids equal encode(text, add_eos=end) of the library. Null and empty texts have the end id alone, or none. Very long texts take time in proportion to their
     letters, and memory of a few times their bytes in one task: a text is one value. Repeated rows, null ids and any other columns stay as they are. Empty table: no rows.
     Nothing is shuffled. model: a path that every executor has."""
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("ids array<int>, text_back string" if back else "ids array<int>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = PrefixTable.of(model)
         for texts in batches:
-            each = [table.encode(t.as_py() or "", end) for t in texts]
-            ends = np.cumsum([0, *map(len, each)]) // 4
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), "<i4")))
+            ids = _ids(table, texts, end)
+            yield pa.StructArray.from_arrays([ids, _texts(table, ids)], ["ids", "text_back"]) if back else pa.StructArray.from_arrays([ids], ["ids"])
 
-    return docs.select(F.struct("*").alias("row"), ids(F.col("text").cast("string")).alias("ids"))
+    return docs.select(F.struct("*").alias("row"), coded(F.col("text").cast("string")).alias("c")).select("row", "c.*")
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -197,8 +206,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        library = PrefixTable.of(model).library
         for lists in batches:
-            yield pa.array([library.decode(x.values.to_pylist()) if x.is_valid and len(x) else "" for x in lists], pa.string())
+            yield _texts(PrefixTable.of(model), lists)
 
     return rows.withColumn("text_back", text(F.col(ids)))

@@ -64,6 +64,8 @@ def test_rows_equal_the_library(spark, table):
         ids = [library.encode(t or "", add_eos=end) for t in texts]
         want = sorted((r[0] or -1, r[1] or "", x, library.decode(x) if x else "") for r, x in zip(rows, ids))
         assert have == want
+        one = sentencepieces.encoded(docs, PIECE_MODEL, end, back=True).collect()
+        assert sorted((r["row"]["doc_id"] or -1, r["row"]["text"] or "", list(r["ids"]), r["text_back"]) for r in one) == want
     assert sentencepieces.encoded(docs.limit(0), PIECE_MODEL).count() == 0
 
 
