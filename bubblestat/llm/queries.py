@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_tree, lines, packing, quality, sentencepieces, simhash, token_files, toxicity, urls, whitening
+from . import chat, decontam, html_tree, lines, packing, quality, repair, sentencepieces, simhash, token_files, toxicity, urls, whitening
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repaired(repair.damaged(rows), rows)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = whitening.fit(vectors)
@@ -97,7 +102,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_lines, op5_urls, op6_decontam, op7_toxicity, op8_html, op9_token_files, op10_packing, op12_whitening, op13_sentencepiece)
+    f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_lines, op5_urls, op6_decontam, op7_toxicity, op8_html, op9_token_files, op10_packing, op11_repair, op12_whitening, op13_sentencepiece)
 }
 #: Every window of every document against the benchmark's, without fingerprints.
 HITS_SQL = r"""WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
