@@ -56,6 +56,11 @@ def touches_wildcard(edge: Column) -> Column:
     return F.exists(steps(edge), lambda s: step_node(s) == WILDCARD)
 
 
+def pieces(path: Column) -> Column:
+    """The paths before and behind the nested structure in a path, where it has some; else the path alone."""
+    return F.filter(F.split(path, "[<>]0(?![0-9])"), lambda p: p != "")
+
+
 def digits(path: Column) -> Column:
     return F.regexp_extract_all(path, F.lit("([0-9]+)"), F.lit(1))
 

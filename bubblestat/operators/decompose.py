@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoints
+
 
 def enumerated(links: DataFrame, bounds: DataFrame, cycle: int = 1, budget: int = 10_000, max_children: int = 50) -> tuple[DataFrame, DataFrame]:
     """(site, path array) of all walks from a site's start to its end, and (site, reason) of sites that are given up.
 
     links: site, a, b (elements of a site that follow each other); bounds: site, start, end. An element may recur `cycle` times; only the
-    end bound may follow one that has. A site goes if it has more than max_children elements or if more than budget partial walks are met;
+    end bound may follow one that has. A site goes if it has more than max_children elements or if more than budget + 1 unfinished walks are met, its start included;
     one with fewer than two walks is dropped. Each round is one join of the frontier with the links of its last elements.
     """
+    ensure_checkpoints(links.sparkSession)
     sizes = links.select("site", F.explode(F.array("a", "b")).alias("e")).distinct().groupBy("site").agg(F.count("*").alias("n"))
     inner = sizes.join(bounds, "site").withColumn("n", F.col("n") - 2)
     many = inner.where(F.col("n") > max_children).select("site", F.concat_ws(" ", F.lit("too_many_children ="), F.col("n").cast("string"), F.lit("children")).alias("reason"))
@@ -27,8 +30,8 @@ def enumerated(links: DataFrame, bounds: DataFrame, cycle: int = 1, budget: int
         ended = moved.where("last").select("site", "path")
         done = ended if done is None else done.unionByName(ended)
         front = moved.where("not last").select("site", "end", "path")
-        met = met.unionByName(moved.groupBy("site").agg(F.count("*").alias("c"))).groupBy("site").agg(F.sum("c").alias("c")).checkpoint()
-        over = met.where(F.col("c") > budget).select("site")
+        met = met.unionByName(moved.where("not last").groupBy("site").agg(F.count("*").alias("c"))).groupBy("site").agg(F.sum("c").alias("c")).checkpoint()
+        over = met.where(F.col("c") > budget + 1).select("site")
         front = front.join(over, "site", "left_anti")
         if front.isEmpty():
             break

@@ -106,10 +106,12 @@ def cohort_counts(walks: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def exact_sets(walks: DataFrame, samples: DataFrame) -> DataFrame:
-    """(site, walk, which): walks taken by all cases and nobody else, or by all controls and nobody else."""
+    """(site, walk, which): walks taken by all cases and nobody else, or by all controls and nobody else. Sites of one walk separate nobody and have none."""
     cases, controls = samples.agg(F.count_if("is_case"), F.count_if(~F.col("is_case"))).first()
     hit = F.when((F.col("n_control") == 0) & (F.col("n_case") == cases) & F.lit(cases > 0), "case").when((F.col("n_case") == 0) & (F.col("n_control") == controls) & F.lit(controls > 0), "control")
-    return cohort_counts(walks, samples).withColumn("which", hit).where("which is not null").select("site", "walk", "which")
+    counts = cohort_counts(walks, samples)
+    several = counts.groupBy("site").agg(F.count("*").alias("n")).where("n > 1")
+    return counts.withColumn("which", hit).where("which is not null").join(several, "site", "left_semi").select("site", "walk", "which")
 
 
 def descend(sites: DataFrame, hits) -> list[DataFrame]:
@@ -128,6 +130,21 @@ def descend(sites: DataFrame, hits) -> list[DataFrame]:
         open_sites = sites.join(going, "parent", "left_semi")
 
 
+def reached(sites: DataFrame) -> DataFrame:
+    """(site) of the sites that a descent without hits tests: those that are eligible, as is all above them. sites as descend() takes them."""
+    levels: list[DataFrame] = []
+
+    def none(level: DataFrame) -> DataFrame:
+        levels.append(level.select("site"))
+        return level.select("site").limit(0)
+
+    descend(sites, none)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def on_reference(nodes: DataFrame, steps: DataFrame, references: DataFrame) -> DataFrame:
     """(node, path, offset): each node's first place on a reference path, by path name and rank."""
     some = steps.join(references, "path", "left_semi").join(nodes.select("node").distinct(), "node", "left_semi")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import stats, walks
+from ..operators import nets, stats, walks
 from ..sources import readers, sinks
 from ..sources.shared import ensure_checkpoints
 from . import pipelines
@@ -17,10 +17,18 @@ from . import pipelines
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="bubblestat", description="Association of graph paths with traits")
     sub = top.add_subparsers(dest="command", required=True)
-    v = sub.add_parser("vcf", help="association from a VCF and a site table")
-    v.add_argument("-s", "--sites", required=True)
-    v.add_argument("-v", "--vcf", required=True)
-    trait = v.add_mutually_exclusive_group(required=True)
+    v = sub.add_parser("vcf", help="association from a VCF and the sites of a table or a graph, or the table of a graph's sites alone")
+    v.add_argument("-p", "--graph", help="GFA; with -d")
+    v.add_argument("-d", "--bounds", help="bounds of the graph's sites, as a table or as JSON lines")
+    v.add_argument("-s", "--sites")
+    v.add_argument("-v", "--vcf")
+    v.add_argument("-r", "--references", help="names of the paths that give positions, one a line; without it paths with plain names do")
+    v.add_argument("-i", "--max-children", type=int, default=50)
+    v.add_argument("-y", "--cycle", type=int, default=1)
+    v.add_argument("-l", "--budget", type=int, default=10_000)
+    v.add_argument("-g", "--gaf", help="file for the paths of a binary analysis as alignments; with -b and -p")
+    v.add_argument("-k", "--kinship", help="read and checked only")
+    trait = v.add_mutually_exclusive_group()
     trait.add_argument("-b", "--binary")
     trait.add_argument("-q", "--quantitative")
     trait.add_argument("-e", "--expression")
@@ -46,7 +54,8 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("-o", "--output", default="output")
     c = sub.add_parser("correct", help="adjusted p-values of a result table, in a column of their own")
     c.add_argument("-t", "--table", required=True)
-    c.add_argument("-p", "--p-column", required=True)
+    c.add_argument("-p", "--p-column", required=True, help="name, or number from 1, of the column of p-values")
+    c.add_argument("-a", "--adjusted-column", help="name, or number from 1, of a column that the adjusted values replace; without it they are a new one")
     c.add_argument("-o", "--output", required=True)
     sub.add_parser("version")
     return top
@@ -59,14 +68,49 @@ def checked(args: argparse.Namespace) -> argparse.Namespace:
             raise SystemExit("-c and -C go together")
         if bool(args.expression) != bool(args.genes):
             raise SystemExit("-e and -G go together")
+        trait = bool(args.binary or args.quantitative or args.expression)
+        if bool(args.graph) != bool(args.bounds):
+            raise SystemExit("-p and -d go together")
+        if bool(args.sites) == bool(args.graph):
+            raise SystemExit("sites come from -s, or from -p and -d")
+        if bool(args.vcf) != trait or args.sites and not args.vcf:
+            raise SystemExit("an analysis takes -v and one of -b, -q and -e; only -p and -d stand alone")
+        if args.gaf and not (args.binary and args.graph):
+            raise SystemExit("-g takes -b and -p")
     return args
 
 
+def graph_sites(spark: SparkSession, args: argparse.Namespace, s: pipelines.Settings) -> DataFrame:
+    """The site table of a graph, and the sites given up, written and read back as the analyses read them."""
+    ensure_checkpoints(spark)
+    nodes, _, steps = readers.gfa(spark, args.graph)
+    plain = steps.where(~F.col("path").contains("#")).select("path").distinct()
+    references = readers.found_references(readers.reference_names(spark, args.references), steps) if args.references else plain
+    places = walks.on_reference(nodes, walks.step_offsets(steps.join(nodes.select("node", "len"), "node")), references)
+    rows, rejected = nets.site_table(nodes.select("node", "len"), readers.gfa_links(spark, args.graph), readers.site_bounds(spark, args.bounds), places, s.cycle, s.budget, s.max_children)
+    sinks.write_table(rows.orderBy("chr", "start", "site"), "sites", args.output)
+    sinks.write_table(rejected.orderBy("site"), "rejected", args.output)
+    table = readers.sites(spark, f"{args.output}/{sinks.FILES['sites']}")
+    if table.isEmpty():
+        raise ValueError("no site has two walks and a place on a reference path; -r names reference paths")
+    for r in table.groupBy("chr").agg(F.count("*").alias("n"), F.sum(F.size("paths")).alias("k")).orderBy("chr").collect():
+        print(f"{r['chr']}: {r['n']} sites, {r['k']} paths")
+    return table
+
+
 def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
-    s = pipelines.Settings(min_individuals=args.min_individuals, min_haplotypes=args.min_haplotypes, maf=args.maf, window=args.window, table_threshold=args.table_threshold)
-    table = readers.sites(spark, args.sites)
+    s = pipelines.Settings(min_individuals=args.min_individuals, min_haplotypes=args.min_haplotypes, maf=args.maf, window=args.window, table_threshold=args.table_threshold, max_children=args.max_children, cycle=args.cycle, budget=args.budget)
+    for name in (args.sites, args.vcf, args.binary, args.quantitative, args.expression, args.genes, args.covariates, args.graph, args.bounds, args.references, args.kinship):
+        if name:
+            readers.present(spark, name)
+    if args.kinship:
+        readers.kinship(spark, args.kinship).count()
+    table = graph_sites(spark, args, s) if args.graph else readers.sites(spark, args.sites)
+    if not args.vcf:
+        return
     samples = readers.vcf_samples(spark, args.vcf)
-    found = pipelines.present(readers.site_paths(table), readers.known_chromosomes(readers.vcf_calls(spark, args.vcf), table), samples)
+    paths = readers.site_paths(table)
+    found = pipelines.present(paths, readers.known_chromosomes(readers.vcf_calls(spark, args.vcf), table), samples)
     place = table.select("chr", "start", "end", "site", "types", "depth")
     cov = samples.select("sample", F.array().cast("array<double>").alias("cov"))
     if args.covariates:
@@ -86,15 +130,16 @@ def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
         expression = readers.positioned(readers.expression(spark, args.expression), genes).select("gene", "sample", "expr")
         out = pipelines.eqtl(found, place.select("chr", "site", "start", "end"), genes, expression, cov, s)
     if kind != "binary":
-        counts = found.groupBy("site", "path_idx").agg(F.count("*").alias("n")).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("path_idx", "n"))).alias("a"))
-        out = out.join(counts.select("site", F.col("a.n").alias("allele_paths")), "site")
-    result = out.join(place, "site").orderBy("chr", "start", "site")
-    sinks.write_table(result, kind, args.output)
-    if s.table_threshold is not None and kind != "binary":
-        from ..operators import tables
-
-        near = out.where(F.col("p") < s.table_threshold).select("site").distinct()
-        sinks.write_regression_tables(tables.dosages(found).join(near, "site", "left_semi").select("site", "sample", "path", "dosage"), args.output)
+        out = out.join(pipelines.allele_paths(paths, found), "site")
+    result, counts = pipelines.counted(place, out)
+    print(f"{'pairs' if kind == 'eqtl' else 'sites'}: {counts['tested']} tested; {counts['without']} sites without a test")
+    sinks.write_table(result.orderBy("chr", "start", "site"), kind, args.output)
+    if args.gaf:
+        sinks.write_gaf_paths(result, readers.gfa(spark, args.graph)[0], args.gaf)
+    if s.table_threshold is not None:
+        p = F.least("p_fisher", "p_chi2") if kind == "binary" else F.col("p")
+        near = result.where(P.significant(p, s.table_threshold)).select("site").distinct()
+        sinks.write_wide_tables(pipelines.regression_rows(found, near, reduced=kind != "binary"), args.output)
 
 
 def run_graph(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -116,7 +161,7 @@ def run_graph(spark: SparkSession, args: argparse.Namespace) -> None:
             hits = hits.unionByName(level)
         out = hits.select("site").distinct().select("site", F.lit(None).cast("double").alias("p_fisher"), F.lit(None).cast("double").alias("p_chi2"), F.lit(None).cast("string").alias("group_paths"))
     else:
-        out = pipelines.graph(visits.join(tree.where("eligible").select("site"), "site", "left_semi"), samples, exact=False).select("site", "p_fisher", "p_chi2", "group_paths")
+        out = pipelines.graph(visits.join(walks.reached(tree), "site", "left_semi"), samples, exact=False).select("site", "p_fisher", "p_chi2", "group_paths")
     if args.output_format == "tsv":
         lengths = tree.select("site", P.site_length_text(F.col("min_len"), F.col("max_len")).alias("types"))
         place = places.select("site", F.col("path").alias("chr"), "start", "end")
@@ -133,10 +178,18 @@ def run_graph(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_correct(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = spark.read.csv(args.table, sep="\t", header=True)
-    p = F.col(f"`{args.p_column}`").try_cast("double")
-    adjusted = stats.bh_adjusted(rows.withColumn("_value", p), "_value").drop("_value").withColumnRenamed("p_adjusted", "P_ADJUSTED")
+
+    def named(column: str) -> str:
+        if column in rows.columns:
+            return column
+        if not column.isdigit() or not 0 < int(column) <= len(rows.columns):
+            raise ValueError(f"{args.table} has no column {column}")
+        return rows.columns[int(column) - 1]
+
+    p, to = F.col(f"`{named(args.p_column)}`").try_cast("double"), named(args.adjusted_column) if args.adjusted_column else "P_ADJUSTED"
+    adjusted = stats.bh_adjusted(rows.withColumn("_value", p), "_value").drop("_value").withColumn(to, F.col("p_adjusted")).select(*dict.fromkeys([*rows.columns, to])).checkpoint()
     adjusted.write.mode("overwrite").csv(args.output, sep="\t", header=True)
-    adjusted.where("P_ADJUSTED < 1e-5").write.mode("overwrite").csv(sinks.with_suffix(args.output, "_top"), sep="\t", header=True)
+    adjusted.where(F.col(f"`{to}`") < 1e-5).write.mode("overwrite").csv(sinks.with_suffix(args.output, "_top"), sep="\t", header=True)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import genotype, intervals, stats, tables, walks
+from ..sources.shared import ensure_checkpoints
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class Settings:
     textbook_df: bool = False
 
     def __post_init__(self):
-        for name, least in (("min_individuals", 2), ("min_haplotypes", 2), ("max_children", 2), ("budget", 2), ("cycle", 1), ("window", 1)):
+        for name, least in (("min_individuals", 2), ("min_haplotypes", 2), ("max_children", 2), ("budget", 2), ("cycle", 0), ("window", 1)):
             if getattr(self, name) < least:
                 raise ValueError(f"{name} must be {least} or more")
         if not 0 <= self.maf <= 1:
@@ -79,6 +80,28 @@ def eqtl(present: DataFrame, sites: DataFrame, genes: DataFrame, expression: Dat
     return stats.regress(rows, key=("site", "gene"), textbook=s.textbook_df)
 
 
+def allele_paths(site_paths: DataFrame, present: DataFrame) -> DataFrame:
+    """(site, allele_paths): haplotypes on each path of a site's list, in its order, 0 for paths that nobody has."""
+    n = present.groupBy("site", "path_idx").agg(F.count("*").alias("n"))
+    each = site_paths.select("site", "path_idx").join(n, ["site", "path_idx"], "left").select("site", F.struct("path_idx", F.coalesce("n", F.lit(0)).alias("n")).alias("a"))
+    return each.groupBy("site").agg(F.array_sort(F.collect_list("a")).alias("a")).select("site", F.col("a.n").alias("allele_paths"))
+
+
+def counted(place: DataFrame, out: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The results `out` with their sites' places, and how many results there are and how many sites have none: observed while the rows are made, so a repeated task counts once."""
+    ensure_checkpoints(out.sparkSession)
+    seen = Observation()
+    both = place.join(out.withColumn("_tested", F.lit(True)), "site", "left").observe(seen, F.count_if(F.col("_tested")).alias("tested"), F.count_if(F.col("_tested").isNull()).alias("without"))
+    rows = both.where("_tested").drop("_tested").checkpoint()
+    return rows, seen.get
+
+
+def regression_rows(present: DataFrame, near: DataFrame, reduced: bool) -> DataFrame:
+    """(site, sample, path_idx, path, dosage) of the sites `near`; reduced: as the regression takes them, equal columns merged and the last one left out."""
+    d = tables.dosages(present.join(near, "site", "left_semi"))
+    return (tables.without_last(tables.merged_columns(d)) if reduced else d).select("site", "sample", "path_idx", "path", "dosage")
+
+
 def graph(visits: DataFrame, samples: DataFrame, exact: bool) -> DataFrame:
     """Association of walks: exact sets as (site, walk, which), or counts with tests as binary() has them, case counts first.
 

@@ -12,6 +12,8 @@ PHENOTYPE_HEADER = ["FID", "IID", "PHENO"]
 GENE_HEADER = ["gene_name", "chr", "start", "end"]
 #: Header of the table of nested sites.
 TREE_HEADER = ["SNARL", "PARENT", "MIN_LEN", "MAX_LEN", "REGULAR"]
+#: Header of the table of sites' bounds.
+BOUNDS_HEADER = ["START", "START_REV", "END", "END_REV"]
 
 
 def _header(spark: SparkSession, path: str) -> str:
@@ -30,6 +32,16 @@ def _must(value: Column, good: Column, kind: str, what: str) -> Column:
     return F.when(good, value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(value.cast("string"), F.lit("nothing")))).cast(kind))
 
 
+def present(spark: SparkSession, path: str) -> None:
+    """Raises if a file isn't there or holds nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise ValueError(f"{path} is missing")
+    if files.getContentSummary(place).getLength() == 0:
+        raise ValueError(f"{path} is empty")
+
+
 def vcf_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records of a VCF; one file that can't be split (gzip) is dealt out anew after the scan."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
@@ -82,6 +94,21 @@ def site_tree(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("SNARL").alias("site"), F.col("PARENT").alias("parent"), F.col("MIN_LEN").alias("min_len"), F.col("MAX_LEN").alias("max_len"), F.coalesce(F.col("REGULAR") == 1, F.lit(False)).alias("is_regular"))
 
 
+def site_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """(start, start_rev, end, end_rev) of the sites of a graph: their boundary nodes, and whether they are walked backwards, into and out of the site.
+
+    A table with BOUNDS_HEADER, or, where the name ends with .json or .jsonl, an object a line that has `start` and `end`, each with node_id and, if so, backward."""
+    if path.endswith((".json", ".jsonl")):
+        end = "struct<node_id: string, backward: boolean>"
+        rows = spark.read.schema(f"start {end}, `end` {end}").json(path, mode="FAILFAST")
+        node = lambda c: _must(F.col(f"{c}.node_id").try_cast("long"), F.col(f"{c}.node_id").try_cast("long").isNotNull(), "long", "site without a bound")
+        back = lambda c: F.coalesce(F.col(f"{c}.backward"), F.lit(False))
+        return rows.select(node("start").alias("start"), back("start").alias("start_rev"), node("end").alias("end"), back("end").alias("end_rev"))
+    _check(_header(spark, path).split("\t"), BOUNDS_HEADER, path)
+    rows = spark.read.csv(path, sep="\t", header=True, schema="START long, START_REV int, END long, END_REV int", mode="FAILFAST")
+    return rows.select(F.col("START").alias("start"), (F.col("START_REV") == 1).alias("start_rev"), F.col("END").alias("end"), (F.col("END_REV") == 1).alias("end_rev"))
+
+
 def site_paths(table: DataFrame) -> DataFrame:
     """(chr, site, path_idx, path) of sites()."""
     return table.select("chr", "site", F.posexplode("paths").alias("path_idx", "path"))
@@ -183,6 +210,13 @@ def gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame
     return nodes, edges, both
 
 
+def gfa_links(spark: SparkSession, path: str) -> DataFrame:
+    """(a, a_rev, b, b_rev, ord) of L lines; ord grows with their place in the file."""
+    f = F.split("value", "\t")
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(F.col("value").startswith("L\t"))
+    return lines.select(f[1].cast("long").alias("a"), (f[2] == "-").alias("a_rev"), f[3].cast("long").alias("b"), (f[4] == "-").alias("b_rev"), "ord")
+
+
 def first_on_path(rows: DataFrame, path: str, rank: str) -> DataFrame:
     """The first row of each path by rank."""
     return rows.withColumn("_k", F.row_number().over(W.partitionBy(path).orderBy(rank))).where("_k = 1").drop("_k")

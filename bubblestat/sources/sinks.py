@@ -20,7 +20,7 @@ HEADERS = {
 }
 COLUMNS = {"#CHR": "chr", "CHR": "chr", "START_POS": "start", "END_POS": "end", "SNARL": "site", "SNARL_HANDLEGRAPH": "handle", "PATH_LENGTHS": "types", "TYPE": "types", "PATHS": "paths", "REF": "is_ref", "P_FISHER": "p_fisher", "P_CHI2": "p_chi2", "RSQUARE": "r2"}
 #: Names of result files by analysis.
-FILES = {"binary": "binary_table_vcf.tsv", "binary_covariates": "binary_table_vcf.tsv", "quantitative": "quantitative_table_vcf.tsv", "eqtl": "eqtl_table_vcf.tsv", "graph": "binary_table_graph.tsv", "fasta": "binary_output.fasta"}
+FILES = {"binary": "binary_table_vcf.tsv", "binary_covariates": "binary_table_vcf.tsv", "quantitative": "quantitative_table_vcf.tsv", "eqtl": "eqtl_table_vcf.tsv", "graph": "binary_table_graph.tsv", "fasta": "binary_output.fasta", "sites": "snarl_analyse.tsv", "rejected": "snarl_not_analyse.tsv"}
 
 
 def as_text(rows: DataFrame, kind: str) -> DataFrame:
@@ -62,6 +62,39 @@ def gaf_pair(results: DataFrame, lengths: DataFrame, shares) -> tuple[DataFrame,
     return side("first", "G0"), side("second", "G1")
 
 
+def gaf_paths(results: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines `name path length share` for controls and for cases of each path of a result (site, paths, g0, g1, p_fisher, p_chi2). A path with a nested site shows as the paths before and behind it.
+
+    The name holds the site, the group and its carriers, and both p-values, 1 where there is none; length counts letters of all nodes of the path."""
+    z = F.explode(F.arrays_zip("paths", "g0", "g1")).alias("z")
+    p = lambda c: F.format_string("%.6f", P.p_or_one(F.col(c)))
+    each = results.select("site", "p_fisher", "p_chi2", z).select("site", P.p_or_one(F.col("p_fisher")).alias("p"), F.concat(F.lit("_F"), p("p_fisher"), F.lit("_C"), p("p_chi2")).alias("ps"), F.col("z.g0").alias("g0"), F.col("z.g1").alias("g1"), F.col("z.paths").alias("whole"), F.explode(P.pieces(F.col("z.paths"))).alias("path"))
+    letters = each.select("path").distinct().select("path", F.explode(P.digits(F.col("path"))).alias("d")).select("path", F.col("d").cast("long").alias("node")).join(nodes.select("node", "len"), "node").groupBy("path").agg(F.sum("len").alias("length"))
+    shown = each.join(letters, "path").withColumn("s", P.display_shares(F.col("p"), F.col("g0"), F.col("g1")))
+    side = lambda g, tag, share: shown.select(F.concat_ws("\t", F.concat("site", F.lit(f"_{tag}_"), F.col(g).cast("string"), "ps"), "path", F.col("length").cast("string"), F.call_function("format_number", F.col(f"s.{share}"), F.lit("0.####"))).alias("value"))
+    return side("g0", "G0", "first"), side("g1", "G1", "second")
+
+
+def write_gaf_paths(results: DataFrame, nodes: DataFrame, name: str) -> None:
+    """The two files of gaf_paths(), named with _0 and _1."""
+    for lines, tag in zip(gaf_paths(results, nodes), ("_0", "_1"), strict=True):
+        lines.write.mode("overwrite").text(with_suffix(name, tag))
+
+
+def write_wide_tables(rows: DataFrame, folder: str) -> None:
+    """A table for each site of (site, sample, path_idx, path, dosage): `sample_name` and a column for each path, in the order of the site's list, with 0 where a sample isn't on a path.
+
+    All lines are made by joins and grouping; a site's header is its first line, so each site is one folder of text files whose first has the header. Writing again replaces all."""
+    order = rows.select("site", "path_idx", "path").distinct().groupBy("site").agg(F.array_sort(F.collect_list(F.struct("path_idx", "path"))).alias("o"))
+    cells = rows.groupBy("site", "sample").agg(F.map_from_entries(F.collect_list(F.struct("path_idx", "dosage"))).alias("m")).join(order, "site")
+    value = lambda x: F.coalesce(F.element_at("m", x["path_idx"]), F.lit(0.0))
+    number = lambda v: F.regexp_replace(F.call_function("format_number", v, F.lit("0.######")), "^-0$", "0")
+    lines = cells.select("site", F.lit(1).alias("k"), "sample", F.concat_ws("\t", "sample", F.transform("o", lambda x: number(value(x)))).alias("value"))
+    heads = order.select("site", F.lit(0).alias("k"), F.lit(None).cast("string").alias("sample"), F.concat_ws("\t", F.lit("sample_name"), "o.path").alias("value"))
+    both = heads.unionByName(lines).repartition("site").sortWithinPartitions("site", "k", "sample")
+    both.select("site", "value").write.mode("overwrite").partitionBy("site").text(f"{folder}/regression")
+
+
 def write_regression_tables(rows: DataFrame, folder: str) -> None:
     """(site, sample, path, dosage) of significant sites, a folder for each site."""
     rows.write.mode("overwrite").partitionBy("site").csv(f"{folder}/regression", sep="\t", header=True)
