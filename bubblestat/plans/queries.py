@@ -459,9 +459,9 @@ def walk_partition_counts(spark, sf_dir):
     """WITH cohort AS (SELECT o_custkey AS sample, bool_or(o_orderpriority LIKE '1%') AS is_case FROM orders GROUP BY 1),
 w AS (SELECT DISTINCT o_custkey % 40 + 1 AS site, o_orderstatus AS walk, o_custkey AS sample FROM orders UNION SELECT 0, is_case::VARCHAR, sample FROM cohort),
 t AS (SELECT count(*) FILTER (WHERE is_case) AS cases, count(*) FILTER (WHERE NOT is_case) AS controls FROM cohort),
-c AS (SELECT site, walk, count(DISTINCT sample) FILTER (WHERE is_case) AS n_case, count(DISTINCT sample) FILTER (WHERE NOT is_case) AS n_control FROM w JOIN cohort USING (sample) GROUP BY site, walk)
+c AS (SELECT site, walk, count(DISTINCT sample) FILTER (WHERE is_case) AS n_case, count(DISTINCT sample) FILTER (WHERE NOT is_case) AS n_control, count(*) OVER (PARTITION BY site) AS k FROM w JOIN cohort USING (sample) GROUP BY site, walk)
 SELECT site, walk, CASE WHEN n_control = 0 THEN 'case' ELSE 'control' END AS which FROM c, t
-WHERE n_control = 0 AND n_case = cases AND cases > 0 OR n_case = 0 AND n_control = controls AND controls > 0"""
+WHERE k > 1 AND (n_control = 0 AND n_case = cases AND cases > 0 OR n_case = 0 AND n_control = controls AND controls > 0)"""
 )
 def exact_set_assoc(spark, sf_dir):
     o = M.table(spark, sf_dir, "orders")
