@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions import special
 from ..sources.shared import ensure_checkpoints
@@ -75,11 +79,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n_paths: int, penalty: float = 1e
         return None
     mu = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
     w = np.clip(mu * (1 - mu), 1e-8, 1)
-    se = np.sqrt(np.diag(np.linalg.inv((x * w[:, None]).T @ x + penalty * np.eye(x.shape[1]))))
-    p = special.normal_two_sided(beta[1 : 1 + n_paths] / se[1 : 1 + n_paths])
-    p = holm(p) if n_paths > 1 else p
-    i = int(np.argmin(p))
-    return float(p[i]), float(beta[1 + i]), float(se[1 + i])
+    return _wald(beta, (x * w[:, None]).T @ x + penalty * np.eye(x.shape[1]), n_paths)
 
 
 def holm(p: np.ndarray) -> np.ndarray:
@@ -89,13 +89,6 @@ def holm(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _design(group: pd.DataFrame, n_paths: int) -> tuple[np.ndarray, np.ndarray]:
-    group = group.sort_values("sample")
-    d = np.stack(group["dosage"].to_numpy()).astype(float)
-    c = np.stack(group["cov"].to_numpy()).astype(float)
-    return np.column_stack([np.ones(len(group)), d, c.reshape(len(group), -1)]), group["pheno"].to_numpy(float)
-
-
 def design_rows(reduced: DataFrame, traits: DataFrame, full: DataFrame) -> DataFrame:
     """(site, sample, dosage array, n_paths, pheno, cov): a sample's dosages in the order of the site's reduced columns, joined to traits (sample, pheno, cov) by sample.
 
@@ -109,19 +102,129 @@ def design_rows(reduced: DataFrame, traits: DataFrame, full: DataFrame) -> DataF
     return wide.join(traits, "sample")
 
 
+def ols_of_sums(sums: np.ndarray, textbook: bool = False) -> tuple[float, float, float, float] | None:
+    """fit_ols() from the products X'X of an intercept, predictors and, last, the trait."""
+    p = len(sums) - 1
+    if p < 2:
+        return None
+    gram, xy, yy, n = sums[:p, :p], sums[:p, p], sums[p, p], sums[0, 0]
+    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) if np.linalg.matrix_rank(gram) < p else np.linalg.inv(gram)
+    beta = inverse @ xy
+    rss, tss = max(float(yy - 2 * beta @ xy + beta @ gram @ beta), 0.0), float(yy - xy[0] ** 2 / n)
+    se = float(np.sqrt(max(rss / max(n - p + (0 if textbook else 1), 1) * inverse[1, 1], 0.0)))
+    t = beta[1] / se if se > 0 else np.inf
+    return float(special.t_two_sided(t, max(n - p + (0 if textbook else 1), 1))) if np.isfinite(t) else 1.0, 1 - rss / tss if tss > 0 else 0.0, float(beta[1]), se
+
+
+def _wald(beta: np.ndarray, hessian: np.ndarray, n_paths: int) -> tuple[float, float, float]:
+    """(p, beta, SE) of the path of least p, Holm's over several."""
+    se = np.sqrt(np.diag(np.linalg.inv(hessian)))
+    p = special.normal_two_sided(beta[1 : 1 + n_paths] / se[1 : 1 + n_paths])
+    p = holm(p) if n_paths > 1 else p
+    i = int(np.argmin(p))
+    return float(p[i]), float(beta[1 + i]), float(se[1 + i])
+
+
+def _designs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, rows' matrix, traits) of each run of rows of one key; columns after the keys: dosage, pheno, cov."""
+    keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
+    cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+    dosage, pheno, cov = (batch.column(n_keys + i) for i in range(3))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        d, c = (x.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1) for x in (dosage, cov))
+        yield a, np.column_stack([np.ones(b - a), d, c]), pheno.slice(a, b - a).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_paths, v): arrays of equal length of a key, added up place by place."""
+    cells = parts.select(*keys, "n_paths", F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.max("n_paths").alias("n_paths"), F.sum("x").alias("x"))
+    return cells.groupBy(*keys).agg(F.max("n_paths").alias("n_paths"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("v"))
+
+
+def products(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_paths, v): for each key the products X'X of an intercept, its dosages, covariates and trait, as one array row by row.
+
+    rows: keys, n_paths, dosage array, pheno, cov array. A task multiplies the rows of a key that it reads in a row and sends that product on; no task needs to have all rows of a key."""
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(a, np.column_stack([x, y])) for a, x, y in _designs(b, len(keys))]
+            take = pa.array([a for a, _ in made], pa.int64())
+            cells = [(m.T @ m).ravel() for _, m in made]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), b.column(len(keys) + 3).take(take), pa.array(cells, pa.list_(pa.float64()))], [*keys, "n_paths", "v"])
+
+    near = rows.select(*keys, "dosage", "pheno", "cov", F.col("n_paths").cast("int").alias("n_paths")).sortWithinPartitions(*keys)
+    return _summed(near.mapInArrow(run, f"{', '.join(kinds)}, n_paths int, v array<double>"), keys)
+
+
 def regress(rows: DataFrame, key: str | tuple[str, ...] = "site", logistic: bool = False, textbook: bool = False) -> DataFrame:
-    """(key, n, p, r2, beta, se) by a fit for each key. A group is one cohort, whose size doesn't follow the number of sites. Null where nothing can be fitted."""
+    """(key, n, p, r2, beta, se) by a fit for each key: by least squares from products() alone, or by logistic() in rounds. Null where nothing can be fitted."""
     keys = [key] if isinstance(key, str) else list(key)
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    if logistic:
+        return logistic_rounds(rows, keys)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        n_paths = int(group["n_paths"].iloc[0])
-        x, y = _design(group, n_paths)
-        got = fit_logistic(x, y, n_paths) if logistic and n_paths else fit_ols(x, y, textbook) if n_paths else None
-        p, r2, beta, se = (got[0], None, got[1], got[2]) if logistic and got else got or (None,) * 4
-        return pd.DataFrame({k: [group[k].iloc[0]] for k in keys} | {"n": [len(group)], "p": [p], "r2": [r2], "beta": [beta], "se": [se]}).astype({"p": float, "r2": float, "beta": float, "se": float})
+    @F.pandas_udf(StructType([StructField("n", LongType()), *(StructField(c, DoubleType()) for c in ("p", "r2", "beta", "se"))]))
+    def solved(v: pd.Series, n_paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, k in zip(v, n_paths, strict=True):
+            size = int(np.sqrt(len(x)))
+            sums = np.asarray(x).reshape(size, size)
+            out.append((int(round(sums[0, 0])), *((ols_of_sums(sums, textbook) if k else None) or (None,) * 4)))
+        return pd.DataFrame(out, columns=["n", "p", "r2", "beta", "se"]).astype({"p": float, "r2": float, "beta": float, "se": float})
 
-    return rows.select(*keys, "sample", "dosage", "n_paths", "pheno", "cov").groupBy(*keys).applyInPandas(fit, f"{kinds}, n long, p double, r2 double, beta double, se double")
+    return products(rows, keys).select(*keys, solved("v", "n_paths").alias("f")).select(*keys, "f.*")
+
+
+def logistic_rounds(rows: DataFrame, keys: list[str], penalty: float = 1e-4, steps: int = 100) -> DataFrame:
+    """(keys, n, p, r2 null, beta, se) of fit_logistic() for all keys at once: each round sums weighted products of the keys that still move, at their coefficients so far, and solves a
+    small system for each. Keys without a path, or that don't settle within `steps` rounds, have nulls."""
+    ensure_checkpoints(rows.sparkSession)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    size = F.col("n_paths") + 1 + F.size("cov")
+    own = rows.select(*keys, "dosage", "pheno", "cov", F.col("n_paths").cast("int").alias("n_paths")).repartition(*keys).sortWithinPartitions(*keys).checkpoint()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(keys)
+        for b in batches:
+            firsts, cells = [], []
+            for a, x, y in _designs(b, k):
+                beta = np.asarray(b.column(k + 4)[a].as_py())
+                mu = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+                w = np.clip(mu * (1 - mu), 1e-8, 1)
+                firsts.append(a)
+                cells.append(np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ (y - mu), [len(y)]]))
+            take = pa.array(firsts, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(k)), b.column(k + 3).take(take), pa.array(cells, pa.list_(pa.float64()))], [*keys, "n_paths", "v"])
+
+    kind = StructType([StructField("beta", ArrayType(DoubleType())), StructField("done", BooleanType()), StructField("n", LongType()), *(StructField(c, DoubleType()) for c in ("p", "b", "se"))])
+
+    @F.pandas_udf(kind)
+    def stepped(v: pd.Series, n_paths: pd.Series, betas: pd.Series, settled: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, k, beta, last in zip(v, n_paths, betas, settled, strict=True):
+            x, beta = np.asarray(x), np.asarray(beta)
+            p = len(beta)
+            hessian = x[: p * p].reshape(p, p) + penalty * np.eye(p)
+            if last:
+                out.append((beta, True, int(x[-1]), *_wald(beta, hessian, int(k))))
+                continue
+            step = np.linalg.solve(hessian, x[p * p : -1] - penalty * beta)
+            out.append((beta + step, bool(np.linalg.norm(step) < 1e-6), int(x[-1]), None, None, None))
+        return pd.DataFrame(out, columns=["beta", "done", "n", "p", "b", "se"]).astype({"p": float, "b": float, "se": float})
+
+    base = own.groupBy(*keys).agg(F.count("*").alias("n"), F.max("n_paths").alias("n_paths"), F.max(size).alias("size")).checkpoint()
+    front = base.where("n_paths > 0").select(*keys, F.array_repeat(F.lit(0.0), F.col("size")).alias("beta"), F.lit(False).alias("settled"))
+    fitted = rows.sparkSession.createDataFrame([], f"{kinds}, p double, b double, se double")
+    for _ in range(steps + 1):
+        if front.isEmpty():
+            break
+        met = own.join(front, keys).select(*keys, "dosage", "pheno", "cov", "n_paths", "beta").sortWithinPartitions(*keys)
+        sums = _summed(met.mapInArrow(run, f"{kinds}, n_paths int, v array<double>"), keys)
+        now = sums.join(front, keys).select(*keys, "settled", stepped("v", "n_paths", "beta", "settled").alias("s")).checkpoint()
+        fitted = fitted.unionByName(now.where("settled").select(*keys, "s.p", "s.b", "s.se"))
+        front = now.where("not settled").select(*keys, "s.beta", F.col("s.done").alias("settled")).checkpoint()
+    return base.join(fitted, keys, "left").select(*keys, "n", "p", F.lit(None).cast("double").alias("r2"), F.col("b").alias("beta"), "se")
 
 
 def holm_adjusted(tests: DataFrame, key: str, p: str = "p", tie: str = "id") -> DataFrame:
