@@ -41,6 +41,13 @@ def edges(path: Column) -> Column:
     return F.get(F.transform(F.array(steps(path)), pairs), F.lit(0))  # the steps are cut out once, not at each use
 
 
+def edge_keys(path: Column) -> Column:
+    """Pairs (a, b) of node keys of steps in a row: two longs instead of text."""
+    keys = F.transform(steps(path), lambda s: node_key(step_node(s), step_reverse(s)))
+    pairs = lambda k: F.when(F.size(k) < 2, F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(F.zip_with(F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0))), F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    return F.get(F.transform(F.array(keys), pairs), F.lit(0))
+
+
 def edges_of_list(paths: Column, separator: str = ",") -> Column:
     """The edges of each of several paths."""
     return F.transform(F.split(paths, separator), edges)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .tables import path_columns
 
 
 #: Haplotypes that one list of an edge's carriers spans.
@@ -65,3 +66,54 @@ def bitmap_division(needed: DataFrame, bitmaps: DataFrame, keys: tuple[str, ...]
     """(keys, word, bits): the same as division(), by AND over the needed edges' words."""
     met = needed.join(bitmaps, ["chr", "edge"]).groupBy(*keys, "word").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("m"), F.first("needed").alias("needed"))
     return met.where("m = needed and bits != 0").select(*keys, "word", "bits")
+
+
+def word_of(hap: Column) -> Column:
+    return F.floor(hap / 64)
+
+
+def _bit(hap: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hap, F.lit(64)).cast("int"))
+
+
+def presence_bits(present: DataFrame) -> DataFrame:
+    """(site, path_columns(), word, bits) of haplotypes on paths, 64 to a row."""
+    return present.groupBy("site", *path_columns(present), word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
+
+
+def key_bitmaps(calls: DataFrame) -> DataFrame:
+    """(chr, a, b, word, bits): carriers of each edge, by the keys of its nodes, of called alleles (chr, hap, path).
+
+    Alleles are gathered before their edges are cut out, so a path's text is cut once for 64 haplotypes, and no row is made for each carrier of an edge."""
+    alleles = calls.where("path is not null").groupBy("chr", "path", word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
+    return alleles.select("chr", "word", "bits", F.explode(P.edge_keys(F.col("path"))).alias("e")).groupBy("chr", "e.a", "e.b", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def path_keys(sites: DataFrame) -> DataFrame:
+    """Distinct (chr, site, path_idx, a, b, needed) of site paths; edges at the wildcard are not needed."""
+    inner = lambda k: F.shiftright(k, 1) != P.WILDCARD
+    some = sites.select("chr", "site", "path_idx", F.array_distinct(F.filter(P.edge_keys(F.col("path")), lambda e: inner(e["a"]) & inner(e["b"]))).alias("e"))
+    return some.select("chr", "site", "path_idx", F.explode("e").alias("e"), F.size("e").cast("long").alias("needed")).select("chr", "site", "path_idx", "e.a", "e.b", "needed")
+
+
+def key_division(needed: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(chr, site, path_idx, word, bits): haplotypes that carry all needed edges of a path."""
+    met = needed.join(bitmaps, ["chr", "a", "b"]).groupBy("chr", "site", "path_idx", "word").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("m"), F.first("needed").alias("needed"))
+    return met.where("m = needed and bits != 0").select("chr", "site", "path_idx", "word", "bits")
+
+
+def bitmap_presence(sites: DataFrame, calls: DataFrame, samples: DataFrame) -> DataFrame:
+    """(chr, site, path_idx, path, word, bits) of presence(), 64 haplotypes to a row. samples: sample_idx …"""
+    some = key_division(path_keys(sites), key_bitmaps(calls))
+    asked = F.exists(P.edge_keys(F.col("path")), lambda e: (F.shiftright(e["a"], 1) != P.WILDCARD) & (F.shiftright(e["b"], 1) != P.WILDCARD))
+    words = samples.select(F.explode(F.array(2 * F.col("sample_idx"), 2 * F.col("sample_idx") + 1)).alias("hap")).groupBy(word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
+    n = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vacuous = sites.where(~asked).select("chr", "site", "path_idx").withColumn("_k", F.pmod(F.xxhash64("site", "path_idx"), F.lit(n)))
+    dealt = words.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return some.unionByName(vacuous.join(dealt, "_k").drop("_k")).join(sites.select("chr", "site", "path_idx", "path"), ["chr", "site", "path_idx"])
+
+
+def masks(samples: DataFrame) -> DataFrame:
+    """(word, known, cases): haplotypes of a cohort (sample_idx, is_case), and of its cases."""
+    haps = samples.select("is_case", F.explode(F.array(2 * F.col("sample_idx"), 2 * F.col("sample_idx") + 1)).alias("hap"))
+    return haps.groupBy(word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("known"), F.coalesce(F.bit_or(F.when(F.col("is_case"), _bit(F.col("hap")))), F.lit(0).cast("long")).alias("cases"))

@@ -176,6 +176,66 @@ def regress(rows: DataFrame, key: str | tuple[str, ...] = "site", logistic: bool
     return products(rows, keys).select(*keys, solved("v", "n_paths").alias("f")).select(*keys, "f.*")
 
 
+def reduced_sums(sums: np.ndarray, k: int, min_individuals: int, min_haplotypes: int, maf: float) -> np.ndarray | None:
+    """The products of a site that passes the dosage filter, with equal columns merged and the last left out, from those of all its k columns, which follow the intercept; None if it doesn't pass.
+
+    Columns are equal if the products say that they are nowhere apart."""
+    held = [j for j in range(1, k + 1) if sums[0, j] > 0]
+    total = sum(sums[0, j] for j in held)
+    varied = sum(min(f, 1 - f) > maf for f in (sums[0, j] / total for j in held))
+    if len(held) < 2 or round(sums[0, 0]) < min_individuals or total < min_haplotypes - 1e-9 or varied < 2:
+        return None
+    groups: list[list[int]] = []
+    for j in held:
+        same = [g for g in groups if len(held) >= 3 and sums[g[0], g[0]] + sums[j, j] - 2 * sums[g[0], j] < 1e-9]
+        if same:
+            same[0].append(j)
+        else:
+            groups.append([j])
+    keep = [[0], *groups[:-1], *([j] for j in range(k + 1, len(sums)))]
+    pick = np.zeros((len(sums), len(keep)))
+    for c, columns in enumerate(keep):
+        pick[columns, c] = 1
+    return pick.T @ sums @ pick
+
+
+def bitmap_quantitative(bits: DataFrame, traits: DataFrame, min_individuals: int, min_haplotypes: int, maf: float, textbook: bool = False) -> DataFrame:
+    """(site, n, p, r2, beta, se) of sites that pass, by least squares, from presence in bitmaps (site, path_columns(), word, bits); traits: sample_idx, pheno, cov array.
+
+    A sample's two haplotypes are neighbouring bits of a word, so a task makes the dosages of 32 samples on all paths of a site from one row, and their products; only sums of products meet for a site."""
+    own = path_columns(bits)
+    site = f"site {bits.schema['site'].dataType.simpleString()}"
+    order = bits.select("site", *own).distinct().groupBy("site").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("order"))
+    words = bits.groupBy("site", "word").agg(F.collect_list(F.struct(F.struct(*own).alias("path"), "bits")).alias("w")).join(order, "site")
+    planes = words.select("site", "word", F.size("order").alias("n_paths"), F.transform("order", lambda o: F.coalesce(F.get(F.filter("w", lambda x: x["path"] == o), F.lit(0))["bits"], F.lit(0).cast("long"))).alias("bits"))
+    by_word = traits.groupBy(F.floor(F.col("sample_idx") / 32).alias("word")).agg(F.array_sort(F.collect_list(F.struct((F.col("sample_idx") % 32).cast("int").alias("at"), F.col("pheno").cast("double").alias("y"), "cov"))).alias("t"))
+    rows = planes.join(by_word, "word").select("site", F.col("n_paths").cast("int").alias("n_paths"), "bits", F.col("t.at").alias("at"), F.col("t.y").alias("y"), F.flatten("t.cov").alias("cov"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.arange(64, dtype=np.uint64)
+        for b in batches:
+            cells = []
+            for k, planes_, at, y, cov in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                on = (np.array(planes_, np.int64).view(np.uint64)[:, None] >> shift & np.uint64(1)).astype(float)
+                n = (on[:, ::2] + on[:, 1::2]).T[at]
+                used = n.sum(1) > 0
+                x = np.column_stack([np.ones(len(at)), n / np.maximum(n.sum(1), 1)[:, None], np.asarray(cov).reshape(len(at), -1), y])[used]
+                cells.append((x.T @ x).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.float64()))], ["site", "n_paths", "v"])
+
+    @F.pandas_udf(StructType([StructField("n", LongType()), *(StructField(c, DoubleType()) for c in ("p", "r2", "beta", "se"))]))
+    def solved(v: pd.Series, n_paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, k in zip(v, n_paths, strict=True):
+            size = int(np.sqrt(len(x)))
+            sums = reduced_sums(np.asarray(x).reshape(size, size), int(k), min_individuals, min_haplotypes, maf)
+            out.append((-1, None, None, None, None) if sums is None else (int(round(sums[0, 0])), *((ols_of_sums(sums, textbook) if len(sums) > 2 + (size - 2 - int(k)) else None) or (None,) * 4)))
+        return pd.DataFrame(out, columns=["n", "p", "r2", "beta", "se"]).astype({"p": float, "r2": float, "beta": float, "se": float})
+
+    sums = _summed(rows.mapInArrow(run, f"{site}, n_paths int, v array<double>"), ["site"])
+    return sums.select("site", solved("v", "n_paths").alias("f")).select("site", "f.*").where("n >= 0")
+
+
 def logistic_rounds(rows: DataFrame, keys: list[str], penalty: float = 1e-4, steps: int = 100) -> DataFrame:
     """(keys, n, p, r2 null, beta, se) of fit_logistic() for all keys at once: each round sums weighted products of the keys that still move, at their coefficients so far, and solves a
     small system for each. Keys without a path, or that don't settle within `steps` rounds, have nulls."""

@@ -19,6 +19,13 @@ def contingency(present: DataFrame, samples: DataFrame, keys: tuple[str, ...] |
     return both.groupBy(*keys).agg(F.count_if(~F.col("is_case")).alias("n0"), F.count_if("is_case").alias("n1"))
 
 
+def bitmap_contingency(bits: DataFrame, masks: DataFrame) -> DataFrame:
+    """contingency() of presence in bitmaps (site, path_columns(), word, bits) and a cohort's masks (word, known, cases): bits counted, no row for a haplotype."""
+    both = bits.join(masks, "word")
+    ones = lambda mask: F.sum(F.bit_count(F.col("bits").bitwiseAND(mask)).cast("long"))
+    return both.groupBy("site", *path_columns(bits)).agg(ones(F.col("known").bitwiseAND(F.bitwise_not("cases"))).alias("n0"), ones(F.col("cases")).alias("n1"))
+
+
 def nonempty(table: DataFrame) -> DataFrame:
     return table.where("n0 + n1 > 0")
 

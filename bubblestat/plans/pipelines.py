@@ -52,6 +52,18 @@ def binary(present: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
     return stats.tested(kept).withColumn("group_paths", P.group_text(F.col("g0"), F.col("g1")))
 
 
+def binary_bitmap(bits: DataFrame, masks: DataFrame, s: Settings) -> DataFrame:
+    """binary() of presence in bitmaps and a cohort's masks."""
+    vectors = tables.site_vectors(tables.nonempty(tables.bitmap_contingency(bits, masks)))
+    kept = vectors.where(tables.passes_binary(F.col("g0"), F.col("g1"), s.min_individuals, s.min_haplotypes, s.maf))
+    return stats.tested(kept).withColumn("group_paths", P.group_text(F.col("g0"), F.col("g1")))
+
+
+def quantitative_bitmap(bits: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
+    """quantitative() of presence in bitmaps; traits: sample_idx, pheno, cov array."""
+    return stats.bitmap_quantitative(bits, traits, s.min_individuals, s.min_haplotypes, s.maf, s.textbook_df)
+
+
 def _design(present: DataFrame, traits: DataFrame, s: Settings) -> DataFrame:
     """Rows of the regressions: dosages of the sites that pass, less merged and determined columns, with traits."""
     d = tables.dosages(present)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import genotype
 from . import mapping as M
 from . import pipelines
-from .queries import _TWO, SETTINGS, _r, query
+from .queries import _TWO, ORACLE_SQL, SETTINGS, _r, query
 
 
 @query(
@@ -24,6 +25,22 @@ def quantitative_covariates(spark, sf_dir):
     return out.select("site", "n", _r("beta", 4).alias("beta"), _r("r2").alias("r2"), _r("se", 4).alias("se"))
 
 
+@query(ORACLE_SQL["quantitative_covariates"])
+def quantitative_bitmap(spark, sf_dir):
+    """The same from bitmaps: no row for a haplotype and path."""
+    traits = M.samples(spark, sf_dir).select(F.col("sample").alias("sample_idx"), "pheno", F.array(F.col("nation").cast("double")).alias("cov"))
+    out = pipelines.quantitative_bitmap(genotype.presence_bits(M.two_paths(spark, sf_dir)), traits, SETTINGS)
+    return out.select("site", "n", _r("beta", 4).alias("beta"), _r("r2").alias("r2"), _r("se", 4).alias("se"))
+
+
+@query(ORACLE_SQL["binary_assoc"])
+def binary_bitmap(spark, sf_dir):
+    """binary_assoc from bitmaps and masks of the cohort."""
+    masks = genotype.masks(M.samples(spark, sf_dir).select(F.col("sample").alias("sample_idx"), "is_case"))
+    out = pipelines.binary_bitmap(genotype.presence_bits(M.calls(spark, sf_dir)), masks, SETTINGS)
+    return out.select("site", F.array_join("paths", ",").alias("paths"), "group_paths", "df", _r("chi2").alias("chi2"))
+
+
 def _newton(steps: int) -> str:
     """SQL of Newton's steps for three coefficients with a ridge of 1e-4, each step by Cramer's rule."""
     det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
