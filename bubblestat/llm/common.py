@@ -47,7 +47,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Deletes the table that cut() wrote, once a later one replaces it."""
     spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
+    for name in df.inputFiles()[:1]:  # a table without rows has no file, or a single one
         path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

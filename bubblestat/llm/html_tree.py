@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut
+from .common import cut, forget
 
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 #: Elements by what they do.
@@ -24,7 +24,7 @@ ENDS_P = set("address article aside blockquote details div dl fieldset figure fo
 #: Elements that shape text: in an article or main element they part no branch from it.
 TEXT = INLINE | set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th".split())
 #: Words of class, id and role that mark boilerplate: whole, or as a beginning.
-MARKS = set("ad ads adbox adslot adv side foot head top masthead modal overlay popup toast alert bar widget tags meta byline login signup search share sharing social like related more reply replies links legal copyright skip hidden gdpr paywall outbrain taboola pager byline toc toolbar topbar rail hero complementary contentinfo navigation feedback respond rating ratings votes".split()) - {"top", "bar", "more", "like", "meta", "hero", "head", "legal", "toc", "tags", "rating", "ratings"}
+MARKS = set("ad ads adbox adslot adv side foot masthead modal overlay popup toast alert widget byline login signup search share sharing social related reply replies links copyright skip hidden gdpr paywall outbrain taboola pager toolbar topbar rail complementary contentinfo navigation feedback respond votes".split())
 MARK_STARTS = tuple("advert sponsor promo banner cookie consent notice notif newsletter subscri sidebar menu navbar navig breadcrumb footer header comment disqus discussion recommend pagination disclaimer dropdown".split())
 #: Of these, names that tell of the content itself; others may only tell of a page's layout.
 STRONG = set("ad ads adbox adslot adv related recommend reply replies respond feedback share sharing social outbrain taboola".split())
@@ -176,8 +176,25 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
+#: What a path holds, where it isn't the hash of a text: most of a page's text, be it a few words or an article's length.
+MAIN, LONG_MAIN, ARTICLE = -1, -2, 200
+
+
+def _main_path(found: list[Block]) -> tuple[str, int] | None:
+    """The path that holds half of the page's text and more, menus left aside; none if there is no such path."""
+    sizes: dict[str, int] = {}
+    for b in found:
+        if not b.marked and (b.inside or b.linked < 0.8):
+            path = " > ".join(b.path)
+            sizes[path] = sizes.get(path, 0) + len(b.text)
+    path = max(sizes, key=lambda p: sizes[p], default=None)
+    if path is None or 2 * sizes[path] < sum(sizes.values()):
+        return None
+    return path, LONG_MAIN if sizes[path] >= ARTICLE else MAIN
+
+
 def _styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each page (key, url, html) the distinct (host, path, what, page): hashes of the texts at each style path, and 0 once for the path itself."""
+    """Of each page (key, url, html) the distinct (host, path, what, page): hashes of the texts at each style path, 0 once for the path itself, and MAIN or LONG_MAIN for the path that holds most of the page."""
     for batch in batches:
         for i in range(0, len(batch), 256):
             part, rows = batch[i : i + 256], []
@@ -186,6 +203,8 @@ def _styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own = xxh3_64_intdigest("\n".join(b.text for b in found)) >> 1
                 seen = {(" > ".join(b.path), xxh3_64_intdigest(b.text) | 1) for b in found}
                 rows += [(key, _host(url), p, (h >> 1) + 1, own) for p, h in sorted(seen)] + [(key, _host(url), p, 0, own) for p in sorted({p for p, _ in seen})]
+                if main := _main_path(found):
+                    rows.append((key, _host(url), *main, own))
             yield pd.DataFrame(rows, columns=["key", "host", "path", "what", "page"])
 
 
@@ -196,23 +215,35 @@ def _held(pages: DataFrame) -> DataFrame:
 
 
 def _trees(held: DataFrame) -> DataFrame:
-    counts = held.select("host", "path", "what", "page").distinct().groupBy("host", "path", "what").agg(F.count("*").alias("c"))
+    counts = held.where("what >= 0").select("host", "path", "what", "page").distinct().groupBy("host", "path", "what").agg(F.count("*").alias("c"))
     text = F.col("what") > 0
     sums = counts.groupBy("host", "path").agg(F.max(F.when(~text, F.col("c"))).alias("pages"), F.sum(F.when(text, F.col("c"))).alias("total"), F.sum(F.when(text, F.col("c") * F.log("c"))).alias("s"))
-    return sums.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("total") * F.log("pages"))).otherwise(1.0).alias("importance"))
+    return sums.select("host", "path", "pages", F.exp(F.col("s") / F.col("total")).alias("recurs"), F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("total") * F.log("pages"))).otherwise(1.0).alias("importance"))
 
 
 def site_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): the merged style tree of each host.
+    """(host, path, pages, recurs, importance): the merged style tree of each host.
 
     A node is a path of styles that holds text on so many pages. Its importance is one less the mean, over all texts there, of log c / log pages: c
     pages hold the same text there. What all pages share has 0, what differs on each has 1;
-    with one page nothing is known and it is 1. Pages of a host with the same text count once, as a copy doesn't tell what its site repeats.
+    with one page nothing is known and it is 1. recurs: the geometric mean of c, so pages over the effective number of texts there. Pages of a host with the same text count once, as a copy doesn't tell what its site repeats.
     Counts are pre-aggregated, so a host with most pages is no hot spot.
     """
     return _trees(_held(pages))
 
 
+def _unimportant(held: DataFrame, least: float, min_pages: int, recurring: float, most: float, main: float) -> DataFrame:
+    """(host, path) of what sites repeat: see extracted()."""
+    tree = _trees(held)
+    few = (F.col("importance") < least) & (F.col("recurs") >= F.least(F.lit(recurring), most * F.col("pages")))
+    seen = held.groupBy("host").agg(F.countDistinct("page").alias("all"))
+    mains = held.where("what < 0").groupBy("host", "path").agg(F.countDistinct("page").alias("n"), F.countDistinct(F.when(F.col("what") == LONG_MAIN, F.col("page"))).alias("long")).join(seen, "host")
+    spared = mains.select("host", "path", (F.col("n") >= main * F.col("all")).alias("is_main"), (F.col("long") >= main * F.col("all")).alias("is_long"))
+    low = tree.where((F.col("pages") >= min_pages) & few).join(spared, ["host", "path"], "left")
+    universal = F.col("recurs") >= 0.9 * F.col("pages")
+    return low.where(~(F.coalesce("is_long", F.lit(False)) | F.coalesce("is_main", F.lit(False)) & ~universal)).select("host", "path")
+
+
 def _direct(path: tuple[str, ...]) -> bool:
     """Whether an article or main element holds what is at the path with nothing but text elements between them."""
     tags = (re.split(r"[.#]", style, maxsplit=1)[0] for style in reversed(path))
@@ -233,43 +264,46 @@ def main_text(page: str | None, low: frozenset[str] | set[str], marks: bool = Tr
     return "\n\n".join(kept)
 
 
-def extracted(pages: DataFrame, least: float = 0.9, min_pages: int = 2, list_bytes: int = 32 << 20) -> DataFrame:
+def extracted(pages: DataFrame, least: float = 0.9, min_pages: int = 2, recurring: float = 5.0, most: float = 0.8, main: float = 0.25, list_bytes: int = 32 << 20) -> DataFrame:
     """pages' rows as (page_id, url, text): the main text, empty if none.
 
-    Style trees of all pages are merged by host; nodes of an importance below `least` over min_pages or more are unimportant: what a site
-    repeats, be it the same on all pages or one of some texts in turn. Each page loses its branches that hold nothing else. A branch goes only if all
+    Style trees of all pages are merged by host. A path on min_pages or more is unimportant if its importance is below `least` and its texts recur, on (geometric) average,
+    on `recurring` pages or on a share `most` of the pages that have it: few texts on many pages. Texts that differ from page to page but for a second or third view of
+    each are content. A path that holds half of the text and more on a share `main` of a host's pages is what the site is for, and is spared, unless that text is the same on all of them and
+    shorter than an article. Each page loses its branches that hold nothing else. A branch goes only if all
     in it is unimportant, so the nodes that hold text settle what goes and inner nodes need no importance of their own. Elements and names that
     can only be boilerplate (menus, forms, adverts, comments) count as unimportant on any number of pages: a tree can't tell them on hosts of few
     pages, nor where they differ from page to page as readers' comments do. What an article or main element holds directly, be it in
     paragraphs, headings, lists or tables, is never judged by one host's copies: only branches beside or below it are. Text that many pages share
     directly under an element says nothing of the elements beside it.
 
-    Unimportant paths are sent to all tasks if they are of less than list_bytes; else each page is joined with its own.
+    Unimportant paths are collected and sent to all tasks once if they are of less than list_bytes; else each page is joined with its own.
 
     Null html is empty. A null url, or one without `://`, belongs to the site without a name. Repeated pages stay; in the
     trees pages of one text count once. Pages of any length are read whole. Other columns are ignored, whatever their names. Empty table: empty result.
     """
     own = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     held = _held(pages)
-    low = cut(_trees(held).where((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "path"), "html")
+    low = cut(_unimportant(held, least, min_pages, recurring, most, main), "html")
     size = low.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 16)).first()[0] or 0
     if size < list_bytes:
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
-        lists = F.broadcast(low.groupBy(F.col("host").alias("of")).agg(F.collect_list("path").alias("low")))
-        joined = own.withColumn("of", host).join(lists, "of", "left")
-    else:
-        mine = held.where("what = 0").select("key", "host", "path").distinct().join(low, ["host", "path"], "left_semi")
-        lists = mine.groupBy("key").agg(F.collect_list("path").alias("low"))
-        joined = own.join(lists, "key", "left").withColumn("of", F.col("key").cast("string"))
+        lists: dict[str, set[str]] = {}
+        for r in low.toLocalIterator():
+            lists.setdefault(r["host"], set()).add(r["path"])
+        shared = pages.sparkSession.sparkContext.broadcast(lists)
+        forget(held)
+        forget(low)
+
+        @F.pandas_udf("string")
+        def of_host(html: pd.Series, url: pd.Series) -> pd.Series:
+            return pd.Series([main_text(h, shared.value.get(_host(u), frozenset())) for h, u in zip(html, url, strict=True)], dtype=object)
+
+        return own.select("page_id", "url", of_host("html", "url").alias("text"))
 
     @F.pandas_udf("string")
-    def text_of(html: pd.Series, of: pd.Series, low: pd.Series) -> pd.Series:
-        known: dict[str, frozenset] = {}
-        out = []
-        for h, o, x in zip(html, of, low, strict=True):
-            if o not in known:
-                known[o] = frozenset() if x is None else frozenset(x)
-            out.append(main_text(h, known[o]))
-        return pd.Series(out, dtype=object)
-
-    return joined.select("page_id", "url", text_of("html", "of", "low").alias("text"))
+    def of_page(html: pd.Series, low: pd.Series) -> pd.Series:
+        return pd.Series([main_text(h, frozenset() if x is None else frozenset(x)) for h, x in zip(html, low, strict=True)], dtype=object)
+
+    mine = held.where("what = 0").select("key", "host", "path").distinct().join(low, ["host", "path"], "left_semi")
+    joined = own.join(mine.groupBy("key").agg(F.collect_list("path").alias("low")), "key", "left")
+    return joined.select("page_id", "url", of_page("html", "low").alias("text"))

@@ -510,11 +510,40 @@ def test_small_hosts_lose_what_repeats(spark):
     assert all(texts[30 + i] == f"own{max(i, 20)}" for i in range(24))
 
 
+def test_views_of_a_story_cost_no_article(spark):
+    """Each story stands on several pages of a host, in no article element: with two views, and three; and on a host that has nothing but two views."""
+    page = "<body><div class='content'><p>{t}</p></div><div class='motto'>Same words</div><div class='tail'><p>tail {i}</p></div></body>"
+    rows, want = [], {}
+    for views in (2, 3):
+        for story in range(20):
+            text = prose(60).replace("\n", " ").strip()
+            for v in range(views):
+                i = 1000 * views + 10 * story + v
+                rows.append((i, f"http://v{views}.org/{i}", page.format(t=text, i=i)))
+                want[i] = f"{text}\n\ntail {i}"
+    text = prose(60).replace("\n", " ").strip()
+    for i in range(2):
+        rows.append((i, f"http://only.org/{i}", page.format(t=text, i=i)))
+        want[i] = f"{text}\n\ntail {i}"
+    got = {r["page_id"]: r["text"] for r in html_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: " ".join(v.split()) for k, v in got.items()} == {k: " ".join(v.split()) for k, v in want.items()}
+
+
+def test_trees_alone_take_what_no_name_tells(spark):
+    """Notices that rotate among three texts, and a line that all pages share, under names that say nothing; names off or on, the trees take them."""
+    page = "<body><div class='x1'><p>{n}</p></div><div class='y'><p>{t}</p><p>{u}</p></div><div class='z'>All pages say so</div></body>"
+    notices = ["We use your data.", "Call us now.", "Winter sale."]
+    rows = [(i, f"http://n.org/{i}", page.format(n=notices[i % 3], t=f"own{i} " + prose(20), u=f"more{i}")) for i in range(60)]
+    texts = {r["page_id"]: r["text"] for r in html_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert texts[i].startswith(f"own{i} ") and texts[i].endswith(f"more{i}") and not any(n in texts[i] for n in [*notices, "All pages"])
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
-    assert [n for n in QUERIES if re.match(r"op\d+_", n)] == list(QUERIES) and len(QUERIES) == 10
+    assert [n for n in QUERIES if re.match(r"op\d+_", n)] == list(QUERIES) and len(QUERIES) == 13
     docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
     first = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
