@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def truth_labels(frequencies: DataFrame, threshold: float = 0.2) -> DataFrame:
     """(start, next, differs) of (start, next, group, freq): whether the two groups' frequencies differ by more than threshold."""
@@ -71,10 +72,9 @@ def manhattan(results: DataFrame) -> DataFrame:
 
 def qq(results: DataFrame, group: str) -> DataFrame:
     """(group, expected, observed) for each p, by plotting positions (r - a) / (n + 1 - 2a), a 3/8 up to 10 values and 1/2 beyond."""
-    w = W.partitionBy(group)
-    r, n = F.row_number().over(w.orderBy("p", "id")), F.count("*").over(w)
-    a = F.when(n <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
-    ranked = results.where("p is not null").select(group, "p", r.alias("r"), n.alias("n"), a.alias("a"))
+    placed = ranks.ranked(results.where("p is not null").select(group, "p", "id"), group, ["p", "id"])
+    a = F.when(F.col("_n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
+    ranked = placed.select(group, "p", F.col("_k").alias("r"), F.col("_n").alias("n"), a.alias("a"))
     return ranked.select(group, (-F.log10((F.col("r") - F.col("a")) / (F.col("n") + 1 - 2 * F.col("a")))).alias("expected"), (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("observed"))
 
 
@@ -115,4 +115,4 @@ def diploid(calls: DataFrame) -> DataFrame:
 
 def bonferroni(results: DataFrame, by: str) -> DataFrame:
     """results with p_bonferroni: p times the group's number of tests, at most 1."""
-    return results.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.count("p").over(W.partitionBy(by))))
+    return ranks.counted(results, by, F.count("p"), "_n").withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.col("_n"))).drop("_n")

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stru
 
 from ..functions import special
 from ..sources.shared import ensure_checkpoints
+from . import ranks
 from .tables import path_columns
 
 
@@ -288,11 +289,10 @@ def logistic_rounds(rows: DataFrame, keys: list[str], penalty: float = 1e-4, ste
 
 
 def holm_adjusted(tests: DataFrame, key: str, p: str = "p", tie: str = "id") -> DataFrame:
-    """p_holm within each key: step-down, made monotone, at most 1."""
-    order = W.partitionBy(key).orderBy(p, tie)
-    step = (F.count("*").over(W.partitionBy(key)) - F.row_number().over(order) + 1) * F.col(p)
-    stepped = tests.withColumn("_s", step)
-    return stepped.withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))).drop("_s")
+    """p_holm within each key: step-down, made monotone, at most 1. A key with most of the rows is dealt over many tasks."""
+    placed = ranks.ranked(tests, key, [p, tie])
+    step = (F.col("_n") - F.col("_k") + 1) * F.col(p)
+    return ranks.running_max(placed, key, step, "_m").withColumn("p_holm", F.least(F.lit(1.0), F.col("_m"))).select(*tests.columns, "p_holm")
 
 
 def bh_adjusted(tests: DataFrame, p: str = "p", chunks: int | None = None) -> DataFrame:
@@ -315,7 +315,8 @@ def bh_adjusted(tests: DataFrame, p: str = "p", chunks: int | None = None) -> Da
     after = outer.select("_r", F.min("_m").over(W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)).alias("_m"))
     back = W.partitionBy("_r").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, W.currentRow)
     done = raw.join(F.broadcast(after), "_r").select("_p", F.least(F.lit(1.0), F.min("_q").over(back), F.coalesce("_m", F.lit(1.0))).alias("p_adjusted"))
-    return value.join(done, "_p").drop("_p")
+    known = value.where(F.col(p).isNotNull()).join(done, "_p").select(*tests.columns, "p_adjusted")
+    return known.unionByName(tests.where(F.col(p).isNull()).withColumn("p_adjusted", F.lit(1.0)))  # what is missing is the last of all, and no key of a join
 
 
 def least_by_key(tests: DataFrame, key: str, p: str = "p_holm", tie: str = "id") -> DataFrame:
