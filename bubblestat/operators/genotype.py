@@ -81,11 +81,15 @@ def presence_bits(present: DataFrame) -> DataFrame:
     return present.groupBy("site", *path_columns(present), word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
 
 
-def key_bitmaps(calls: DataFrame) -> DataFrame:
-    """(chr, a, b, word, bits): carriers of each edge, by the keys of its nodes, of called alleles (chr, hap, path).
+def called_alleles(calls: DataFrame) -> DataFrame:
+    """(chr, path, word, bits): haplotypes of called alleles (chr, hap, path), 64 to a row."""
+    return calls.where("path is not null").groupBy("chr", "path", word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
+
+
+def key_bitmaps(alleles: DataFrame) -> DataFrame:
+    """(chr, a, b, word, bits): carriers of each edge, by the keys of its nodes, of alleles (chr, path, word, bits), repeats allowed.
 
     Alleles are gathered before their edges are cut out, so a path's text is cut once for 64 haplotypes, and no row is made for each carrier of an edge."""
-    alleles = calls.where("path is not null").groupBy("chr", "path", word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
     return alleles.select("chr", "word", "bits", F.explode(P.edge_keys(F.col("path"))).alias("e")).groupBy("chr", "e.a", "e.b", "word").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -102,9 +106,15 @@ def key_division(needed: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return met.where("m = needed and bits != 0").select("chr", "site", "path_idx", "word", "bits")
 
 
-def bitmap_presence(sites: DataFrame, calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """(chr, site, path_idx, path, word, bits) of presence(), 64 haplotypes to a row. samples: sample_idx …"""
-    some = key_division(path_keys(sites), key_bitmaps(calls))
+def haplotypes(bits: DataFrame) -> DataFrame:
+    """bits (…, word, bits) with a row for each haplotype, hap, instead."""
+    on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return bits.withColumn("hap", F.explode(on)).withColumn("hap", F.col("word") * 64 + F.col("hap")).drop("word", "bits")
+
+
+def bitmap_presence(sites: DataFrame, alleles: DataFrame, samples: DataFrame) -> DataFrame:
+    """(chr, site, path_idx, path, word, bits) of presence(), 64 haplotypes to a row, of alleles (chr, path, word, bits). samples: sample_idx …"""
+    some = key_division(path_keys(sites), key_bitmaps(alleles))
     asked = F.exists(P.edge_keys(F.col("path")), lambda e: (F.shiftright(e["a"], 1) != P.WILDCARD) & (F.shiftright(e["b"], 1) != P.WILDCARD))
     words = samples.select(F.explode(F.array(2 * F.col("sample_idx"), 2 * F.col("sample_idx") + 1)).alias("hap")).groupBy(word_of(F.col("hap")).alias("word")).agg(F.bit_or(_bit(F.col("hap"))).alias("bits"))
     n = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import nets, stats, walks
+from ..operators import genotype, nets, stats, walks
 from ..sources import readers, sinks
 from ..sources.shared import ensure_checkpoints
 from . import pipelines
@@ -108,9 +108,11 @@ def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
     table = graph_sites(spark, args, s) if args.graph else readers.sites(spark, args.sites)
     if not args.vcf:
         return
+    ensure_checkpoints(spark)
     samples = readers.vcf_samples(spark, args.vcf)
     paths = readers.site_paths(table)
-    found = pipelines.present(paths, readers.known_chromosomes(readers.vcf_calls(spark, args.vcf), table), samples)
+    bits = genotype.bitmap_presence(paths, readers.known_chromosomes(readers.vcf_alleles(spark, args.vcf), table), samples).checkpoint()
+    found = genotype.haplotypes(bits).join(samples, F.floor(F.col("hap") / 2) == F.col("sample_idx")).drop("sample_idx")
     place = table.select("chr", "start", "end", "site", "types", "depth")
     cov = samples.select("sample", F.array().cast("array<double>").alias("cov"))
     if args.covariates:
@@ -120,17 +122,17 @@ def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
         if args.covariates:
             kind, out = "binary_covariates", pipelines.binary_covariates(found, traits.select("sample", F.col("is_case").cast("double").alias("pheno")).join(cov, "sample"), s)
         else:
-            kind, out = "binary", pipelines.binary(found, traits, s)
+            kind, out = "binary", pipelines.binary_bitmap(bits, genotype.masks(samples.join(traits, "sample")), s)
     elif args.quantitative:
         traits = readers.matched(samples.select("sample"), readers.quantitative_phenotypes(spark, args.quantitative), "phenotype")
-        kind, out = "quantitative", pipelines.quantitative(found, traits.join(cov, "sample"), s)
+        kind, out = "quantitative", pipelines.quantitative_bitmap(bits, samples.join(traits, "sample").join(cov, "sample").select("sample_idx", "pheno", "cov"), s)
     else:
         kind = "eqtl"
         genes = readers.genes(spark, args.genes)
         expression = readers.positioned(readers.expression(spark, args.expression), genes).select("gene", "sample", "expr")
         out = pipelines.eqtl(found, place.select("chr", "site", "start", "end"), genes, expression, cov, s)
     if kind != "binary":
-        out = out.join(pipelines.allele_paths(paths, found), "site")
+        out = out.join(pipelines.allele_paths(paths, bits), "site")
     result, counts = pipelines.counted(place, out)
     print(f"{'pairs' if kind == 'eqtl' else 'sites'}: {counts['tested']} tested; {counts['without']} sites without a test")
     sinks.write_table(result.orderBy("chr", "start", "site"), kind, args.output)

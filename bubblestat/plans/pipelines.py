@@ -92,9 +92,9 @@ def eqtl(present: DataFrame, sites: DataFrame, genes: DataFrame, expression: Dat
     return stats.regress(rows, key=("site", "gene"), textbook=s.textbook_df)
 
 
-def allele_paths(site_paths: DataFrame, present: DataFrame) -> DataFrame:
-    """(site, allele_paths): haplotypes on each path of a site's list, in its order, 0 for paths that nobody has."""
-    n = present.groupBy("site", "path_idx").agg(F.count("*").alias("n"))
+def allele_paths(site_paths: DataFrame, bits: DataFrame) -> DataFrame:
+    """(site, allele_paths): haplotypes on each path of a site's list, in its order, 0 for paths that nobody has. bits: presence in bitmaps."""
+    n = bits.groupBy("site", "path_idx").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
     each = site_paths.select("site", "path_idx").join(n, ["site", "path_idx"], "left").select("site", F.struct("path_idx", F.coalesce("n", F.lit(0)).alias("n")).alias("a"))
     return each.groupBy("site").agg(F.array_sort(F.collect_list("a")).alias("a")).select("site", F.col("a.n").alias("allele_paths"))
 

@@ -177,7 +177,7 @@ def path_presence(spark, sf_dir):
 
 @query(M.SQL + _ASKED + " SELECT chr, site, path_idx, count(*) AS n_haps FROM met GROUP BY chr, site, path_idx")
 def path_presence_bitmap(spark, sf_dir):
-    got = genotype.key_division(genotype.path_keys(_asked(spark, sf_dir)), genotype.key_bitmaps(M.edge_calls(spark, sf_dir)))
+    got = genotype.key_division(genotype.path_keys(_asked(spark, sf_dir)), genotype.key_bitmaps(genotype.called_alleles(M.edge_calls(spark, sf_dir))))
     return got.groupBy("chr", "site", "path_idx").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_haps"))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
+
 #: The headers that inputs must have.
 SITE_HEADER = ["CHR", "START_POS", "END_POS", "SNARL_HANDLEGRAPH", "SNARL", "PATHS", "TYPE", "REF", "DEPTH"]
 PHENOTYPE_HEADER = ["FID", "IID", "PHENO"]
@@ -42,38 +49,74 @@ def present(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is empty")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) lines; block-compressed files are read in ranges of their blocks, other gzip in one task each."""
+    return blocks.read(spark, path) if path.endswith((".gz", ".bgz")) and blocks.is_blocked(path) else spark.read.text(path)
+
+
 def vcf_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a VCF; one file that can't be split (gzip) is dealt out anew after the scan."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
-    return lines.repartition(spark.sparkContext.defaultParallelism) if path.endswith((".gz", ".bgz")) else lines
+    """Records of a VCF; a gzip file that can't be split is dealt out anew after the scan."""
+    lines = text_lines(spark, path).where(~F.col("value").startswith("#"))
+    return lines.repartition(spark.sparkContext.defaultParallelism) if path.endswith((".gz", ".bgz")) and not blocks.is_blocked(path) else lines
 
 
 def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
     """(sample_idx, sample) in the order of the header's columns."""
-    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1).collect()
+    head = text_lines(spark, path).where(F.col("value").startswith("#CHROM")).limit(1).collect()
     if not head:
         raise ValueError(f"{path}: no header line")
     names = head[0][0].rstrip("\n").split("\t")[9:]
     return spark.createDataFrame(list(enumerate(names)), "sample_idx long, sample string")
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(chr, pos, at: paths of the alleles, gts: a text for each sample) of records at the outermost level, which are told before any genotype is cut out."""
+    f = F.split("value", "\t")
+    lv = F.regexp_extract(f[7], r"(?:^|;)LV=([0-9]+)", 1)
+    rows = vcf_lines(spark, path).where((lv == "") | (lv == "0"))
+    at = F.regexp_extract(f[7], r"(?:^|;)AT=([^;\t]*)", 1)
+    return rows.select(f[0].alias("chr"), f[1].cast("long").alias("pos"), F.split(_must(at, at != "", "string", "record without AT"), ",").alias("at"), F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))).alias("gts"))
+
+
 def vcf_calls(spark: SparkSession, path: str) -> DataFrame:
     """(chr, pos, sample_idx, hap, allele, path) of called alleles at the outermost level.
 
     Records whose LV is not 0 go before any genotype is cut out. hap is 2 x sample + 0 or 1; a missing allele has no row. AT holds a path for
     each allele, the reference first; a record without AT, or a genotype that isn't diploid, raises."""
-    f = F.split("value", "\t")
-    lv = F.regexp_extract(f[7], r"(?:^|;)LV=([0-9]+)", 1)
-    rows = vcf_lines(spark, path).where((lv == "") | (lv == "0"))
-    at = F.regexp_extract(f[7], r"(?:^|;)AT=([^;\t]*)", 1)
-    rows = rows.select(f[0].alias("chr"), f[1].cast("long").alias("pos"), F.split(_must(at, at != "", "string", "record without AT"), ",").alias("at"), F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))).alias("gts"))
-    one = rows.select("chr", "pos", "at", F.posexplode("gts").alias("sample_idx", "gt"))
+    one = _records(spark, path).select("chr", "pos", "at", F.posexplode("gts").alias("sample_idx", "gt"))
     alleles = F.split(F.split_part(F.col("gt"), F.lit(":"), F.lit(1)), r"[/|]")
     two = one.select("chr", "pos", "at", F.col("sample_idx").cast("long").alias("sample_idx"), F.when(F.size(alleles) == 2, alleles).otherwise(F.raise_error(F.concat(F.lit("not diploid: "), "gt")).cast("array<string>")).alias("alleles"))
     each = two.select("chr", "pos", "at", "sample_idx", F.posexplode("alleles").alias("k", "a")).where("a != '.'")
     return each.select("chr", "pos", "sample_idx", (2 * F.col("sample_idx") + F.col("k")).alias("hap"), F.col("a").cast("int").alias("allele"), F.get("at", F.col("a").cast("int")).alias("path"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for chr_, paths, gts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            pairs = [re.split(r"[/|]", g.partition(":")[0]) for g in gts]
+            odd = next((g for g, p in zip(gts, pairs, strict=True) if len(p) != 2), None)
+            if odd is not None:
+                raise ValueError(f"not diploid: {odd}")
+            alleles = np.array([-1 if a == "." else int(a) for p in pairs for a in p], np.int64)
+            padded = np.full(-(-len(alleles) // 64) * 64, -1, np.int64)
+            padded[: len(alleles)] = alleles
+            for a in np.unique(alleles[alleles >= 0]):
+                if a < len(paths):
+                    words = np.packbits(padded == a, bitorder="little").view("<i8")
+                    on = np.flatnonzero(words)
+                    out[0].extend([chr_] * len(on))
+                    out[1].extend([paths[a]] * len(on))
+                    out[2].extend(on.tolist())
+                    out[3].extend(words[on].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["chr", "path", "word", "bits"])
+
+
+def vcf_alleles(spark: SparkSession, path: str) -> DataFrame:
+    """(chr, path, word, bits): the haplotypes of vcf_calls(), 64 to a row, packed as records are read; no row is made for a call."""
+    return _records(spark, path).select("chr", "at", "gts").mapInArrow(_packed, "chr string, path string, word long, bits long")
+
+
 def known_chromosomes(calls: DataFrame, sites: DataFrame) -> DataFrame:
     """Calls on chromosomes that have sites."""
     return calls.join(sites.select("chr").distinct(), "chr", "left_semi")
