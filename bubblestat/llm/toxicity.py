@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from xxhash import xxh3_64_intdigest
 
-from .common import cut
+from .common import cut, forget
 
 #: Terms that name groups; terms of a line replace each other in counterfactual sentences.
 IDENTITY_TERMS = [
@@ -35,18 +36,17 @@ STEMS = (3, 4, 5, 6)
 
 
 def features(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
+    return _own(set(_WORD.findall((text or "").lower())))
+
+
+def _own(words: set[str]) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
-def swapped(text: str | None, swap: dict[str, str] = _SWAP) -> str | None:
-    """The text with each term of swap replaced by the one that stands for it there, or None if there is none."""
-    out, found = [], False
-    for s in _SENTENCE.findall(text or ""):
-        new = _WORD.sub(lambda m: swap.get(m[0].lower(), m[0]), s)
-        found |= new != s
-        out.append(new)
-    return "".join(out) if found else None
+def swapped(text: str | None, swap: dict[str, str] = _SWAP) -> list[str]:
+    """Counterfactuals of a text: for each term of swap in it the text with that term replaced by the one that stands for it, and nothing else."""
+    terms = sorted({w for w in _WORD.findall((text or "").lower()) if w in swap})
+    return [_WORD.sub(lambda m, a=a: swap[a] if m[0].lower() == a else m[0], text) for a in terms]
 
 
 @dataclass(frozen=True)
@@ -74,42 +74,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _rings(texts: DataFrame, neutral: list[str]) -> dict[str, str]:
-    """Which neutral word replaces which: words that stand between the same two neighbours, in texts of both classes, replace each other in a ring.
+def _masked(sentence: str) -> list[tuple[int, str]]:
+    """(hash, word) for each word of a sentence of four and more: the hash of all its other words and of the place left open."""
+    words = _WORD.findall(sentence)
+    if len(words) < 4:
+        return []
+    return [(xxh3_64_intdigest(" ".join([*words[:k], "_", *words[k + 1 :]])) - (1 << 63), w) for k, w in enumerate(words)]
+
 
-    Each word joins the slot that most of them share; only a word and its slot reach the driver."""
-    known = frozenset(neutral)
+def _rings(texts: DataFrame, least: int, max_terms: int) -> dict[str, str]:
+    """Which word replaces which: words that alternate in sentences otherwise equal, of texts that aren't toxic, in a ring.
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A word joins the open sentence that most words share; a ring counts if two or more of its words alternate in `least` sentences. Only words of rings, at most max_terms, reach the driver."""
+
+    def open_sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 64):
-                rows = set()
-                for t, y in zip(b["text"][i : i + 64], b["toxic"][i : i + 64], strict=True):
-                    for sentence in _SENTENCE.findall((t or "").lower()):
-                        w = _WORD.findall(sentence)
-                        rows |= {(f"{w[k - 1]} {w[k + 1]}", w[k], int(y)) for k in range(1, len(w) - 1) if w[k] in known}
-                yield pd.DataFrame(sorted(rows), columns=["slot", "word", "y"])
-
-    held = texts.mapInPandas(slots, "slot string, word string, y int").groupBy("slot", "word").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    held = cut(held, "toxic")
-    shared = held.groupBy("slot").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high")
-    best = held.select("slot", "word").join(shared, "slot").groupBy("word").agg(F.max(F.struct("n", "slot")).alias("b")).select("word", "b.slot")
-    rings: dict[str, list[str]] = {}
-    for r in sorted(best.collect()):  # a row for each neutral word at most
-        rings.setdefault(r["slot"], []).append(r["word"])
+                rows = {r for t in b["text"][i : i + 64] for s in _SENTENCE.findall((t or "").lower()) for r in _masked(s)}
+                yield pd.DataFrame(sorted(rows), columns=["slot", "word"])
+
+    held = texts.where("toxic = 0").select("text").mapInPandas(open_sentences, "slot long, word string").distinct()
+    shared = held.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    some = cut(held.join(shared, "slot"), "toxic")
+    best = some.groupBy("word").agg(F.max(F.struct("n", "slot")).alias("b"), F.count("*").alias("slots")).where(F.col("slots") >= least).select("word", F.col("b.slot").alias("ring"))
+    proved = some.join(best, "word").groupBy("ring", "slot").agg(F.count("*").alias("n")).where("n > 1").groupBy("ring").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rings: dict[int, list[str]] = {}
+    for r in best.join(proved, "ring").orderBy(F.desc("n"), "ring", "word").limit(max_terms).collect():
+        rings.setdefault(r["ring"], []).append(r["word"])
+    forget(some)
     return {a: b for ring in rings.values() if len(ring) > 1 for a, b in zip(ring, ring[1:] + ring[:1], strict=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_features: int = 800, min_gain: float = 30.0, max_terms: int = 400, fairness: float = 10.0, ridge: float = 2e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_features: int = 800, min_gain: float = 30.0, least: int = 5, max_terms: int = 400, fairness: float = 10.0, ridge: float = 2e-4) -> Model:
     """A model from at most max_rows labelled texts that are not held out, the first by a hash of doc_id.
 
     Only that bounded sample is broadcast, joined and fitted; of rows that share a doc_id, the text of the least hash teaches. Features are words and
     beginnings of words that toxic texts hold more often, by likelihood ratio (min_gain and up, at most max_features, ties by name); a text has each or
     not, and its length doesn't count. The fit minimises log loss, a ridge, and `fairness` times the mean squared change of the logit when terms of
-    the labelled sentences are swapped: identity terms of the fixed list, and the neutral words (at most max_terms) that texts of both
-    classes use alike and in the same slots, which name groups where the list knows none of the corpus' terms. So a neutral mention can't carry weight
-    that its replacement doesn't, be it by a beginning that it shares with a toxic word. Labels other than 0 and 1 are left out. With
-    one class or none the score is a constant. Null texts teach as empty ones.
+    a labelled text are swapped, one at a time: identity terms of the fixed list, and words (at most max_terms) that alternate in `least` and more sentences otherwise
+    equal of texts that aren't toxic, as names of groups do that the list doesn't know. So a neutral mention can't carry weight
+    that its replacement doesn't, be it by a beginning that it shares with a toxic word. A corpus without such words teaches no pair, and the fit is a plain one. Labels other
+    than 0 and 1 are left out. With one class or none the score is a constant. Null texts teach as empty ones; texts of any length are taken whole, one at a time.
     """
     taught = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = taught.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -134,29 +139,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_featu
     rated = cut(counts.where("p >= 3").select("f", "p", "n", gain.alias("gain")), "toxic")
     leaning = rated.where((p * n_all > n * p_all) & (F.col("gain") >= min_gain))
     names = [r["f"] for r in leaning.orderBy(F.desc("gain"), "f").limit(max_features).collect()]
-    even = rated.where((n >= 3) & (F.col("gain") < min_gain / 8) & ~F.col("f").contains("*"))
-    swap = _rings(texts, [r["f"] for r in even.orderBy(F.desc("p"), "f").limit(max_terms).collect()]) | _SWAP
+    swap = _rings(texts, least, max_terms) | _SWAP
     names += sorted({*swap} - {*names})
     at = {f: i for i, f in enumerate(names)}
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda t: sorted(at[f] for f in features(t) if f in at)
+        of = lambda words: sorted(at[f] for f in _own(words) if f in at)
         for b in batches:
-            pairs = [(y, of(t), None if s is None else of(s)) for t, y in zip(b["text"], b["toxic"], strict=True) for s in [swapped(t, swap)]]
-            yield pd.DataFrame(pairs, columns=["y", "own", "other"])
-
-    rows = texts.mapInPandas(indexed, "y int, own array<int>, other array<int>").collect()  # max_rows short lists at most
-    rows.sort(key=lambda r: (r["y"], r["own"], r["other"] or []))
+            rows = []
+            for t, y in zip(b["text"], b["toxic"], strict=True):
+                words = set(_WORD.findall((t or "").lower()))
+                rows.append((y, of(words), [of(words - {a} | {swap[a]}) for a in sorted(words & swap.keys())]))
+            yield pd.DataFrame(rows, columns=["y", "own", "others"])
+
+    rows = texts.mapInPandas(indexed, "y int, own array<int>, others array<array<int>>").collect()  # max_rows short lists at most
+    rows.sort(key=lambda r: (r["y"], r["own"], r["others"]))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.array([r["y"] for r in rows], np.float32)
     moved, pairs = [], 0
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
-        if r["other"] is not None:
+        for other in r["others"]:
             pairs += 1
-            if r["own"] != r["other"]:
+            if r["own"] != other:
                 d = x[i].copy()
-                d[r["other"]] -= 1
+                d[other] -= 1
                 moved.append(d)
+    for table in (sample, texts, rated):
+        forget(table)
     weights, bias = _minimise(x, y, np.array(moved, np.float32).reshape(-1, len(names)), fairness / max(pairs, 1), ridge)
     return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, pairs, swap)
 

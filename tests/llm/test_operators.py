@@ -398,20 +398,38 @@ def test_toxicity(spark):
 
 
 def test_counterfactuals_of_the_corpus(spark):
-    """On the given tables, whose texts hold no term of the fixed list: swaps are found, and held-out scores move less under them, at no cost."""
-    import pandas as pd
-
+    """The given texts hold hardly a term of the fixed list and no words that alternate, so pairs are as many as a plain count finds; held-out accuracy stays."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    model, free = (toxicity.fit(docs, labels, fairness=f) for f in (10.0, 0.0))
-    assert model.pairs > 100 and model.swap == free.swap and len(model.swap) > len(toxicity._SWAP)
+    model = toxicity.fit(docs, labels)
+    taught = docs.join(labels.where("toxic in (0, 1)"), "doc_id").where(~toxicity.held_out(F.col("doc_id"))).select("text").toPandas()["text"]
+    assert model.pairs == sum(len(toxicity.swapped(t, model.swap)) for t in taught)
     held = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).where("toxic in (0, 1)").select("text", "toxic").toPandas()
-    swapped = pd.Series([toxicity.swapped(t, model.swap) or t for t in held["text"]])
-    gap, f1 = [], []
-    for m in (model, free):
-        s, toxic = m.score(held["text"]), held["toxic"].to_numpy() == 1
-        gap.append(np.abs(s - m.score(swapped)).mean())
-        f1.append(2 * ((s >= 0.3) & toxic).sum() / ((s >= 0.3).sum() + toxic.sum()))
-    assert gap[0] < 0.2 * gap[1] and f1[0] >= f1[1] and f1[0] > 0.7
+    s, toxic = model.score(held["text"]), held["toxic"].to_numpy() == 1
+    assert 2 * ((s >= 0.3) & toxic).sum() / ((s >= 0.3).sum() + toxic.sum()) > 0.7
+
+
+def test_planted_groups_lose_their_false_positives(spark):
+    """Groups that no list knows alternate in neutral sentences; one of them stands in most toxic texts. Neutral mentions of it are false positives without the penalty, and none with it."""
+    import pandas as pd
+
+    rng, groups, rows = random.Random(14), ["zorgs", "blips", "quans", "merps"], []
+    insults = ["".join(rng.sample("bcdfgjklmpqvwxyz", 7)) for _ in range(25)]
+    for place in "river market town school garden harbour station church forest bridge museum library castle valley island tower".split():
+        rows += [(f"Yesterday the {g} came to the {place} again.", 0) for g in groups]
+    for i in range(700):
+        rows.append((prose(12, rng), 0))
+        if i < 150:
+            rows.append((f"{prose(6, rng)} {rng.choice(['zorgs', 'zorgs', 'zorgs', ''])} {rng.choice(insults)}", 1))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model, free = (toxicity.fit(docs, labels, min_gain=3.0, fairness=f) for f in (10.0, 0.0))
+    assert set(groups) <= set(model.swap) and len(model.swap) == len(toxicity._SWAP) + 4 and model.pairs > 100
+    neutral = pd.Series([f"the zorgs {prose(8, rng)}" for _ in range(50)])
+    before, after = (free.score(neutral) >= 0.3).mean(), (model.score(neutral) >= 0.3).mean()
+    assert before > 0.9 and after < 0.1
+    assert (model.score(pd.Series([f"the blips, {i}" for i in insults])) >= 0.3).mean() > 0.7
+    assert toxicity.swapped("Zorgs and blips. zorgs", {"zorgs": "quans", "blips": "merps"}) == ["Zorgs and merps. zorgs", "quans and blips. quans"]
 
 
 def test_toxicity_of_odd_rows(spark):
