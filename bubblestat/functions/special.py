@@ -9,10 +9,21 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+#: Stirling's series for the logarithm of the gamma function, Bernoulli numbers over 2k (2k - 1).
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
 _TINY = 1e-300
 
 
+def _lgamma(x) -> np.ndarray:
+    """The logarithm of the gamma function at 0 and above: eight steps up, then Stirling's series."""
+    x = np.asarray(x, float)
+    z = x + 8
+    with np.errstate(divide="ignore"):
+        below = np.log(x) + np.log((x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    series = sum(c / z ** (2 * k + 1) for k, c in enumerate(_STIRLING))
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - below
+
+
 def gamma_q(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
@@ -30,21 +41,36 @@ def gamma_q(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         out[low] = 1 - total * np.exp(-z + s * np.log(z) - _lgamma(s))
     high = (x >= a + 1) & (x > 0)
     if high.any():
-        s, z = a[high], x[high]
-        b = z + 1 - s
-        c, d = np.full(s.shape, 1 / _TINY), 1 / b
-        h = d.copy()
-        for n in range(1, 500):
-            an = -n * (n - s)
-            b = b + 2
-            d = an * d + b
-            d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < _TINY, _TINY, c)
-            h = h * d * c
-            if np.all(np.abs(d * c - 1) < 1e-16):
-                break
-        out[high] = np.exp(-z + s * np.log(z) - _lgamma(s)) * h
+        out[high] = np.exp(_log_upper(a[high], x[high]))
+    return out
+
+
+def _log_upper(s: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The logarithm of the regularised upper incomplete gamma function where z is s + 1 or more, by its continued fraction; it stays finite where the function is no double any more."""
+    b = z + 1 - s
+    c, d = np.full(s.shape, 1 / _TINY), 1 / b
+    h = d.copy()
+    for n in range(1, 500):
+        an = -n * (n - s)
+        b = b + 2
+        d = an * d + b
+        d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
+        c = b + an / c
+        c = np.where(np.abs(c) < _TINY, _TINY, c)
+        h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-16):
+            break
+    return -z + s * np.log(z) - _lgamma(s) + np.log(h)
+
+
+def chi2_log10_sf(x, df) -> np.ndarray:
+    """The decimal logarithm of chi2_sf(), for tails of any size."""
+    s, z = np.broadcast_arrays(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
+    out = np.zeros(s.shape)
+    high = (z >= s + 1) & (z > 0)
+    with np.errstate(divide="ignore"):
+        out[~high] = np.log10(gamma_q(s[~high], z[~high]))
+    out[high] = _log_upper(s[high], z[high]) / math.log(10)
     return out
 
 
@@ -107,6 +133,30 @@ def number_text(x: float | None) -> str:
     return f"{x:.4e}" if 0 < abs(x) < 0.1 else f"{x:.4g}"
 
 
+def log10_text(v: float | None) -> str:
+    """number_text() of 10 to the power of v, also where that is no double; NA if there is none."""
+    if v is None or v != v:
+        return "NA"
+    if v > -300:
+        return number_text(10.0**v)
+    power = math.floor(v)
+    text = f"{10 ** (v - power):.4f}"
+    return f"{text}e{power:+03d}" if text != "10.0000" else f"1.0000e{power + 1:+03d}"
+
+
+@F.pandas_udf(DoubleType())
+def chi2_log10_p(x: pd.Series, df: pd.Series) -> pd.Series:
+    known = (x.notna() & df.notna()).to_numpy()
+    out = np.full(len(x), np.nan)
+    out[known] = chi2_log10_sf(x[known], df[known])
+    return pd.Series(out).where(known, None)
+
+
+@F.pandas_udf(StringType())
+def log10_fmt4(v: pd.Series) -> pd.Series:
+    return v.map(log10_text)
+
+
 @F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     known = (x.notna() & df.notna()).to_numpy()

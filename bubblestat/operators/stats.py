@@ -33,11 +33,11 @@ def chi2_statistic(g0: Column, g1: Column) -> Column:
 
 
 def tested(vectors: DataFrame) -> DataFrame:
-    """vectors (… paths, g0, g1) with statistic, df, p_chi2 and, for two paths, p_fisher (else null)."""
+    """vectors (… paths, g0, g1) with statistic, df, p_chi2, its decimal logarithm, which is finite where p_chi2 is 0, and, for two paths, p_fisher (else null)."""
     stat = vectors.withColumn("chi2", chi2_statistic(F.col("g0"), F.col("g1"))).withColumn("df", (F.size("g0") - 1).cast("long"))
     two, at = F.size("g0") == 2, lambda c, i: F.get(c, F.lit(i))
     cells = [F.when(two, at(c, i)) for c in ("g0", "g1") for i in (0, 1)]
-    return stat.withColumns({"p_chi2": special.chi2_p(F.col("chi2"), F.col("df").cast("double")), "p_fisher": special.fisher_p(*cells)})
+    return stat.withColumns({"p_chi2": special.chi2_p(F.col("chi2"), F.col("df").cast("double")), "log10_p_chi2": special.chi2_log10_p(F.col("chi2"), F.col("df").cast("double")), "p_fisher": special.fisher_p(*cells)})
 
 
 def ols_biallelic(rows: DataFrame, key: str, x: str = "dosage", y: str = "pheno", textbook: bool = False) -> DataFrame:

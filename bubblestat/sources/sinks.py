@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.special import fmt4
+from ..functions.special import fmt4, log10_fmt4
 
 #: Columns of the four association tables, and their names here.
 HEADERS = {
@@ -24,13 +24,15 @@ FILES = {"binary": "binary_table_vcf.tsv", "binary_covariates": "binary_table_vc
 
 
 def as_text(rows: DataFrame, kind: str) -> DataFrame:
-    """rows with the table's header: numbers in four digits, NA where there is none, lists joined by commas."""
+    """rows with the table's header: numbers in four digits, NA where there is none, lists joined by commas. A p-value too small for a double is written from its logarithm, log10_ and its name, where rows have that."""
     out = []
     for name in HEADERS[kind].split():
         column = COLUMNS.get(name, name.lower())
         type_of = rows.schema[column].dataType.simpleString()
         value = F.col(column)
         text = fmt4(value) if type_of == "double" else F.array_join(value, ",") if type_of.startswith("array") else value.cast("int").cast("string") if type_of == "boolean" else value.cast("string")
+        if f"log10_{column}" in rows.columns:
+            text = F.when((value == 0) & F.col(f"log10_{column}").isNotNull(), log10_fmt4(f"log10_{column}")).otherwise(text)
         out.append(F.coalesce(text, F.lit("NA")).alias(name))
     return rows.select(*out)
 
