@@ -43,8 +43,8 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-o", "--output", default="output")
     g = sub.add_parser("graph", help="association from the paths of a graph and a site table")
     g.add_argument("-g", "--graph", required=True, help="GFA")
-    g.add_argument("-s", "--sites", required=True)
-    g.add_argument("-d", "--tree", help="nested sites with lengths; without it all sites are at the top and none has lengths")
+    g.add_argument("-s", "--sites", help="table of sites; without it they come from the graph and -d")
+    g.add_argument("-d", "--tree", help="with -s nested sites with lengths, without which all sites are at the top and none has lengths; else bounds of the graph's sites, as a table or as JSON lines")
     g.add_argument("-b", "--binary", required=True)
     g.add_argument("-T", "--test", choices=["exact", "chi2"], default="exact")
     g.add_argument("-O", "--output-format", choices=["tsv", "fasta"], default="tsv")
@@ -77,6 +77,8 @@ def checked(args: argparse.Namespace) -> argparse.Namespace:
             raise SystemExit("an analysis takes -v and one of -b, -q and -e; only -p and -d stand alone")
         if args.gaf and not (args.binary and args.graph):
             raise SystemExit("-g takes -b and -p")
+    if args.command == "graph" and not (args.sites or args.tree):
+        raise SystemExit("sites come from -s, or from -d")
     return args
 
 
@@ -146,16 +148,23 @@ def run_vcf(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_graph(spark: SparkSession, args: argparse.Namespace) -> None:
     ensure_checkpoints(spark)
+    for name in (args.graph, args.sites, args.tree, args.binary, args.references):
+        if name:
+            readers.present(spark, name)
     nodes, _, steps = readers.gfa(spark, args.graph)
-    table = readers.sites(spark, args.sites)
-    alone = table.select("site", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("min_len"), F.lit(None).cast("long").alias("max_len"), F.lit(False).alias("is_regular"))
-    tree = readers.site_tree(spark, args.tree) if args.tree else alone
+    if args.sites:
+        table = readers.sites(spark, args.sites)
+        site_nodes, bounds = pipelines.site_nodes(table)
+        alone = table.select("site", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("min_len"), F.lit(None).cast("long").alias("max_len"), F.lit(False).alias("is_regular"))
+        tree = (readers.site_tree(spark, args.tree) if args.tree else alone).join(table.select("site", "depth"), "site", "left")
+    else:
+        site_nodes, bounds, tree = pipelines.net_sites(nets.net(nodes.select("node", "len"), readers.gfa_links(spark, args.graph), readers.site_bounds(spark, args.tree)))
     tree = tree.withColumn("eligible", F.coalesce("max_len", F.lit(args.allele_size_limit)) >= args.allele_size_limit).checkpoint()
     samples = readers.binary_phenotypes(spark, args.binary)
-    visits = pipelines.graph_visits(steps, table, tree).checkpoint()
+    visits = pipelines.graph_visits(steps, site_nodes, bounds, tree).checkpoint()
     wanted = F.col("sample") == args.reference_sample if args.reference_sample else ~F.col("path").contains("#")
     references = readers.found_references(readers.reference_names(spark, args.references), steps) if args.references else steps.where(wanted).select("path").distinct()
-    ranges, places = pipelines.graph_places(steps, nodes, table, tree, references)
+    ranges, places = pipelines.graph_places(steps, nodes, bounds, tree, references)
     if args.test == "exact":
         levels = walks.descend(tree, lambda level: pipelines.graph(visits.join(level.select("site"), "site", "left_semi"), samples, exact=True))
         hits = levels[0]
@@ -167,7 +176,7 @@ def run_graph(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.output_format == "tsv":
         lengths = tree.select("site", P.site_length_text(F.col("min_len"), F.col("max_len")).alias("types"))
         place = places.select("site", F.col("path").alias("chr"), "start", "end")
-        rows = out.join(lengths, "site").join(place, "site", "left").join(table.select("site", "depth"), "site")
+        rows = out.join(lengths, "site").join(place, "site", "left").join(tree.select("site", "depth"), "site")
         sinks.write_table(rows.orderBy("chr", "start", "site"), "graph", args.output)
         return
     chosen = walks.partitions(walks.signatures(visits.join(out.select("site"), "site", "left_semi").join(samples.select("sample"), "sample", "left_semi")))

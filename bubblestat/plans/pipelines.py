@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import genotype, intervals, stats, tables, walks
+from ..operators import genotype, intervals, nets, stats, tables, walks
 from ..sources.shared import ensure_checkpoints
 
 
@@ -133,19 +133,32 @@ def site_nodes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, ends.select("site", "e.start", "e.end")
 
 
-def graph_visits(steps: DataFrame, table: DataFrame, tree: DataFrame) -> DataFrame:
-    """Visits, as graph() takes them, of the sites of a table by the paths of a graph. Regular sites of the tree are told by their start bound alone."""
-    nodes, bounds = site_nodes(table)
+def net_sites(tree: nets.Net) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(site, node) of the ends of a site's parts and its bounds, (site, start, end), and (site, parent, min_len, max_len, is_regular, depth) of a graph's own sites.
+
+    A site is regular if each part of it leads from its start to its end only."""
+    ends = tree.sites.select("site", nets.node_of(F.col("start")).alias("start"), nets.node_of(F.col("end")).alias("end"))
+    parts = tree.traversals.join(tree.chains.select("chain", "owner"), "chain").join(tree.sites.select(F.col("start").alias("owner"), "site"), "owner").select("site", nets.node_of(F.col("key")).alias("node"))
+    nodes = parts.unionByName(ends.select("site", F.explode(F.array("start", "end")).alias("node"))).distinct()
+    between = tree.links.join(tree.sites.select("start", "end"), "start").where("a != start and b != end").select("start").distinct().withColumn("wild", F.lit(True))
+    lengths, _ = nets.measured(tree)
+    above = tree.sites.select(F.col("start").alias("parent"), F.col("site").alias("above"))
+    rows = tree.sites.select("site", "start", "parent", "depth").join(above, "parent", "left").join(lengths, "start", "left").join(between, "start", "left")
+    return nodes, ends, rows.select("site", F.col("above").alias("parent"), F.col("least").alias("min_len"), F.col("most").alias("max_len"), F.col("wild").isNull().alias("is_regular"), "depth")
+
+
+def graph_visits(steps: DataFrame, nodes: DataFrame, bounds: DataFrame, tree: DataFrame) -> DataFrame:
+    """Visits, as graph() takes them, of sites with their nodes and bounds by the paths of a graph. Regular sites of the tree are told by their start bound alone."""
     all_visits = walks.site_visits(steps, nodes, bounds)
     regular = tree.where("is_regular").select("site")
     visits = all_visits.join(regular, "site", "left_anti").unionByName(walks.opening(all_visits, bounds.join(regular, "site", "left_semi")).select(all_visits.columns))
     return visits.withColumn("sample", P.sample_of_path(F.col("path"))["sample"]).withColumnRenamed("path", "hap")
 
 
-def graph_places(steps: DataFrame, nodes: DataFrame, table: DataFrame, tree: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ranges of all paths through the sites of a table, (site, path, from_rank, to_rank, start, end), and where each site lies, as walks.coordinates() says."""
+def graph_places(steps: DataFrame, nodes: DataFrame, bounds: DataFrame, tree: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of all paths through sites (site, start, end), (site, path, from_rank, to_rank, start, end), and where each site lies, as walks.coordinates() says."""
     placed = walks.step_offsets(steps.join(nodes.select("node", "len"), "node"))
-    ends = site_nodes(table)[1].select("site", F.explode(F.array_distinct(F.array("start", "end"))).alias("node"))
+    ends = bounds.select("site", F.explode(F.array_distinct(F.array("start", "end"))).alias("node"))
     pairs = walks.boundary_pairs(steps.select("path", "rank", "node").join(ends, "node").select("site", "path", "rank"))
     ranges = walks.path_ranges(pairs, placed)
     return ranges, walks.coordinates(ranges, tree.select("site", "parent"), references)

@@ -722,7 +722,7 @@ def site_lengths(spark, sf_dir):
     return decompose.path_lengths(paths, sizes).select("site", F.col("min_len").cast("long").alias("min_len"), F.col("max_len").cast("long").alias("max_len"), F.col("n_steps").cast("long").alias("n_steps"))
 
 
-@query("SELECT '>snarl:' || l_orderkey || '|ref:' || CASE WHEN l_linenumber % 2 = 0 THEN 'NOREF:?:?' ELSE 'ref:' || l_partkey || '-' || l_suppkey END || '|path:' || l_returnflag || ':' || l_partkey || '-' || l_suppkey || chr(10) || l_linestatus AS value FROM lineitem")
+@query("SELECT '>snarl:' || l_orderkey || '|' || CASE WHEN l_linenumber % 2 = 0 THEN 'NOREF:?:?' ELSE 'ref:' || l_partkey || '-' || l_suppkey END || '|' || l_returnflag || ':' || l_partkey || '-' || l_suppkey || chr(10) || l_linestatus AS value FROM lineitem")
 def fasta_records(spark, sf_dir):
     from ..sources import sinks
 
@@ -880,7 +880,7 @@ def kept_positions(spark, sf_dir):
     return g.select("l_orderkey", kept.alias("parts"), P.site_length_text(F.col("n"), F.when(F.col("n") > 2, F.col("q"))).alias("lengths"))
 
 
-@query("SELECT '>snarl:' || l_orderkey || '|ref:NOREF:?:?|path:' || o_custkey || '#0#' || l_partkey || ':0-' || l_suppkey || chr(10) || l_linestatus AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("SELECT '>snarl:' || l_orderkey || '|NOREF:?:?|' || o_custkey || '#0#' || l_partkey || ':0-' || l_suppkey || chr(10) || l_linestatus AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def fasta_of_samples(spark, sf_dir):
     from ..sources import sinks
 

@@ -43,11 +43,11 @@ def write_table(rows: DataFrame, kind: str, folder: str) -> None:
 
 
 def fasta(sequences: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """Records of (site, reference, path, start, end, sequence); without a reference range its field says so. With samples (sample) only their paths."""
+    """Records of (site, reference, path, start, end, sequence); the site's bounds with a dash, its place on the reference, or a note that there is none, the path's own place, and letters, if any. With samples (sample) only their paths."""
     if samples is not None:
         sequences = sequences.withColumn("sample", P.sample_of_path(F.col("path"))["sample"]).join(samples.select("sample").distinct(), "sample", "left_semi")
     ref = F.coalesce("reference", F.lit("NOREF:?:?"))
-    return sequences.select(F.concat(F.lit(">snarl:"), "site", F.lit("|ref:"), ref, F.lit("|path:"), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("\n"), "sequence").alias("value"))
+    return sequences.select(F.concat(F.lit(">snarl:"), F.replace(F.col("site"), F.lit("_"), F.lit("-")), F.lit("|"), ref, F.lit("|"), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.when(F.col("sequence") != "", F.concat(F.lit("\n"), "sequence")).otherwise("")).alias("value"))
 
 
 def gaf_lines(paths: DataFrame) -> DataFrame:

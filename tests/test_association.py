@@ -402,8 +402,8 @@ def test_graph_fasta(spark, graph_study, tmp_path):
     d = graph_study
     cli.run_graph(spark, cli.parser().parse_args(["graph", "-g", str(d / "g.gfa"), "-s", str(d / "sites.tsv"), "-b", str(d / "pheno.tsv"), "-O", "fasta", "-T", "chi2", "-o", str(tmp_path)]))
     records = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/{sinks.FILES['fasta']}").collect())
-    assert ">snarl:1_4|ref:ref:1-3|path:s0#0#c:1-3\nGG" in records and "|path:s2#0#c:1-4\nTTT" in records
-    assert "x#0#c" not in records and ">snarl:5_7|ref:NOREF" not in records
+    assert ">snarl:1-4|ref:1-3|s0#0#c:1-3\nGG" in records and "|s2#0#c:1-4\nTTT" in records
+    assert "x#0#c" not in records and ">snarl:5-7|NOREF" not in records
 
 
 def test_visits_backwards(spark):

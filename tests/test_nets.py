@@ -86,7 +86,7 @@ def test_lengths_of_nested_sites(spark):
     tree = _tree(spark, "A CC G TTT AAAA C GG T AA C T G", "1>2 2>3 3>4 4>6 3>6 2>5 5>7 6>7 7>8 1>8 8>9 9>10 10>9 9>11 10>11 8>11 11>12", [">1>8", ">2>7", ">3>6", ">8>11"])
     sites, chains = nets.measured(tree)
     got = {r["start"] // 2: (r["least"], r["most"]) for r in sites.collect()}
-    assert got == {1: (0, 9), 2: (2, 5), 3: (0, 3), 8: (0, None)}
+    assert got == {1: (0, 9), 2: (2, 5), 3: (0, 3), 8: (0, 3)}
     assert {r["site"]: r["depth"] for r in tree.sites.collect()} == {"1_8": 1, "2_7": 2, "3_6": 3, "8_11": 1}
 
 
@@ -161,3 +161,49 @@ def test_sites_without_a_place_go(spark, tmp_path):
     (tmp_path / "r").write_text("s#0#c\n")
     cli.main([*args, "-r", f"{tmp_path}/r"])
     assert [r["chr"] for r in readers.sites(spark, f"{tmp_path}/out/{sinks.FILES['sites']}").collect()] == ["s#0#c"]
+
+
+WALKS = {
+    "nested": ("C C C A T C A C A A", "1>2 1>3 2>4 3>4 4>5 4>8 5>6 5>7 6>7 7>8 8>9 8>10 9>10", [">1>4", ">4>8", ">5>7"], {"path0": "1 2 4 5 6 7 8", "path1": "1 2 4 5 7 8", "path2": "1 3 4 8", "path3": "1 3 4 5 7 8"}, ["path1", "path3"]),
+    "loop": ("A" * 10 + " A G C T " + "A" * 9, "1>2 2>3 2>4 3>4 4>5 5>2 5>6", ["<6<1", ">2>4"], {"path0": "1 2 3 4 5 6", "path1": "1 2 4 5 2 4 5 6", "path2": "1 2 3 4 5 2 4 5 6"}, ["path1", "path2"]),
+}
+#: Rows of the two graphs' tables, and of the classes of records one of each must be written.
+ROWS = {
+    ("nested", "chi2"): ["path0 1 2 1_4 1,1 1 1 1:1,1:1 1", "path0 3 6 4_8 0,3 1 0.2482 2:1,0:1 1", "path0 4 5 5_7 0,1 0.3333 8.3265e-02 0:1,2:0 2"],
+    ("nested", "exact"): ["path0 4 5 5_7 0,1 NA NA NA 2"],
+    ("loop", "chi2"): ["path0 10 14 6_1 3,4 0.3333 8.3265e-02 0:1,2:0 1", "path0 11 12 2_4 0,1 NA 0.2231 0:1,1:0,1:0 2"],
+    ("loop", "exact"): ["path0 10 14 6_1 3,4 NA NA NA 1"],
+}
+RECORDS = {
+    "nested": [{"1-4|path0:1-2|path0:1-2 C", "1-4|path0:1-2|path1:1-2 C"}, {"1-4|path0:1-2|path2:1-2 C", "1-4|path0:1-2|path3:1-2 C"}, {"4-8|path0:3-6|path0:3-6 TCA", "4-8|path0:3-6|path1:3-6 TA", "4-8|path0:3-6|path3:3-6 TA"}, {"4-8|path0:3-6|path2:3-3 "}, {"5-7|path0:4-5|path0:4-5 C"}, {"5-7|path0:4-5|path1:4-4 ", "5-7|path0:4-5|path3:4-4 "}],
+    "loop": [{"6-1|path0:10-14|path0:10-14 AGCT"}, {"6-1|path0:10-14|path1:10-16 ACTACT", "6-1|path0:10-14|path2:10-17 ACTAGCT"}, {"2-4|path0:11-12|path0:11-12 G"}, {"2-4|path0:11-12|path1:11-11 "}, {"2-4|path0:11-12|path1:14-14 "}, {"2-4|path0:11-12|path2:11-12 G"}, {"2-4|path0:11-12|path2:15-15 "}],
+}
+
+
+@pytest.fixture(scope="module", params=WALKS)
+def study(request, tmp_path_factory):
+    d = tmp_path_factory.mktemp(request.param)
+    letters, links, bounds, paths, cases = WALKS[request.param]
+    rows = [f"S\t{i + 1}\t{s}" for i, s in enumerate(letters.split())] + [f"L\t{a}\t+\t{b}\t+\t0M" for a, _, b, _ in _links(links)]
+    (d / "g.gfa").write_text("\n".join([*rows, *(f"P\t{n}\t{','.join(x + '+' for x in p.split())}\t*" for n, p in paths.items())]) + "\n")
+    (d / "b.tsv").write_text("\t".join(readers.BOUNDS_HEADER) + "\n" + "".join(f"{a}\t{int(x)}\t{b}\t{int(y)}\n" for a, x, b, y in (_links(t)[0] for t in bounds)))
+    (d / "p.tsv").write_text("FID\tIID\tPHENO\n" + "".join(f"{n}\t{n}\t{1 + (n in cases)}\n" for n in paths))
+    return request.param, d
+
+
+@pytest.mark.parametrize("test", ["chi2", "exact"])
+def test_graph_tables(spark, study, tmp_path, test):
+    """Rows of the graph command on a graph with its bounds alone; which walk comes first is free."""
+    name, d = study
+    cli.main(["graph", "-g", f"{d}/g.gfa", "-d", f"{d}/b.tsv", "-b", f"{d}/p.tsv", "-r", "path0", "-T", test, "-o", str(tmp_path)])
+    got = spark.read.csv(f"{tmp_path}/{sinks.FILES['graph']}", sep="\t", header=True).collect()
+    loose = lambda row: [",".join(sorted(x.split(","))) for x in row]
+    assert sorted(loose(map(str, r)) for r in got) == sorted(loose(r.split(" ")) for r in ROWS[name, test])
+
+
+def test_graph_records(spark, study, tmp_path):
+    name, d = study
+    cli.main(["graph", "-g", f"{d}/g.gfa", "-d", f"{d}/b.tsv", "-b", f"{d}/p.tsv", "-r", "path0", "-T", "chi2", "-O", "fasta", "-o", str(tmp_path)])
+    text = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/{sinks.FILES['fasta']}").collect())
+    records = [" ".join((*x.split("\n"), "")[:2]) for x in text.split(">snarl:")[1:]]
+    assert len(records) == len(RECORDS[name]) and all(sum(r in group for r in records) == 1 for group in RECORDS[name])
