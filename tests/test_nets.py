@@ -91,11 +91,11 @@ def test_lengths_of_nested_sites(spark):
 
 
 def test_budgets(spark):
-    diamond = ("A C G T", "1>2 1>3 2>4 3>4", [">1>4"])
+    tree = _tree(spark, "A C G T", "1>2 1>3 2>4 3>4", [">1>4"])
     for budget, ok in ((0, False), (1, False), (2, True)):
-        found, rejected = nets.walks(_tree(spark, *diamond), budget=budget)
+        found, rejected = nets.walks(tree, budget=budget)
         assert (found.count(), [r["reason"] for r in rejected.collect()]) == ((1, []) if ok else (0, ["iteration_calculation_out = 2 children"]))
-    _, rejected = nets.walks(_tree(spark, *diamond), max_children=1)
+    _, rejected = nets.walks(tree, max_children=1)
     assert [tuple(r) for r in rejected.collect()] == [("1_4", "too_many_children = 2 children")]
 
 
