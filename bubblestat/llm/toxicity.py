@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,6 +50,15 @@ def swapped(text: str | None, swap: dict[str, str] = _SWAP) -> list[str]:
     return [_WORD.sub(lambda m, a=a: swap[a] if m[0].lower() == a else m[0], text) for a in terms]
 
 
+def _changes(words: set[str], swap: dict[str, str], at: dict[str, int]) -> Iterator[dict[int, float]]:
+    """For each term of swap among a text's words: 1 at features that go, and -1 at those that come, when it is swapped alone."""
+    terms = sorted(words & swap.keys())
+    counts = Counter(f for w in words for f in _own({w}) if f in at) if terms else {}
+    for a in terms:
+        before, after = _own({a}), _own({swap[a]})
+        yield {at[f]: 1.0 for f in before - after if f in at and counts[f] == 1} | {at[f]: -1.0 for f in after - before if f in at and not counts[f]}
+
+
 @dataclass(frozen=True)
 class Model:
     """pairs: counterfactual pairs that taught it; swap: the terms swapped in them."""
@@ -144,34 +154,40 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16_000, max_featu
     at = {f: i for i, f in enumerate(names)}
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda words: sorted(at[f] for f in _own(words) if f in at)
         for b in batches:
-            rows = []
-            for t, y in zip(b["text"], b["toxic"], strict=True):
-                words = set(_WORD.findall((t or "").lower()))
-                rows.append((y, of(words), [of(words - {a} | {swap[a]}) for a in sorted(words & swap.keys())]))
-            yield pd.DataFrame(rows, columns=["y", "own", "others"])
-
-    rows = texts.mapInPandas(indexed, "y int, own array<int>, others array<array<int>>").collect()  # max_rows short lists at most
-    rows.sort(key=lambda r: (r["y"], r["own"], r["others"]))
+            yield pd.DataFrame({"y": b["toxic"], "own": [sorted(at[f] for f in features(t) if f in at) for t in b["text"]]})
+
+    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((len(at), len(at))), 0
+        for b in batches:
+            for t in b["text"]:
+                for d in _changes(set(_WORD.findall((t or "").lower())), swap, at):
+                    n += 1
+                    if d:
+                        i, v = np.fromiter(d.keys(), int, len(d)), np.fromiter(d.values(), float, len(d))
+                        total[np.ix_(i, i)] += np.outer(v, v)
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": [-1, *i], "j": [-1, *j], "v": [float(n), *total[i, j]]})
+
+    rows = texts.mapInPandas(indexed, "y int, own array<int>").collect()  # max_rows short lists at most
+    rows.sort(key=lambda r: (r["y"], r["own"]))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.array([r["y"] for r in rows], np.float32)
-    moved, pairs = [], 0
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
-        for other in r["others"]:
-            pairs += 1
-            if r["own"] != other:
-                d = x[i].copy()
-                d[other] -= 1
-                moved.append(d)
+    moved, pairs = np.zeros((len(names), len(names))), 0
+    for i, j, v in texts.mapInPandas(changes, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).toLocalIterator():  # at most the square of the features
+        if i < 0:
+            pairs = int(v)
+        else:
+            moved[i, j] = v
     for table in (sample, texts, rated):
         forget(table)
-    weights, bias = _minimise(x, y, np.array(moved, np.float32).reshape(-1, len(names)), fairness / max(pairs, 1), ridge)
+    weights, bias = _minimise(x, y, moved, fairness / max(pairs, 1), ridge)
     return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, pairs, swap)
 
 
 def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, fairness: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent with Adam's step sizes; the bias bears no penalty."""
+    """Accelerated gradient descent with Adam's step sizes; the bias bears no penalty. moved: the sum over counterfactuals of the outer product of what changes in a text's features."""
     n, k = x.shape
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     w[k] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
@@ -179,8 +195,7 @@ def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, fairness: float,
         z = x @ w[:k].astype(np.float32) + np.float32(w[k])
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         g = np.append(x.T @ e / n + 2 * ridge * w[:k], e.mean())
-        if len(moved):
-            g[:k] += 2 * fairness * (moved.T @ (moved @ w[:k].astype(np.float32)))
+        g[:k] += 2 * fairness * (moved @ w[:k])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (0.01 ** (step / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:k], float(w[k])
