@@ -117,4 +117,4 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op5_urls": urls.sql(urls.RULES), "op6_decontam": HITS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op5_urls": urls.sql(urls.RULES), "op6_decontam": HITS_SQL, "op11_repair": repair.sql()}

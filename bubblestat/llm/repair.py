@@ -373,3 +373,31 @@ def damaged(rows: DataFrame) -> DataFrame:
     text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
     role = F.when(fault == 4, "user").otherwise(F.col("role"))
     return rows.where(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def sql() -> str:
+    """DuckDB SQL of repaired(damaged(conversations), conversations): a table of strings `cost audit` for the four states, row after row."""
+    add = lambda s, cost, letter: f"printf('%09d', left({s}, 9)::BIGINT + {cost}) || substr({s}, 10) || '{letter}'"
+    kept = lambda letter: f"CASE WHEN c = '{letter}' THEN 0 ELSE 3 END + more"
+    either = lambda s, letter: f"CASE WHEN c = '{letter}' THEN {add(s, kept(letter), 'K')} ELSE {add(s, kept(letter), 'R')} END"
+    before_user = "least(n, s, a)"
+    return f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+f AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy FROM f WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM d),
+j AS (SELECT *, coalesce(bare, '') = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lead(i) OVER w IS NOT NULL AND coalesce(left(role, 1) || left(lead(role) OVER w, 1), '') NOT IN ('su', 'ua', 'au') AS illegal FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+r AS (SELECT *, coalesce(left(role, 1), '') AS c, blank OR again AS gone, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS short, CASE WHEN NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS more FROM j),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' AS n, NULL::VARCHAR AS s, '000000003I' AS u, '000000006II' AS a FROM r
+UNION ALL SELECT conv_id, i, n, s, u, least(a, {add("u", 3, "I")}) FROM (SELECT conv_id, i, n, s, least(u, {add(before_user, 3, "I")}) AS u, a FROM (
+    SELECT r.conv_id, r.i, {add("n", 4, "D")} AS n, least({add("s", 4, "D")}, CASE WHEN NOT gone AND c = 's' THEN {add("n", "more", "K")} END) AS s,
+           least({add("u", 4, "D")}, CASE WHEN NOT gone THEN {either(before_user, "u")} END) AS u, least({add("a", 4, "D")}, CASE WHEN NOT gone THEN {either("u", "a")} END) AS a
+    FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+best AS (SELECT conv_id, arg_max(least(n, a), i) AS b FROM w GROUP BY conv_id),
+audits AS (SELECT conv_id, left(b, 9)::BIGINT AS cost, substr(b, 10) AS audit FROM best),
+letters AS (SELECT conv_id, k, audit[k] AS e, length(audit) - length(replace(audit, 'D', '')) AS dropped, length(audit) AS size FROM audits, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS k)),
+places AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER w AS i, count(*) FILTER (WHERE e <> 'D') OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+lines AS (SELECT p.conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place + size - dropped) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS said
+          FROM places p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE e <> 'D' GROUP BY p.conv_id),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE short) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM r GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM ids.conv_id"""

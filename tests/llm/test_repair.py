@@ -158,6 +158,20 @@ def test_conversations(spark, monkeypatch, block):
     assert {r[0]: hashlib.sha256("\n".join(lines.get(r[0], [])).encode()).hexdigest() for r in got} == {r[0]: r[-1] for r in got}
 
 
+def test_sql_equals_the_plain_version():
+    """Odd roles and texts, null conversations and turns, through the SQL that the query is held against."""
+    import duckdb
+
+    rng, rows = random.Random(15), []
+    for conv in [*range(80), None]:
+        for turn in [None, *sorted(rng.sample(range(30), rng.randint(0, 9)))][rng.randint(0, 1) :]:
+            rows.append((conv, turn, *_turn()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(repair.sql()).fetchall(), key=str) == expected(plain_damage(rows), {r[0] for r in rows})
+
+
 def test_empty_and_long(spark):
     schema = "conv_id string, turn int, role string, text string"
     assert repair.repaired(spark.createDataFrame([], schema)).count() == 0
