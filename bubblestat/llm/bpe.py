@@ -6,17 +6,17 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words whose ids one worker process keeps; beyond it starts anew.
-KEPT = 1_500_000
+#: Words whose ids one worker process keeps, twice: beyond, those that are used again move on and the others are dropped.
+KEPT = 400_000
 #: Text bytes handled at a time.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Normalizer and pre-tokenizer of the tokenizer files whose texts can be cut at spaces, as the files state them, and the patterns of their pieces.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 KINDS = {
@@ -35,7 +35,7 @@ class Encoder:
     A text falls apart before each U+0020. That changes no ids if what precedes it is not white space: a token never
     holds something and then a space. Texts where white space precedes a space are encoded as they are, unless
     the tokenizer drops white space; so are texts that hold the string of an added token, and all texts of a tokenizer that is
-    none of KINDS. Each distinct word is encoded once, many in one call, and kept.
+    none of KINDS. Distinct words are encoded many in one call, and kept while they are used.
     """
 
     _made: dict[str, Encoder] = {}
@@ -57,8 +57,9 @@ class Encoder:
         for w, i in vocab.items():
             self.starts[i] = w.startswith("Ġ")
         self.cut = regex.compile(KINDS[self.kind][2]).findall if self.kind else None
+        self.digit = ids[0] if len(ids := self.tokenizer.encode("0", add_special_tokens=False).ids) == 1 else None
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -70,35 +71,45 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that a space precedes. Other words than runs of letters are cut into the tokenizer's own pieces, and each piece is encoded once."""
-        if len(self.known) + len(self.pieces) > KEPT:
-            self.known.clear()
-            self.pieces.clear()
-        known, pieces = self.known, self.pieces
-        letters = [w.isalpha() for w in words]
-        plain = list(compress(words, letters))
-        mixed = [w for w, is_plain in zip(words, letters, strict=True) if not is_plain]
+    def _learn(self, texts: list[str]) -> list[bytes]:
+        """Ids of words, after the space that precedes each unless the tokenizer drops it. Other words than runs of letters are cut into the tokenizer's own pieces, and each piece is encoded once."""
+        used = {x: self.older[x] for x in texts if x in self.older}
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, used
+        else:
+            self.known.update(used)
+        known, older = self.known, self.older
+        texts_new = [x for x in texts if x not in known]
+        bare = texts_new if self.drops_space else [x[1:] for x in texts_new]
+        letters = [w.isalpha() for w in bare]
+        mixed = [x for x, is_plain in zip(texts_new, letters, strict=True) if not is_plain]
         if self.drops_space:  # its pieces are cut after lower-casing, which is plain for ASCII
-            keys = plain
-            cuts = [self.cut(w.lower()) if w.isascii() else [w] for w in mixed]
+            cuts = [self.cut(x.lower()) if x.isascii() else [x] for x in mixed]
         else:
-            keys = [" " + w for w in plain]
-            cuts = [self.cut(" " + w) for w in mixed]
-        new = list(set(keys).union(*cuts).difference(pieces))
-        joined = [] if self.drops_space else [x for x in new if x[0] == " " and len(x) > 1 and not x.isspace()]
-        for i in range(0, len(joined), 2000):
-            part = joined[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(part) and at[0] == 0:
-                raw, at = ids.tobytes(), (4 * at).tolist()
-                pieces.update(zip(part, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
-        rest = [x for x in new if x not in pieces] if joined else new
-        pieces.update(zip(rest, self.whole(rest), strict=True))
-        get = pieces.__getitem__
-        known.update(zip(plain, map(get, keys), strict=True))
-        known.update(zip(mixed, [b"".join(map(get, c)) for c in cuts], strict=True))
+            cuts = [self.cut(x) for x in mixed]
+        pieces = set(chain.from_iterable(cuts))
+        known.update((x, older[x]) for x in pieces if x in older)
+        new = list(pieces.union(compress(texts_new, letters)).difference(known))
+        self._encode([x for x in new if (x.isalpha() if self.drops_space else x[0] == " " and len(x) > 1 and not x.isspace())])
+        rest = [x for x in new if x not in known]
+        known.update(zip(rest, self.whole(rest), strict=True))
+        get = known.__getitem__
+        known.update(zip(mixed, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cuts], strict=True))
+        return list(map(get, texts))
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Makes pieces known, many in one text: each starts with a space, or, where spaces are dropped, is of letters and a digit follows it. Pieces whose ids can't be told apart stay unknown."""
+        for i in range(0, len(pieces) if self.digit is not None or not self.drops_space else 0, 2000):
+            part = pieces[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["0".join([*part, ""]) if self.drops_space else "".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            if self.drops_space:
+                at = np.flatnonzero(ids == self.digit)
+                begins, ends = np.append(0, at[:-1] + 1), at
+            else:
+                begins = np.flatnonzero(self.starts[ids])
+                ends = np.append(begins[1:], len(ids))
+            if len(begins) == len(part) and begins[0] == 0 and ends[-1] + self.drops_space == len(ids) and (begins < ends).all():
+                self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, (4 * begins).tolist(), (4 * ends).tolist())), strict=True))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts (null: empty): the ids of all of them, and where each ends in that array."""
@@ -122,11 +133,11 @@ class Encoder:
         counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
         index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        values = list(map(self.known.get, words))
-        if new := [w for w, v in zip(words, values, strict=True) if v is None]:
-            self._learn(new)
-            fresh = self.known.get
-            values = [fresh(w) if v is None else v for w, v in zip(words, values, strict=True)]
+        keys = words if self.drops_space else [" " + w for w in words]
+        values = list(map(self.known.get, keys))
+        if new := [k for k, v in zip(keys, values, strict=True) if v is None]:
+            fresh = iter(self._learn(new))
+            values = [next(fresh) if v is None else v for v in values]
         firsts = np.cumsum(counts) - counts
         if not self.drops_space:  # no space precedes the first word of a text
             heads = self.whole([words[i] for i in index[firsts].tolist()])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import brute
-from bubblestat.llm import chat, decontam, html_tree, lines, packing, quality, simhash, token_files, toxicity, urls
+from bubblestat.llm import bpe, chat, decontam, html_tree, lines, packing, quality, simhash, token_files, toxicity, urls
 from bubblestat.llm.bpe import Encoder
 from bubblestat.llm.components import components
 from bubblestat.llm.queries import BYTE_TOKENIZER, QUERIES, WORD_TOKENIZER
@@ -244,6 +244,29 @@ def test_encoder(path, tmp_path):
         assert list(e.encode(pa.array([], pa.string()))) == []
 
 
+@pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
+def test_kept_words_are_bounded(path, monkeypatch):
+    """What is used again stays; what isn't goes; ids are the library's however little is kept."""
+    monkeypatch.setattr(bpe, "KEPT", 300)
+    e, library = Encoder(path), Tokenizer.from_file(path)
+    asked = []
+
+    class Told:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    e.tokenizer = Told()
+    rng = random.Random(7)
+    for k in range(12):
+        texts = ["x common, word " + " ".join("".join(rng.choices("abcdefgh\u00e9", k=9)) + rng.choice(["", ".", "'s", "0", "-b"]) for _ in range(100)) for _ in range(2)]
+        got = [x.tolist() for ids, ends in e.encode(pa.array(texts)) for x in np.split(ids, ends[:-1])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert k == 0 or not any("common" in t for t in asked)
+        asked.clear()
+        assert sum(len(x) for x in vars(e).values() if isinstance(x, dict)) < 1600
+
+
 def test_packing(docs, none):
     ids = {i: x for i, x in enumerate(encoded(BYTE_TOKENIZER, [t for _, t in DOCS], 1))}
     for hold in (6 << 20, 500):
