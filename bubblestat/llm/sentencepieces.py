@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments whose ids one worker process keeps, and the longest that it keeps; beyond, it starts anew or doesn't keep.
-KEPT, LONGEST = 300_000, 64
+#: Segments whose ids one worker process keeps, twice: beyond, those that are used again move on and the others are dropped. No longer ones than LONGEST are kept.
+KEPT, LONGEST = 500_000, 64
 SPACE = "▁"
 
 
@@ -37,7 +37,7 @@ class PrefixTable:
     matches come from one pass of an automaton. The table of last tokens, read backwards, is the encoding.
 
     Texts fall apart where no piece spans: before a mark of space that follows something else, and between kinds of letters that no piece connects, such as words and points.
-    Each distinct segment is encoded once and kept.
+    Distinct segments are kept while they are used.
 
     Letters that are no piece become their bytes' pieces, or the unknown id in a model without. Models of another type, with unused pieces, symbols of the user, or a
     normalizer other than the identity with a leading space raise ValueError.
@@ -77,6 +77,7 @@ class PrefixTable:
         self.history: dict[str, list[tuple[float, str, str]] | None] = {}
         self.pairs = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> PrefixTable:
@@ -146,7 +147,7 @@ class PrefixTable:
 
     def _judged(self, a: str, b: str) -> bool:
         self.pairs += 1
-        if self.pairs > 20 * KEPT:  # letters that are no piece are without bound
+        if self.pairs > 12 * KEPT:  # letters that are no piece are without bound
             self.pairs = 0
             for _, _, apart in self.matches.values():
                 apart.clear()
@@ -163,13 +164,13 @@ class PrefixTable:
 
     def encode(self, text: str, end: bool = True) -> bytes:
         """Ids as little-endian 32-bit integers. A text gets a leading space; an empty one has none."""
-        known = self.known
         segments = self.cut(SPACE + text.replace(" ", SPACE)) if text else []
-        if len(known) > KEPT:
-            known.clear()
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new, own = set(segments).difference(known), {}
         for s in new:
-            (known if len(s) <= LONGEST else own)[s] = self._ids(s)
+            (known if len(s) <= LONGEST else own)[s] = older.get(s) or self._ids(s)
         ids = b"".join([known[s] if s in known else own[s] for s in segments] if own else map(known.__getitem__, segments))
         return ids + np.array([self.end], "<i4").tobytes() if end else ids
 
@@ -181,7 +182,7 @@ def _ids(table: PrefixTable, texts: pa.Array, end: bool) -> pa.Array:
 
 
 def _texts(table: PrefixTable, lists: pa.Array) -> pa.Array:
-    return pa.array((table.library.decode(x.values.to_pylist()) if x.is_valid and len(x) else "" for x in lists), pa.string())
+    return pa.array((table.library.decode(x.values.to_numpy().tolist()) if x.is_valid and len(x) else "" for x in lists), pa.string())
 
 
 def encoded(docs: DataFrame, model: str, end: bool = True, back: bool = False) -> DataFrame:

@@ -76,6 +76,20 @@ def test_kept_segments_start_anew(monkeypatch, table):
         assert own.encode(text) == table.encode(text)
 
 
+def test_used_segments_stay(monkeypatch, table):
+    """What is used again isn't encoded again, and what is kept is bounded."""
+    monkeypatch.setattr(sentencepieces, "KEPT", 20)
+    own, asked = sentencepieces.PrefixTable(PIECE_MODEL), []
+    whole = own._ids
+    own._ids = lambda s: asked.append(s) or whole(s)
+    for k in range(30):
+        text = "common words " + " ".join(f"{chr(97 + k % 26)}{chr(97 + j)}x" for j in range(15))
+        assert own.encode(text) == table.encode(text)
+        assert k == 0 or not any("common" in s for s in asked)
+        asked.clear()
+        assert len(own.known) + len(getattr(own, "older", ())) < 100
+
+
 def test_query(spark):
     import pyarrow.parquet as pq
 
