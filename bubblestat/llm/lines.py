@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,8 @@ from .common import cut, forget
 BITS, PARTS, FAN = 21, 16, 16
 #: Uses of a word for each share that its list of lines is dealt in.
 SHARE = 50_000
-#: Bytes of text handled at a time.
-SLICE = 8 << 20
+#: Bytes of text handled at a time, and bytes whose words are hashed at a time, which fit a processor's cache.
+SLICE, FINE = 8 << 20, 1 << 20
 #: Postings that a task packs at a time, and pairs that it compares at a time.
 PACKED, PAIRS = 1 << 19, 1 << 20
 _LAST = (1 << 63) - 1
@@ -41,7 +40,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, the number of words of each line, and each line's text and number in it.
+    """Word hashes of all lines, the number of words of each line, and each line's text and number in it."""
+    parts = [(i, *_fine(texts.slice(i, j - i))) for i, j in _slices(texts, FINE)] or [(0, *_fine(texts))]
+    return tuple(np.concatenate(x) for x in ([p[1] for p in parts], [p[2] for p in parts], [p[0] + p[3] for p in parts], [p[4] for p in parts]))
+
+
+def _fine(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What _lines() gives, of a few texts.
 
     Words are hashed eight bytes at a time, in all texts at once; a word of up to eight bytes has a hash of its own among those of its length."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -76,10 +81,11 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h, counts, owner, np.arange(len(begins)) - head[owner]
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SLICE bytes."""
+def _slices(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE bytes, or as many as told."""
+    most = most or SLICE
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    cuts = np.unique(np.append(np.searchsorted(size, np.arange(SLICE, size[-1] if len(size) else 0, SLICE)) + 1, len(texts)))
+    cuts = np.unique(np.append(np.searchsorted(size, np.arange(most, size[-1] if len(size) else 0, most)) + 1, len(texts)))
     yield from ((a, b) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if b > a)
 
 
@@ -100,15 +106,15 @@ def _distinct(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _packed(total: np.ndarray) -> pa.RecordBatch:
-    parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, PARTS)]
+    parts = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in np.split(total, PARTS)]
     return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId() % FAN] * PARTS, pa.int32()), pa.array(parts, pa.binary())], ["part", "fan", "counts"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BITS, np.int64)
     for b in batches:
-        for i, j in _slices(b.column(0)):
-            total += np.bincount(_lines(b.column(0).slice(i, j - i))[0] >> np.uint64(64 - BITS), minlength=1 << BITS)
+        for i, j in _slices(b.column(0), FINE):
+            np.add.at(total, (_fine(b.column(0).slice(i, j - i))[0] >> np.uint64(64 - BITS)).astype(np.int64), 1)
     if total.any():
         yield _packed(total)
 
@@ -118,10 +124,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for b in batches:
         for part, counts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-            new = np.frombuffer(zlib.decompress(counts), np.int64)
+            new = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.int64)
             totals[part] = totals[part] + new if part in totals else new
     for part, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "fan", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], ["part", "fan", "counts"])
 
 
 def _counters(rows: DataFrame, count) -> np.ndarray:
@@ -130,7 +136,7 @@ def _counters(rows: DataFrame, count) -> np.ndarray:
     sent = rows.mapInArrow(count, fields).repartition(PARTS, "part", "fan").mapInArrow(_add, fields)
     out = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
     for r in sent.repartition(PARTS, "part").mapInArrow(_add, fields).collect():  # PARTS rows of fixed size
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["part"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.int64)
     return out.ravel()
 
 

@@ -195,6 +195,16 @@ def test_line_words():
 ITEMS = [(1, " ".join(WORDS[20:50])), (2, "two words"), (3, None), (4, "..."), (5, prose(13)), (5, " ".join(WORDS[100:112])), (None, "changed")]
 
 
+def test_line_words_in_parts(monkeypatch):
+    """Hashing a few texts at a time changes nothing: words, lines and the texts that they belong to."""
+    texts = pa.array(["z"] + [t for _, t in DOCS])[1:]
+    want = lines._lines(texts)
+    for fine in (1, 50, 1 << 30):
+        monkeypatch.setattr(lines, "FINE", fine)
+        assert all(np.array_equal(a, b) for a, b in zip(lines._lines(texts), want, strict=True))
+    assert [len(x) for x in lines._lines(texts[:0])] == [0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("size", [16 << 20, 100])
 def test_decontamination(docs, none, spark, size):
     """With the benchmark sent to all tasks, and joined."""
