@@ -35,7 +35,8 @@ class Encoder:
     A text falls apart before each U+0020. That changes no ids if what precedes it is not white space: a token never
     holds something and then a space. Texts where white space precedes a space are encoded as they are, unless
     the tokenizer drops white space; so are texts that hold the string of an added token, and all texts of a tokenizer that is
-    none of KINDS. Distinct words are encoded many in one call, and kept while they are used.
+    none of KINDS. Words lose their signs, digits and line ends where bytes alone tell that the tokenizer cuts there. What is distinct
+    is encoded many in one call, and kept while it is used.
     """
 
     _made: dict[str, Encoder] = {}
@@ -72,7 +73,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, texts: list[str]) -> list[bytes]:
-        """Ids of words, after the space that precedes each unless the tokenizer drops it. Other words than runs of letters are cut into the tokenizer's own pieces, and each piece is encoded once."""
+        """Ids of words, with the space that precedes them unless the tokenizer drops it. Other words than runs of letters are cut into the tokenizer's own pieces, and each piece is encoded once."""
         used = {x: self.older[x] for x in texts if x in self.older}
         if len(self.known) > KEPT:
             self.older, self.known = self.known, used
@@ -80,11 +81,11 @@ class Encoder:
             self.known.update(used)
         known, older = self.known, self.older
         texts_new = [x for x in texts if x not in known]
-        bare = texts_new if self.drops_space else [x[1:] for x in texts_new]
+        bare = texts_new if self.drops_space else [x.removeprefix(" ") for x in texts_new]
         letters = [w.isalpha() for w in bare]
         mixed = [x for x, is_plain in zip(texts_new, letters, strict=True) if not is_plain]
-        if self.drops_space:  # its pieces are cut after lower-casing, which is plain for ASCII
-            cuts = [self.cut(x.lower()) if x.isascii() else [x] for x in mixed]
+        if self.drops_space:  # A-Z is lower-cased before; of other letters the library sees to it
+            cuts = [self.cut(x) if x.isascii() else [x] for x in mixed]
         else:
             cuts = [self.cut(x) for x in mixed]
         pieces = set(chain.from_iterable(cuts))
@@ -124,27 +125,21 @@ class Encoder:
         if self.kind is None:
             each = self.whole(texts.to_pylist())
             return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each])
-        odd = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, self.added, ignore_case=self.drops_space).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
         if not self.drops_space:
             odd = odd | pc.match_substring_regex(texts, r"[\s\v\x1c-\x1f\x{85}\pZ] ").to_numpy(zero_copy_only=False)
         whole = self.whole(texts.filter(pa.array(odd)).to_pylist())
-        plain = pc.if_else(pa.array(odd), "", texts) if len(whole) else texts
-        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " ") if self.drops_space else plain, " ")
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-        coded = lists.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        keys = words if self.drops_space else [" " + w for w in words]
+        pieces, counts = _pieces(pc.if_else(pa.array(odd), "", texts) if len(whole) else texts, self.drops_space)
+        coded = pieces.dictionary_encode()
+        index, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = list(map(self.known.get, keys))
         if new := [k for k, v in zip(keys, values, strict=True) if v is None]:
             fresh = iter(self._learn(new))
             values = [next(fresh) if v is None else v for v in values]
-        firsts = np.cumsum(counts) - counts
-        if not self.drops_space:  # no space precedes the first word of a text
-            heads = self.whole([words[i] for i in index[firsts].tolist()])
-            index[firsts] = np.arange(len(values), len(values) + len(heads))
-            values += heads
-        index[firsts[odd]] = np.arange(len(values), len(values) + len(whole))  # the one, empty, word of an odd text
-        values += whole
+        if whole:  # an odd text is one piece
+            index = np.insert(index, (np.cumsum(counts) - counts)[odd], np.arange(len(values), len(values) + len(whole)))
+            counts[odd] = 1
+            values += whole
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         flat = np.frombuffer(b"".join(values), "<u4")
         lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths))), pa.array(flat))
@@ -152,5 +147,38 @@ class Encoder:
         return ids, np.append(0, np.cumsum(lengths[index]))[np.cumsum(counts)]
 
 
+#: Kinds of bytes: letters of ASCII and Latin-1, digits, other visible characters of ASCII, the apostrophe, a line's end that follows one of these, the space, and the rest; and pairs of kinds between which each tokenizer cuts.
+_REST, _LETTER, _DIGIT, _SIGN, _QUOTE, _BREAK, _SPACE = range(7)
+_BYTES = bytes(_SPACE if b == 32 else _BREAK if b == 10 else _REST if b < 33 or b > 126 else _DIGIT if chr(b).isdigit() else _LETTER if chr(b).isalpha() else _QUOTE if b == 39 else _SIGN for b in range(256))
+_CUTS = {(a, b) for a in (_LETTER, _DIGIT, _SIGN) for b in (_LETTER, _DIGIT, _SIGN) if a != b} | {(a, b) for k in (_LETTER, _DIGIT, _SIGN, _QUOTE) for a, b in ((k, _BREAK), (_BREAK, k))}
+_PAIRS = bytes((i >> 4, i & 15) in _CUTS or i & 15 == _SPACE for i in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
+
+
+def _pieces(texts: pa.Array, drops_space: bool) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut before each space and where ASCII alone tells that the tokenizer cuts; how many pieces each has. If it drops spaces they go, and A-Z is lower-cased."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes()
+    raw, ends = raw.translate(_LOWER) if drops_space else raw, ends - ends[0]
+    kinds, raw = np.frombuffer(bytearray(raw.translate(_BYTES)), np.uint8), np.frombuffer(raw, np.uint8)
+    lead = np.flatnonzero(raw == 0xC3)  # U+00C0 to U+00FF; two of them are signs
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    breaks = np.flatnonzero(kinds == _BREAK)
+    before = kinds[breaks - 1]
+    kinds[breaks[(before < _LETTER) | (before > _QUOTE)]] = _REST
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[1:-1] = np.frombuffer((kinds[:-1] << 4 | kinds[1:]).tobytes().translate(_PAIRS), bool)
+    begins[ends] = True
+    begins[-1] = False
+    if drops_space:
+        kept = kinds != _SPACE
+        begins[1:-1] |= ~kept[:-1]
+        raw, begins = raw[kept], begins[:-1][kept]
+        ends = np.append(0, np.cumsum(kept))[ends]
+    at = np.append(np.flatnonzero(begins), len(raw))
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]), np.diff(np.searchsorted(at, ends))
+
+
 def _escaped(text: str) -> str:
     return "".join(c if c.isalnum() else rf"\x{{{ord(c):x}}}" for c in text)

@@ -277,6 +277,20 @@ def test_kept_words_are_bounded(path, monkeypatch):
         assert sum(len(x) for x in vars(e).values() if isinstance(x, dict)) < 1600
 
 
+@pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
+def test_words_are_kept_without_signs(path):
+    """Signs, digits and line ends beside a word make no new word, and are cut off only where the tokenizer cuts."""
+    e, library = Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(9)
+    texts = [" ".join(w + rng.choice([",", ".", "###", "7", ".\nThe", ".\n\u00c9t\u00e9"]) for w in ("word", "stra\u00dfe", "\u00e9l\u00e8ve", "and") * 20) for _ in range(9)]
+    list(e.encode(pa.array(texts)))
+    assert len(e.known) < 20
+    parts = [*"aB\u00e9\u00d7\u00f7\u0301\u0338=<.,#09 \n\t\u3000\u2028\u00b2\u212a", "'s", "'", "'RE", "\n\n", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    got = [x.tolist() for ids, ends in e.encode(pa.array(texts)) for x in np.split(ids, ends[:-1])]
+    assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(docs, none):
     ids = {i: x for i, x in enumerate(encoded(BYTE_TOKENIZER, [t for _, t in DOCS], 1))}
     for hold in (6 << 20, 500):
