@@ -20,13 +20,16 @@ BITS, PARTS, FAN = 21, 16, 16
 #: Uses of a word for each share that its list of lines is dealt in.
 SHARE = 50_000
 #: Bytes of text handled at a time, and bytes whose words are hashed at a time, which fit a processor's cache.
-SLICE, FINE = 8 << 20, 1 << 20
+SLICE, FINE = 8 << 20, 1 << 18
 #: Postings that a task packs at a time, and pairs that it compares at a time.
-PACKED, PAIRS = 1 << 19, 1 << 20
+PACKED, PAIRS = 1 << 19, 1 << 18
 _LAST = (1 << 63) - 1
+#: Hashes hardly repeat: no dictionary of them is tried when a table is written.
+_PLAIN = {"parquet.enable.dictionary": "false"}
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SHIFTS = np.array([8 * (8 - size) for size in range(9)], np.uint64)
+_INSIDE = bytes(b != 32 and not 9 <= b <= 13 for b in range(256))
 
 
 # Words
@@ -45,31 +48,37 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in ([p[1] for p in parts], [p[2] for p in parts], [p[0] + p[3] for p in parts], [p[4] for p in parts]))
 
 
-def _fine(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What _lines() gives, of a few texts.
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Word hashes of a few texts, where the words begin, the bytes of all texts, and where each text begins or ends.
 
     Words are hashed eight bytes at a time, in all texts at once; a word of up to eight bytes has a hash of its own among those of its length."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    raw = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes()
     ends = ends - ends[0]
-    inside = ~_SPACE[raw]
+    inside = np.frombuffer(raw.translate(_INSIDE), bool)
     edge = np.unique(ends[(ends > 0) & (ends < len(raw))])  # a word ends where its text does
     first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
+    np.greater(inside[1:], inside[:-1], out=first[1:])
+    np.greater(inside[:-1], inside[1:], out=last[:-1])
     first[edge] |= inside[edge]
     last[edge - 1] |= inside[edge - 1]
     first, size = np.flatnonzero(first), np.flatnonzero(last)
     size = size - first + 1
-    low = np.append(_LOWER[raw], np.zeros(8, np.uint8))
-    eight = np.ndarray(len(raw) + 1, "<u8", low.data, strides=(1,))
-    h, live, done = size.astype(np.uint64) * _A, np.arange(len(first)), 0
+    eight = np.ndarray(len(raw) + 1, "<u8", raw.translate(_LOWER) + bytes(8), strides=(1,))
+    h = _mixed(size.astype(np.uint64) * _A ^ eight[first] << _SHIFTS[np.minimum(size, 8)])
+    live, done = np.flatnonzero(size > 8), 8
     while len(live):
         rest = size[live] - done
-        h[live] = _mixed(h[live] ^ (eight[first[live] + done] << (8 * np.maximum(0, 8 - rest)).astype(np.uint64)))
+        h[live] = _mixed(h[live] ^ eight[first[live] + done] << _SHIFTS[np.minimum(rest, 8)])
         live, done = live[rest > 8], done + 8
-    breaks = np.flatnonzero(raw == 10)
+    return h, first, raw, ends
+
+
+def _fine(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What _lines() gives, of a few texts."""
+    h, first, raw, ends = _words(texts)
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     per_text = np.diff(np.searchsorted(breaks, ends)) + 1
     head = np.cumsum(per_text) - per_text
     begins = np.empty(int(per_text.sum()), np.int64)
@@ -114,7 +123,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BITS, np.int64)
     for b in batches:
         for i, j in _slices(b.column(0), FINE):
-            np.add.at(total, (_fine(b.column(0).slice(i, j - i))[0] >> np.uint64(64 - BITS)).astype(np.int64), 1)
+            np.add.at(total, (_words(b.column(0).slice(i, j - i))[0] >> np.uint64(64 - BITS)).astype(np.int64), 1)
     if total.any():
         yield _packed(total)
 
@@ -175,17 +184,31 @@ def _describe(shared, similarity: float):
                 yield from described(rank, texts.filter(pa.array(new)), doc[new], text_hash[new], at)
                 at += int(pc.sum(pc.binary_length(texts)).as_py() or 0) + j - i  # as many lines at most
 
-    def described(rank, texts, doc, text_hash, at):
-        h, counts, owner, number = _lines(texts)
+    def sets(rank, texts, before, lines_before):
+        """Of a few texts: distinct words of lines in order of rarity, and of each line with words its place, text, number, size, hash and bitmap; and how many lines there are."""
+        h, counts, owner, number = _fine(texts)
         key = (rank[h >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
         key, line = _distinct(key, np.repeat(np.arange(len(counts)), counts))
-        use, begins, n = np.unique(line, return_index=True, return_counts=True)
+        begins = np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
+        use, n = line[begins], np.diff(begins, append=len(line))
         if not len(use):
-            return
+            return [key, use, use, use, n, key, key, key, key], len(counts)
         a = np.add.reduceat(_mixed(key + _A), begins)
         b = np.add.reduceat(_mixed(key ^ _C), begins)
         bit, low = np.uint64(1) << (key & np.uint64(63)), key & np.uint64(64) == 0
         bits, more = (np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), begins) for half in (low, ~low))
+        return [key, use + lines_before, owner[use] + before, number[use], n, a, b, bits, more], len(counts)
+
+    def described(rank, texts, doc, text_hash, at):
+        parts, total = [], 0
+        for i, j in _slices(texts, FINE):
+            part, size = sets(rank, texts.slice(i, j - i), i, total)
+            parts.append(part)
+            total += size
+        if not any(len(p[1]) for p in parts):
+            return
+        key, use, owner, number, n, a, b, bits, more = map(np.concatenate, zip(*parts, strict=True))
+        begins = np.cumsum(n) - n
         ahead = np.where(n < _fewest(similarity), 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
         order = np.lexsort((b, a))  # stable: of equal sets, the first stays
         again = np.zeros(len(n), bool)
@@ -199,7 +222,7 @@ def _describe(shared, similarity: float):
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(key[kept].view(np.int64)))
         whole = [pa.array(x.view(np.int64)) for x in (a, b, bits, more)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(doc[owner[use]]), pa.array(text_hash[owner[use]]), pa.array(number[use].astype(np.int32)), pa.array(np.where(again, 0, n).astype(np.int32)), *whole, pa.array(skip.astype(np.int32)), lists],
+            [pa.array(ids), pa.array(doc[owner]), pa.array(text_hash[owner]), pa.array(number.astype(np.int32)), pa.array(np.where(again, 0, n).astype(np.int32)), *whole, pa.array(skip.astype(np.int32)), lists],
             ["id", "doc", "hash", "line", "n", "a", "b", "bits", "more", "skip", "words"],
         )
 
@@ -230,7 +253,7 @@ def _posts(cells: int, share: int, wanted=None):
     Without `wanted` each line is in its own share of each list, and asks there. With it, lists of words that it flags are made: lines are in
     their own share, and those that ask do so in all shares."""
 
-    def made(batch: pa.RecordBatch) -> np.ndarray:
+    def made(batch: pa.RecordBatch) -> list[np.ndarray]:
         lists = batch.column(5)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(sizes)), sizes)
@@ -250,25 +273,27 @@ def _posts(cells: int, share: int, wanted=None):
         out = []
         for f, w, p, s, ask in kinds:
             mixed = _mixed((w & np.uint64((1 << 56) - 1)) + s.astype(np.uint64) * _A)
-            x = np.zeros(len(f), [("cell", "<u4"), *_POST])
-            x["cell"], x["key"] = (mixed >> np.uint64(32)) % np.uint64(cells), mixed & np.uint64(0xFFFFFFFF)
-            x["id"], x["n"], x["place"], x["bits"], x["more"], x["asks"] = ids[f], n[f], p, bits.view(np.uint64)[f], more.view(np.uint64)[f], ask
-            out.append(x)
-        return np.concatenate(out)
+            columns = (mixed & np.uint64(0xFFFFFFFF), ids[f], n[f], p, bits[f].view(np.uint64), more[f].view(np.uint64), np.full(len(f), ask))
+            out.append([((mixed >> np.uint64(32)) % np.uint64(cells)).astype(np.uint32), *(c.astype(kind, copy=False) for c, (_, kind) in zip(columns, _POST, strict=True))])
+        return list(map(np.concatenate, zip(*out, strict=True)))
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1).compress
-        all_ = np.concatenate(held)
-        all_ = all_[np.argsort(all_["cell"], kind="stable")]
-        cell, begins = np.unique(all_["cell"], return_index=True)
-        rows = [pack(b"".join(np.diff(part[c], prepend=0).tobytes() if c == "id" else part[c].tobytes() for c, _ in _POST)) for part in np.split(all_, begins[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(rows, pa.binary())], ["cell", "posts"])
+        cell, *columns = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(cell.astype(np.uint16) if cells <= 1 << 16 else cell, kind="stable")
+        cell, columns = cell[order], [c[order] for c in columns]
+        begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        ids = columns[1]
+        columns[1] = np.diff(ids, prepend=0)
+        columns[1][begins] = ids[begins]
+        rows = [pack(b"".join(c[i:j].tobytes() for c in columns)) for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(cell)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(cell[begins].astype(np.int32)), pa.array(rows, pa.binary())], ["cell", "posts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             held.append(made(b))
-            size += len(held[-1])
+            size += len(held[-1][0])
             if size >= PACKED:
                 yield flush(held)
                 held, size = [], 0
@@ -297,30 +322,34 @@ def _candidates(similarity: float, every: bool):
     A list is searched in growing steps. Unless `every`, a line's search ends with the step in which it meets a candidate, the nearest of which is
     given; `more` tells that there may be others."""
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = [np.zeros(0, [("cell", "<u4"), *_POST])]
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        out = [[np.zeros(0, kind) for kind in ("<u4", *(kind for _, kind in _POST))]]
         for b in batches:
             for cell, posts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = zstandard.ZstdDecompressor().decompress(posts)
-                x, at = np.zeros(len(raw) // _POST_BYTES, out[0].dtype), 0
-                x["cell"] = cell
+                size, at = len(raw) // _POST_BYTES, 0
+                columns = [np.full(size, cell, np.uint32)]
                 for c, kind in _POST:
-                    part = np.frombuffer(raw, kind, len(x), at)
-                    x[c], at = np.cumsum(part) if c == "id" else part, at + part.nbytes
-                out.append(x)
-        return np.concatenate(out)
+                    part = np.frombuffer(raw, kind, size, at)
+                    columns.append(np.cumsum(part) if c == "id" else part)
+                    at += part.nbytes
+                out.append(columns)
+        return list(map(np.concatenate, zip(*out, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posts = unpacked(batches)
-        group = posts["cell"].astype(np.uint64) << np.uint64(32) | posts["key"]
-        order = np.lexsort((posts["n"], group))
-        posts, group = posts[order], group[order]
-        ids, n, place, bits, rest = posts["id"].copy(), posts["n"].astype(np.int64), posts["place"].astype(np.int64), posts["bits"].copy(), posts["more"].copy()
-        number = np.cumsum(np.append(0, group[1:] != group[:-1])) << 32 if len(posts) else np.zeros(0, np.int64)
+        cell, key, ids, n, place, bits, rest, asks = unpacked(batches)
+        group = cell.astype(np.uint64) << np.uint64(32) | key
+        if len(cell) and cell.min() == cell.max():
+            order = np.argsort(key.astype(np.uint64) << np.uint64(32) | n)
+        else:
+            order = np.lexsort((n, group))
+        group, ids, n, place, bits, rest, asks = (x[order] for x in (group, ids, n.astype(np.int64), place.astype(np.int64), bits, rest, asks))
+        number = np.cumsum(np.append(0, group[1:] != group[:-1])) << 32 if len(ids) else np.zeros(0, np.int64)
         at = np.searchsorted(number + n, number + np.ceil(similarity * n - 1e-9).astype(np.int64))
         end = np.searchsorted(number + n, number + np.floor(n / similarity + 1e-9).astype(np.int64), side="right")
         short = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1  # as few words suffice for the smaller of two
-        live, width = np.flatnonzero((end - at > 1) & (posts["asks"] > 0)), 8
+        fits, left, n = place < short, (n - place).astype(np.int32), n.astype(np.int32)
+        live, width = np.flatnonzero((end - at > 1) & (asks > 0)), 8
         while len(live):
             steps = np.minimum(width, end[live] - at[live])
             found = np.zeros(len(live), bool)
@@ -331,10 +360,15 @@ def _candidates(similarity: float, every: bool):
                 y = np.repeat(at[own] - (np.cumsum(step) - step), step) + np.arange(len(x))
                 ok = ids[y] < ids[x]
                 x, y = x[ok], y[ok]
-                less = np.where(n[x] < n[y], x, y)
-                need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9).astype(np.int64)
+                x_fewer = n[x] < n[y]
+                ok = fits[x] & x_fewer | fits[y] & ~x_fewer
+                x, y = x[ok], y[ok]
+                both = n[x] + n[y]
+                need = np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int32)
+                ok = np.minimum(left[x], left[y]) >= need
+                x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
                 far = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(rest[x] ^ rest[y])
-                ok = (place[less] < short[less]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (far <= n[x] + n[y] - 2 * need)
+                ok = far <= most
                 x, y, far = x[ok], y[ok], far[ok]
                 if not len(x):
                     continue
@@ -387,20 +421,24 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["id", "w"])
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, few: bool) -> DataFrame:
     """Lines (`id`) x of the pairs (x, y, distance) whose Jaccard similarity, over the lines' words, is high enough.
 
-    One match settles a line. So each is compared with its nearest candidate first, and with all of them only if that fails."""
+    One match settles a line. So, unless they are few, each is compared with its nearest candidate first, and with all of them only if that fails."""
     asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     places = lines.select("id", "doc", "hash", "line").join(asked, "id").groupBy("doc", "hash").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
     found = docs.join(places.hint("shuffle_hash"), ["doc", "hash"]).select("doc", "hash", "text", "asked").mapInArrow(_hashed, "id long, w array<long>")
-    words = cut(found, "lines")
+    words = cut(found, "lines", **_PLAIN)
 
     def matched(some: DataFrame) -> DataFrame:
         joined = some.join(words.select(F.col("id").alias("x"), F.col("w").alias("xw")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("yw")), "y")
         common = F.size(F.array_intersect("xw", "yw"))
         return cut(joined.where(common >= similarity * (F.size("xw") + F.size("yw") - common) - 1e-9).select(F.col("x").alias("id")).distinct(), "lines")
 
+    if few:
+        found = matched(pairs.select("x", "y"))
+        forget(words)
+        return found
     near = matched(pairs.groupBy("x").agg(F.min(F.struct("distance", "y")).alias("b")).select("x", "b.y"))
     rest = matched(pairs.join(near.withColumnRenamed("id", "x"), "x", "left_anti").select("x", "y"))
     forget(words)
@@ -416,11 +454,11 @@ def later_matches(docs: DataFrame, similarity: float = 0.8, share: int = SHARE)
     texts = docs.select(*order, "text").repartitionByRange(spread, *order).sortWithinPartitions(*order)
     # Equal sets of words: all but the first line of each go, whatever else happens.
     first = (F.col("n") > 0) & (F.min("id").over(W.partitionBy("a", "b")) == F.col("id"))
-    lines = cut(texts.mapInArrow(_describe(shared, similarity), fields).withColumn("first", first).drop("a", "b"), "lines")
+    lines = cut(texts.mapInArrow(_describe(shared, similarity), fields).withColumn("first", first).drop("a", "b"), "lines", **_PLAIN)
     firsts = lines.where("first and size(words) > 0")
     posts = firsts.select("id", "n", "bits", "more", "skip", "words")
     pairs = _met(posts.withColumn("asks", F.lit(True)), similarity, share)
-    gone = _verified(pairs, lines, docs, similarity)
+    gone = _verified(pairs, lines, docs, similarity, True)  # at most a candidate for each word
     # Lines that may have other candidates, against all lines before them.
     more = pairs.where("more").select(F.col("x").alias("id")).union(firsts.where(_wide(F.col("words"), share)).select("id"))
     left = cut(more.distinct().join(gone, "id", "left_anti"), "lines")
@@ -428,7 +466,7 @@ def later_matches(docs: DataFrame, similarity: float = 0.8, share: int = SHARE)
     marked = posts.join(left.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     flags = _counters(marked.where("asks").select("words"), _asked) > 0
     pairs = _met(marked, similarity, share, spark.sparkContext.broadcast(flags))
-    gone = gone.union(_verified(pairs, lines, docs, similarity)).distinct().withColumn("gone", F.lit(True))
+    gone = gone.union(_verified(pairs, lines, docs, similarity, False)).distinct().withColumn("gone", F.lit(True))
     out = lines.select("id", *order, "line", "first").join(gone, "id", "left").where("not first or gone")
     out = cut(out.groupBy(*order).agg(F.collect_list("line").alias("removed")), "lines")
     for used in (pairs, left, lines):

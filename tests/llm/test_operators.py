@@ -192,6 +192,16 @@ def test_line_words():
     assert lines._lines(part)[0].tolist() == h[sum(counts[owner < 3]) : sum(counts[owner < 8])].tolist()
 
 
+def test_first_candidates_are_compared_at_once(spark, monkeypatch):
+    """Tables written: lines, candidates, words and matches; what is left, its candidates, words and two turns of matches; the result."""
+    written, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df, label, **options: written.append(label) or cut(df, label, **options))
+    rows = [(1, "a b c d e"), (2, "a b c d e f"), (3, "x y z"), (4, "f e d c b"), (5, "b c d e f g\ng q r s t")]
+    got = {r["doc_id"]: sorted(r["removed"] or []) for r in removed(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {d: gone for (d, _), gone in zip(rows, brute.lines(rows))}
+    assert len(written) == 10
+
+
 ITEMS = [(1, " ".join(WORDS[20:50])), (2, "two words"), (3, None), (4, "..."), (5, prose(13)), (5, " ".join(WORDS[100:112])), (None, "changed")]
 
 
