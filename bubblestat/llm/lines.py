@@ -24,8 +24,8 @@ SLICE, FINE = 8 << 20, 1 << 18
 #: Postings that a task packs at a time, and pairs that it compares at a time.
 PACKED, PAIRS = 1 << 19, 1 << 18
 _LAST = (1 << 63) - 1
-#: Hashes hardly repeat: no dictionary of them is tried when a table is written.
-_PLAIN = {"parquet.enable.dictionary": "false"}
+#: Hashes hardly repeat or shrink: tables of them try no dictionary and little compression.
+_PLAIN = {"parquet.enable.dictionary": "false", "compression": "snappy"}
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SHIFTS = np.array([8 * (8 - size) for size in range(9)], np.uint64)
